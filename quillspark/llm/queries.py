@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .substrings import drop_repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Query] = {"op6_minhash": op6_minhash}
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_passages(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
 
 ORACLE_SQL: dict[str, str] = {}
