@@ -7,16 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode
 from .minhash import near_duplicates
 from .substrings import drop_repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary_path() -> str:
+    """The word vocabulary among the installed public files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode(_table(spark, sf_dir, "documents"), vocabulary_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -26,6 +40,6 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
+QUERIES: dict[str, Query] = {"op5_bpe": op5_bpe, "op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
 
 ORACLE_SQL: dict[str, str] = {}
