@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .bpe import encode
 from .minhash import near_duplicates
 from .substrings import drop_repeated_passages
@@ -25,6 +26,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(held_out, F.lit(False))
+    profiles = langid.learn(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode(_table(spark, sf_dir, "documents"), vocabulary_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -40,6 +49,6 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op5_bpe": op5_bpe, "op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
+QUERIES: dict[str, Query] = {"op1_language": op1_language, "op5_bpe": op5_bpe, "op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
 
 ORACLE_SQL: dict[str, str] = {}
