@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .bpe import encode
+from .mixing import mix
 from .minhash import near_duplicates
 from .substrings import drop_repeated_passages
 
@@ -34,6 +35,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mix(_table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode(_table(spark, sf_dir, "documents"), vocabulary_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -49,6 +55,6 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_language": op1_language, "op5_bpe": op5_bpe, "op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
+QUERIES: dict[str, Query] = {"op1_language": op1_language, "op2_mixing": op2_mixing, "op5_bpe": op5_bpe, "op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
 
 ORACLE_SQL: dict[str, str] = {}
