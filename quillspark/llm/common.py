@@ -107,7 +107,17 @@ class Words:
 
     def __init__(self, column: pa.Array, lower: bool = False):
         data, offsets = text_buffers(column)
-        self.data, self.offsets = (_LOWER[data] if lower else data), offsets
+        self._find(_LOWER[data] if lower else data, offsets)
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """The words of texts that lie one after the other in data."""
+        words = cls.__new__(cls)
+        words._find(data, offsets)
+        return words
+
+    def _find(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data, self.offsets = data, offsets
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True

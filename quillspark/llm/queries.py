@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import forest, knn, langid
 from .bpe import encode
-from .mixing import mix
+from .fuzzy_lines import drop_fuzzy_lines
 from .minhash import near_duplicates
+from .mixing import mix
 from .substrings import drop_repeated_passages
+from .url_lists import listed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +42,53 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Dated block-list entries: kind, value, day, action.
+URL_LIST = [
+    ("domain", "spam-farm.example.org", "2024-01-10", "add"),
+    ("domain", "spam-farm.example.org", "2024-05-01", "remove"),
+    ("domain", "spam-farm.example.org", "2024-08-15", "add"),
+    ("domain", "cheap-pills.example.com", "2024-02-01", "add"),
+    ("domain", "example.net", "2024-11-01", "add"),
+    ("domain", "example.net", "2024-11-20", "remove"),
+    ("prefix", "www.cheap-pills.example.com/fr", "2024-01-01", "add"),
+    ("prefix", "therha.example.com/en", "2024-03-01", "add"),
+    ("prefix", "therha.example.com/en", "2024-03-01", "remove"),
+    ("domain", "ththan.example.net", "2024-06-30", "remove"),
+]
+
+
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no fetch time; here page k is of day k mod 366 of 2024."""
+    pages = _table(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    entries = spark.createDataFrame(URL_LIST, "kind string, value string, day string, action string")
+    out = listed(pages.withColumn("fetched_at", day.cast("timestamp")), entries)
+    return out.select("page_id", "url", F.to_date("fetched_at").alias("fetched_on"), "host", "blocked", "listed_key", "listed_since")
+
+
+OP3_SQL = r"""
+with entries(kind, value, day, action) as (values {values}),
+days as (select kind || ':' || value as key, cast(day as date) as day, bool_or(action = 'add') as is_on from entries group by all),
+changed as (select *, lag(is_on) over (partition by key order by day) as was from days),
+turns as (select *, lead(day) over (partition by key order by day) as until from changed where is_on <> coalesce(was, false)),
+spans as (select key, day as since, until from turns where is_on),
+rows as (select page_id, url, cast(date '2024-01-01' + cast(page_id % 366 as integer) as date) as fetched_on,
+         nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') as host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda p: p <> '') as parts from pages),
+hits as (select r.page_id, r.url, min(struct_pack(n := -length(s.key), key := s.key, since := s.since)) as hit from rows r join spans s
+         on r.fetched_on >= s.since and (s.until is null or r.fetched_on < s.until)
+         and (case when s.key like 'domain:%' then ends_with('.' || r.host, '.' || substr(s.key, 8))
+              else starts_with(r.host || '/' || array_to_string(r.parts, '/') || '/', substr(s.key, 8) || '/') end) group by all)
+select r.page_id, r.url, r.fetched_on, r.host, h.hit is not null as blocked, h.hit.key as listed_key, h.hit.since as listed_since
+from rows r left join hits h on r.page_id is not distinct from h.page_id and r.url is not distinct from h.url
+""".replace("{values}", ", ".join(map(str, URL_LIST)))
+
+
+def op4_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5, scale=256)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode(_table(spark, sf_dir, "documents"), vocabulary_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -55,6 +104,18 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_language": op1_language, "op2_mixing": op2_mixing, "op5_bpe": op5_bpe, "op6_minhash": op6_minhash, "op8_substrings": op8_substrings}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_fuzzy_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.search(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_language, op2_mixing, op3_url_lists, op4_voronoi, op5_bpe, op6_minhash, op7_forest, op8_substrings, op9_lines)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_lists": OP3_SQL}
