@@ -4,69 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is itself a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    wrong = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up + down > 1 and up > 0")
+    return wrong.isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every end of links (a, b): the smallest id that can be reached.
 
-    Alternating large-star and small-star rounds; each is one shuffle of the links, and their
-    number grows with the logarithm of a component's size. No links give no rows.
+    Alternating large-star and small-star rounds; each is a few shuffles of the links, and their
+    number grows with the logarithm of a component's size. Links that are stars already take none.
+    No links give no rows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before = None
-    while True:
+    while not _stars(edges):
         # Large star: every larger neighbour goes to the smallest one.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour, and the node itself, goes to the smallest one.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        joined = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(joined.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked_components(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame, first_hubs: int = 1) -> DataFrame:
-    """(id, component) over known links (a, b) and those between members (bucket, id, size) of one bucket.
+def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame) -> DataFrame:
+    """(id, component) over known links (a, b) and those between members (bucket, id, data) of one bucket.
 
-    prepare() gets the ids (id) that share a bucket with another and returns a function that, given
-    pairs (a, b, size_a, size_b) with a < b, returns those that are linked. All pairs of a bucket
-    are decided, but few are expanded: in each round a few members of every open bucket, those of
-    its smallest components first, are hubs and meet the members of other components. A bucket is
-    closed when its members that were not yet hubs are of one component. A round expands a bucket's
-    size times its hubs, so a large group of alike members takes one round and a row a member.
+    near(x, y) tells from two members' data whether they can be linked at all; prepare() gets the
+    ids (id) that share a bucket with another and returns a function that, given pairs (a, b) with
+    a < b, returns those that are linked. First, every bucket's members meet one of them, the one
+    that shares most buckets with others; so alike members become one component by a row each. Then
+    only near members of different components of a bucket meet, so all links count, while pairs
+    inside a component are never made.
     """
-    rows = members.select("bucket", "id", "size", F.lit(False).alias("hub"), F.col("id").alias("component"))
-    links, linked, hubs = cut(known.select("a", "b")), None, first_hubs
-    labels = None if links.isEmpty() else components(links)
-    if labels is not None:
-        rows = rows.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    size = F.count("*").over(Window.partitionBy("bucket"))
+    rows = cut(members.withColumn("n", size).filter("n > 1"))
+    links = cut(known.select("a", "b"))
+    if rows.isEmpty():
+        return components(links)
+    linked = prepare(rows.select("id").distinct())
+    weight = rows.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = rows.join(weight, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "data"), F.struct("weight", -F.col("id"))).alias("hub"))
+    met = rows.join(hubs, "bucket").filter((F.col("id") != F.col("hub.id")) & near(F.col("data"), F.col("hub.data")))
+    pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    links = links.union(cut(linked(pairs).select("a", "b")))
+
+    labels = components(links)
+    rows = rows.drop("n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     bucket = Window.partitionBy("bucket")
-    while True:
-        rest = F.when(~F.col("hub"), F.col("component"))
-        open_ = rows.withColumns({"lo": F.min(rest).over(bucket), "hi": F.max(rest).over(bucket)}).filter("lo < hi").drop("lo", "hi")
-        kin = F.count("*").over(Window.partitionBy("bucket", "component"))
-        order = Window.partitionBy("bucket").orderBy("hub", "kin", "component", "id")
-        rows = cut(open_.withColumn("kin", kin).withColumn("now", (F.row_number().over(order) <= hubs) & ~F.col("hub")).drop("kin"))
-        if rows.isEmpty():
-            break
-        linked = linked or prepare(rows.select("id").distinct())
-        chosen = rows.filter("now").select("bucket", F.col("id").alias("h"), F.col("component").alias("hc"), F.col("size").alias("hs"))
-        met = rows.filter("now or not hub").join(chosen, "bucket").filter("component != hc and id != h")
-        less = F.col("id") < F.col("h")
-        size_a, size_b = F.when(less, F.col("size")).otherwise(F.col("hs")), F.when(less, F.col("hs")).otherwise(F.col("size"))
-        pairs = met.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"), size_a.alias("size_a"), size_b.alias("size_b")).distinct()
-        found = cut(linked(pairs).select("a", "b"))
-        links = links.union(found)
-        labels = components(links)
-        rows = rows.drop("component").join(labels, "id", "left").select("bucket", "id", "size", (F.col("hub") | F.col("now")).alias("hub"), F.coalesce("component", "id").alias("component"))
-        hubs = max(4, hubs * 4)
-    return members.select("id", F.col("id").alias("component")).limit(0) if labels is None else labels
+    rows = cut(rows.withColumns({"lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).filter("lo < hi").drop("lo", "hi"))
+    if rows.isEmpty():
+        return labels
+    other = rows.select("bucket", F.col("id").alias("id2"), F.col("data").alias("data2"), F.col("component").alias("component2"))
+    met = rows.join(other, "bucket").filter((F.col("component") < F.col("component2")) & near(F.col("data"), F.col("data2")))
+    found = cut(linked(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()).select("a", "b"))
+    return components(links.union(found))

@@ -19,6 +19,8 @@ from .common import Words, blocks, bound_batches, cut, id_of, mix64, windows, wi
 from .components import linked_components
 
 SHINGLE, BANDS, ROWS = 5, 28, 5
+#: 64-bit words of a set's parity sketch.
+PARITY = 8
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -36,6 +38,9 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+_PARITIES = [f"p{k}" for k in range(PARITY)]
+
+
 def second_permutation(x: np.ndarray) -> np.ndarray:
     """A bijection of 32-bit integers."""
     x ^= x >> np.uint32(16)
@@ -66,6 +71,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity_sketch(shingles: np.ndarray) -> list[int]:
+    """For each of 64 * PARITY bins of shingles whether it holds an odd number; two sets differ in no fewer shingles than bins."""
+    bins = (mix64(shingles ^ np.uint64(PARITY)) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = (np.bincount(bins, minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _signed(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +90,8 @@ def _signed(n: int, bands: int, rows: int):
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                     pa.array([next(keys) if len(x) else None for x in sets], pa.list_(pa.int64())),
-                ], ["did", "size", "key", "bands"])
+                    pa.array([dict(zip(_PARITIES, parity_sketch(x), strict=True)) if len(x) else None for x in sets], pa.struct([(c, pa.int64()) for c in _PARITIES])),
+                ], ["did", "size", "key", "bands", "parity"])
 
     return run
 
@@ -108,8 +121,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands:
 
     Rows of equal sets are one class, which its smallest id stands for, so copies are never
     paired. The classes' signatures are banded; a bucket's classes are compared on the full sets
-    of their texts, in rounds that decide all pairs but expand few (linked_components). A pair of
-    similarity s shares a band with probability 1 - (1 - s**rows)**bands: 0.99999 at 0.8.
+    of their texts, all that matter but few pairs (linked_components). Parity sketches rule out
+    only pairs that cannot be linked. A pair of similarity s shares a band with probability
+    1 - (1 - s**rows)**bands: 0.99999 at 0.8.
 
     Rows without id are linked with nothing, have a null component_id and are kept. Rows that
     share an id are one document for component_id; each has its own n_shingles, and all are kept
@@ -118,17 +132,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands:
     spark = docs.sparkSession
     bound_batches(spark)
     placed = with_place(docs, id_col, text_col).drop("th")
-    signed = cut(placed.mapInArrow(_signed(n, bands, rows), "did long, size long, key binary, bands array<long>"))
+    signed = cut(placed.mapInArrow(_signed(n, bands, rows), "did long, size long, key binary, bands array<long>, parity struct<" + ", ".join(f"{c}: long" for c in _PARITIES) + ">"))
     sets = signed.filter("size > 0").filter(id_of("did").isNotNull())
-    classes = sets.groupBy("key").agg(F.min("did").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    members = classes.select("id", "size", F.explode("bands").alias("bucket"))
+    classes = sets.groupBy("key").agg(F.min("did").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
+    members = classes.select("id", F.struct("size", "parity.*").alias("data"), F.explode("bands").alias("bucket"))
+
+    def near(x, y):
+        # Linked sets differ in no more than (100 - percent) / (100 + percent) of their summed sizes.
+        bins = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in _PARITIES), F.lit(0))
+        both = x["size"] + y["size"]
+        sizes = 100 * F.least(x["size"], y["size"]) >= percent * F.greatest(x["size"], y["size"])
+        return sizes & ((100 + percent) * bins <= (100 - percent) * both)
 
     def prepare(ids: DataFrame):
         texts = cut(placed.withColumnRenamed("did", "id").join(ids.hint("shuffle_hash"), "id", "left_semi"))
 
         def linked(pairs: DataFrame) -> DataFrame:
-            near = pairs.filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-            left = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+            left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(n, percent), "a long, b long").distinct()
 
@@ -137,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands:
     # An id that several rows share links their classes.
     many = sets.groupBy("did").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("did")
     shared = sets.join(many, "did", "left_semi").join(classes.select("key", "id"), "key").select(F.col("did").alias("a"), F.col("id").alias("b"))
-    labels = linked_components(members, prepare, shared)
+    labels = linked_components(members, near, prepare, shared)
     of_class = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("did", "key", F.col("size").alias("n_shingles")).join(of_class, "key", "left")
     component = F.coalesce("component_id", id_of("did"))
