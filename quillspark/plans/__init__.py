@@ -1,6 +1,6 @@
 """All queries of the library over the driver's tables, by name, with their SQL."""
 
-from . import analytics
+from . import analytics, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics"]
+__all__ = ["QUERIES", "SQL", "analytics", "texts"]
