@@ -1,6 +1,6 @@
 """All queries of the library over the driver's tables, by name, with their SQL."""
 
-from . import analytics, discovery, texts
+from . import analytics, discovery, graph, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "discovery", "texts"]
+__all__ = ["QUERIES", "SQL", "analytics", "discovery", "graph", "texts"]
