@@ -1,0 +1 @@
+"""Readers and writers: text files in several encodings, cards, packs, NDJSON and partitioned tables."""
