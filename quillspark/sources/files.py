@@ -25,7 +25,7 @@ def decode(data: bytes, encodings: Sequence[str] = ENCODINGS) -> tuple[str | Non
 
 
 def read_texts(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES, suffix: str = "*.txt") -> DataFrame:
-    """(path, bytes, encoding, text) of the files at path; text is null if no encoding fits, files beyond most_bytes are left out by the scan's filter on length."""
+    """(path, bytes, encoding, text) of the files at path; text is null if no encoding fits, files beyond most_bytes, and empty ones, are left out by the scan."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path).filter(F.col("length") <= most_bytes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
