@@ -207,7 +207,7 @@ def _islands(spark: SparkSession, d: str) -> DataFrame:
     return S.regimes(claims)
 
 
-@query(_CLAIMS + "select target, slot, island, value, claims, start_chapter, end_chapter, round(support, 4) as support, round(conflict, 4) + 0.0 as conflict, round(currentness, 3) as currentness from reg")
+@query(_CLAIMS + "select target, slot, island, value, claims, start_chapter, end_chapter, round(support, 4) as support, case when abs(conflict) < 1e-9 then 0.0::double else round(conflict, 4) end as conflict, round(currentness, 3) as currentness from reg")
 def state_regimes(spark: SparkSession, d: str) -> DataFrame:
     return _islands(spark, d).select("target", "slot", "island", "value", "claims", "start_chapter", "end_chapter", F.round("support", 4).alias("support"), (F.round("conflict", 4) + 0.0).alias("conflict"), F.round("currentness", 3).alias("currentness"))
 
