@@ -41,14 +41,16 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
     """(id, component) over known links (a, b) and those between members (bucket, id, data) of one bucket.
 
     near(x, y) tells from two members' data whether they can be linked at all; prepare() gets the
-    ids (id) that share a bucket with another and returns a function that, given pairs (a, b) with
-    a < b, returns those that are linked. First, every bucket's members meet one of them, the one
-    that shares most buckets with others; so alike members become one component by a row each. Then
-    only near members of different components of a bucket meet, so all links count, while pairs
-    inside a component are never made.
+    ids (id) that have a near one and returns a function that, given pairs (a, b) with
+    a < b, returns those that are linked. Members without a near one are left out at once. Then every
+    bucket's members meet one of them, the one that shares most buckets with others; so alike
+    members become one component by a row each. Last, only near members of different components of
+    a bucket meet, so all links count, while pairs inside a component are never made.
     """
-    size = F.count("*").over(Window.partitionBy("bucket"))
-    rows = cut(members.withColumn("n", size).filter("n > 1"))
+    # Only members with a near one in a bucket matter.
+    other = members.select(F.col("bucket").alias("bucket2"), F.col("id").alias("id2"), F.col("data").alias("data2"))
+    near_one = (F.col("bucket") == F.col("bucket2")) & (F.col("id") != F.col("id2")) & near(F.col("data"), F.col("data2"))
+    rows = cut(members.join(other, near_one, "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("bucket"))))
     links = cut(known.select("a", "b"))
     if rows.isEmpty():
         return components(links)

@@ -1,7 +1,7 @@
 """Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
 A line is normalised by lower-casing A-Z, turning digits into 0 and ASCII punctuation into blanks;
-its words' hashes make a 64-bit SimHash. Lines whose SimHashes differ in at most MOST_BITS bits
+its words' hashes make a 64-bit SimHash, in which long words weigh most. Lines whose SimHashes differ in at most MOST_BITS bits
 agree in at least two of five blocks, so each pair of blocks is a key to join on.
 """
 
@@ -19,6 +19,9 @@ from .common import Words, blocks, bound_batches, cut, mix64, powers, text_buffe
 from .components import linked_components
 
 MOST_BITS, SIMILARITY, MIN_CHARS = 3, 0.9, 20
+LONG, WEIGHT = 4, 9
+#: Up to so many wanted lines are broadcast, as numbers; beyond it texts are shuffled.
+FEW_LINES = 200_000
 #: Block widths of the 64 bits.
 _WIDTHS = (13, 13, 13, 13, 12)
 
@@ -34,11 +37,11 @@ def normal(line: str) -> str:
     return b" ".join(_NORMAL[np.frombuffer(line.encode(), np.uint8)].tobytes().split()).decode("utf-8", "replace")
 
 
-def simhashes(hashes: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The SimHash of each run of words; runs must not be empty."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-    return np.packbits(2 * sums >= counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+def simhashes(hashes: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of words; runs must not be empty. Words of LONG bytes or more weigh WEIGHT, shorter ones, which most lines share, 1."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
+    sums = np.add.reduceat(bits * np.where(sizes >= LONG, WEIGHT, 1).astype(np.int8)[:, None], begin, axis=0, dtype=np.int32)
+    return np.packbits(sums >= 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def _lines(min_chars: int):
@@ -68,7 +71,7 @@ def _lines(min_chars: int):
                 key = mix64(sums[words.first[1:]] - sums[words.first[:-1]] + words.counts.astype(np.uint64))[keep]
                 full = np.flatnonzero(words.counts > 0)
                 sim = np.zeros(len(words.counts), np.uint64)
-                sim[full] = simhashes(hashes, words.first[:-1][full], words.counts[full])
+                sim[full] = simhashes(hashes, words.ends - words.starts, words.first[:-1][full])
                 did, th = (part.column(c).to_numpy(zero_copy_only=False)[row[keep]] for c in ("did", "th"))
                 line = number[keep]
                 order = np.lexsort((line, did, key))
@@ -117,13 +120,22 @@ def _alike(similarity: float):
 
 
 def _bucket_keys(sim):
-    """Two of the five blocks, with their numbers, as one key."""
+    """Two of the five blocks, with the pair's number, as 30 bits."""
     shift, parts = 64, []
     for width in _WIDTHS:
         shift -= width
         parts.append(F.shiftrightunsigned(sim, shift).bitwiseAND(F.lit((1 << width) - 1)))
     pairs = list(combinations(range(len(parts)), 2))
-    return F.array(*[F.lit(k << 32).bitwiseOR(F.shiftleft(parts[i], 13)).bitwiseOR(parts[j]) for k, (i, j) in enumerate(pairs)])
+    return F.array(*[F.lit(k << 26).bitwiseOR(F.shiftleft(parts[i], 13)).bitwiseOR(parts[j]).cast("int") for k, (i, j) in enumerate(pairs)])
+
+
+def _close(lines: DataFrame, most_bits: int) -> DataFrame:
+    """(sim): the SimHashes that several lines have or that lie near another."""
+    sims = lines.groupBy("sim").agg(F.count("*").alias("lines"))
+    keyed = sims.select("sim", F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
+    other = keyed.select(F.col("sim").alias("sim2"), F.col("bucket").alias("bucket2"))
+    near = (F.col("bucket") == F.col("bucket2")) & (F.col("sim") != F.col("sim2")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= most_bits)
+    return keyed.join(other, near, "left_semi").select("sim").union(sims.filter("lines > 1").select("sim")).distinct()
 
 
 def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,15 +159,18 @@ def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int
     found = cut(placed.mapInArrow(_lines(min_chars), schema))
     place = F.struct("did", "line", "th")
     lines = found.filter("not known").groupBy("id").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.count("*").alias("n"))
-    members = lines.select("id", F.struct("sim", "chars").alias("data"), F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
+    close = cut(_close(lines, most_bits))
+    members = lines.join(close, "sim").select("id", F.struct("sim", "chars").alias("data"), F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
 
     def near(x, y):
         short, long = F.least(x["chars"], y["chars"]), F.greatest(x["chars"], y["chars"])
         return (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= most_bits) & (short >= long * similarity - 1)
 
     def prepare(ids: DataFrame):
-        wanted = lines.join(ids, "id").groupBy("first.did", "first.th").agg(F.collect_list(F.struct("first.line", "id")).alias("wanted"))
-        rows = placed.join(wanted.hint("shuffle_hash"), ["did", "th"])
+        wanted = cut(lines.join(ids, "id").groupBy("first.did", "first.th").agg(F.collect_list(F.struct("first.line", "id")).alias("wanted")))
+        # Few texts are wanted; while their list is small they are picked where they lie.
+        few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= FEW_LINES
+        rows = placed.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["did", "th"])
         split = F.split("text", "\n", -1)
         picked = rows.select(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.element_at(split, w["line"] + 1).alias("text"))).alias("w"))
         texts = cut(picked.select(F.explode("w").alias("w")).select("w.id", "w.text"))

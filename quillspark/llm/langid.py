@@ -53,6 +53,9 @@ def grams(text: str) -> np.ndarray:
 
 
 def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and how often each occurs."""
+    if not len(hashes):
+        return hashes, np.empty(0, np.int64)
     x = np.sort(hashes)
     at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
     return x[at], np.diff(np.append(at, len(x)))
@@ -100,7 +103,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(grams(text))
             for lang, found in texts.items():
-                keys, counts = counted(np.concatenate(found)) if found else ((), ())
+                keys, counts = counted(np.concatenate(found))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
 

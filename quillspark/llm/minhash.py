@@ -160,5 +160,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands:
     labels = linked_components(members, near, prepare, shared)
     of_class = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("did", "key", F.col("size").alias("n_shingles")).join(of_class, "key", "left")
-    component = F.coalesce("component_id", id_of("did"))
+    component = F.when(id_of("did").isNotNull(), F.coalesce("component_id", "did"))
     return out.select(id_of("did").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("did"), F.lit(True)).alias("kept"))

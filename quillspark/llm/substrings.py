@@ -4,7 +4,8 @@ A window of a level's length that occurs once cannot be part of a longer repeat,
 windows are extended to twice their length, up to the length asked for. At the first level not
 every window is counted: of the windows of that length inside one of the length asked for, the one
 of least hash (the leftmost of equals) stands for it. Equal long windows have equal ones at the
-same offset, so no repeat is lost, and about 2 in (length - base + 2) windows are counted.
+same offset, so no repeat is lost, and about 2 in (length - base + 2) windows are counted. The next level counts such
+stand-ins of twice the size, and only for long windows whose last stand-in repeats.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, blocks, bound_batches, id_of, mix64, windows, with_place
 
-_SCHEMA = "key long, did long, th long, pos int, weight int"
+_SCHEMA = "key long, did long, th long, pos int, known int"
 
 
 def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -35,30 +36,32 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _marked(key: np.ndarray, row: np.ndarray, did: np.ndarray, th: np.ndarray, pos: np.ndarray, first_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows for the windows of one batch, of which no more than two have the same key, so a passage in very many texts is dealt out.
+def _marked(key: np.ndarray, row: np.ndarray, did: np.ndarray, th: np.ndarray, pos: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+    """Rows for the windows of one block of texts, of which one or two have the same key, so a passage in very many texts is dealt out.
 
-    weight is 1, or 2 for one known to occur twice; other occurrences of a key go by a key of
-    their own, with weight 2 (first_only: with weight -1, as they are not the first).
+    A window's place is its text and position; it repeats if its key has two places. Of a key's
+    windows in the block, the first and one of another place go by the key; others, which are
+    known to repeat, go by a key of their own, and copies of the first's place not at all. At the
+    last level only the first goes by the key; all later ones are known not to be the first.
     """
+    place = mix64(mix64(th[row].view(np.uint64)) + pos.astype(np.uint64))
     order = np.lexsort((pos, did[row], key))
-    key, row, pos = key[order], row[order], pos[order]
+    key, row, pos, place = key[order], row[order], pos[order], place[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    begin = np.flatnonzero(new)
-    many = np.repeat(np.diff(np.append(begin, len(key))) > 1, np.diff(np.append(begin, len(key))))
-    first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-    if first_only:  # a place of equal id and position is as early
-        later = (did[row] != did[row[first]]) | (pos != pos[first])
-        weight = np.where(later, -1, 1)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    if last:  # a place of equal id and position is as early
+        known = (did[row] != did[row[first]]) | (pos != pos[first])
+        keep = np.ones(len(key), bool)
     else:
-        later = ~new
-        weight = np.where(many, 2, 1)
-    own = mix64(key ^ mix64(did[row].view(np.uint64) + pos.astype(np.uint64)) ^ th[row].view(np.uint64))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.where(later, own, key).view(np.int64)), pa.array(did[row]), pa.array(th[row]), pa.array(pos.astype(np.int32)), pa.array(weight.astype(np.int32))],
-        ["key", "did", "th", "pos", "weight"],
-    )
+        other = place != place[first]
+        so_far = np.cumsum(other)
+        nth = so_far - (so_far - other)[first]
+        known = other & (nth > 1)
+        keep = new | other
+    own = mix64(key ^ place ^ did[row].view(np.uint64))
+    columns = (np.where(known, own, key).view(np.int64), did[row], th[row], pos.astype(np.int32), known.astype(np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "did", "th", "pos", "known"])
 
 
 def _flat(words: Words, length: int) -> np.ndarray:
@@ -120,6 +123,9 @@ def _kept(length: int):
                 at = _positions(words, part.column("live"))
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + length, -1)
+                whole = np.flatnonzero(part.column("copy").to_numpy(zero_copy_only=False) & (words.counts >= length))
+                np.add.at(edge, words.first[whole], 1)
+                np.add.at(edge, words.first[whole + 1], -1)
                 keep = np.cumsum(edge)[:n] == 0
                 texts, removed = [], []
                 for first, end in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
@@ -141,8 +147,10 @@ def drop_repeated_passages(docs: DataFrame, length: int = 20, base: int = 5, id_
     ones are joined by one space. Windows are judged on the input. length is base times a power of 2.
 
     A level's windows are counted by their hash in one shuffle; a passage in very many texts sends
-    at most two rows from each block of texts, so no task gets a large share of them. Texts are
-    shuffled once, by row, and that shuffle serves the levels and the result.
+    at most two rows from each block of texts, so no task gets a large share of them. A copy of a
+    whole text with a smaller id loses all its words if it has a window at all; it is told by the
+    text's hash, and copies make no windows repeat. Texts are shuffled once, by row, and that
+    shuffle serves the levels and the result.
 
     A null text has no words. A null id counts as the smallest. Rows that share an id are one
     document whose texts start at the same place: neither is earlier than the other, so equal rows
@@ -152,19 +160,26 @@ def drop_repeated_passages(docs: DataFrame, length: int = 20, base: int = 5, id_
         raise ValueError("length must be base times a power of two")
     bound_batches(docs.sparkSession)
     placed = with_place(docs, id_col, text_col)
+    firsts = placed.groupBy("th").agg(F.min("did").alias("first"))
     live, before, size = None, 0, base
+    key = Window.partitionBy("key")
     while True:
         texts = placed if live is None else placed.join(live.hint("shuffle_hash"), ["did", "th"])
         found = texts.mapInArrow(_level(length, size, before), _SCHEMA)
         if size == length:
-            rank = F.rank().over(Window.partitionBy("key").orderBy("did", "pos"))
-            found = found.withColumn("rank", rank).filter("rank > 1 or weight < 0")
+            found = found.withColumn("rank", F.rank().over(key.orderBy("did", "pos"))).filter("rank > 1 or known = 1")
         else:
-            found = found.withColumn("n", F.sum("weight").over(Window.partitionBy("key"))).filter("n > 1")
+            ends = {f"{f.__name__}_{c}": f(c).over(key) for c in ("th", "pos") for f in (F.min, F.max)}
+            found = found.withColumns(ends).filter("min_th < max_th or min_pos < max_pos or known = 1")
         live = found.groupBy("did", "th").agg(F.collect_list("pos").alias("live"))
+        if not before:  # of equal texts only the first one's windows are followed up
+            live = live.join(firsts, "th").filter(F.col("did") == F.col("first")).drop("first")
         if size == length:
             break
         before, size = size, 2 * size
-    flagged = placed.join(live.hint("shuffle_hash"), ["did", "th"], "left").withColumn("live", F.coalesce("live", F.array().cast("array<int>")))
+    copies = placed.select("did", "th").join(firsts, "th").filter(F.col("did") != F.col("first")).select("did", "th").distinct()
+    none = F.array().cast("array<int>")
+    lost = live.select("did", "th", "live", F.lit(False).alias("copy")).union(copies.select("did", "th", none, F.lit(True)))
+    flagged = placed.join(lost.hint("shuffle_hash"), ["did", "th"], "left").withColumns({"live": F.coalesce("live", none), "copy": F.coalesce("copy", F.lit(False))})
     out = flagged.mapInArrow(_kept(length), "did long, n_words long, n_removed long, kept_text string")
     return out.select(id_of("did").alias("doc_id"), "n_words", "n_removed", "kept_text")

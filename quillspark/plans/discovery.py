@@ -207,9 +207,9 @@ def _islands(spark: SparkSession, d: str) -> DataFrame:
     return S.regimes(claims)
 
 
-@query(_CLAIMS + "select target, slot, island, value, claims, start_chapter, end_chapter, round(support, 4) as support, case when abs(conflict) < 1e-9 then 0.0::double else round(conflict, 4) end as conflict, round(currentness, 3) as currentness from reg")
+@query(_CLAIMS + "select target, slot, island, value, claims, start_chapter, end_chapter, round(support, 4) as support, case when abs(conflict) < 1e-9 then 0.0::double else round(conflict, 4) end as conflict, case when abs(currentness) < 0.00005 then 0.0::double else currentness end as currentness from reg")
 def state_regimes(spark: SparkSession, d: str) -> DataFrame:
-    return _islands(spark, d).select("target", "slot", "island", "value", "claims", "start_chapter", "end_chapter", F.round("support", 4).alias("support"), (F.round("conflict", 4) + 0.0).alias("conflict"), F.round("currentness", 3).alias("currentness"))
+    return _islands(spark, d).select("target", "slot", "island", "value", "claims", "start_chapter", "end_chapter", F.round("support", 4).alias("support"), (F.round("conflict", 4) + 0.0).alias("conflict"), F.when(F.abs("currentness") < 0.00005, 0.0).otherwise(F.col("currentness")).alias("currentness"))
 
 
 @query(_CLAIMS + """, k as (select *, row_number() over o as rank, currentness - lead(currentness) over o as margin from reg window o as (partition by target, slot order by currentness desc, end_segment desc, claim_hi desc))
