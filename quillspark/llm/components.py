@@ -37,6 +37,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with their component, of the buckets that hold members of several."""
+    bucket = Window.partitionBy("bucket")
+    rows = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return cut(rows.withColumns({"lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).filter("lo < hi").drop("lo", "hi"))
+
+
 def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame) -> DataFrame:
     """(id, component) over known links (a, b) and those between members (bucket, id, data) of one bucket.
 
@@ -62,12 +69,11 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
     links = links.union(cut(linked(pairs).select("a", "b")))
 
     labels = components(links)
-    rows = rows.drop("n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    bucket = Window.partitionBy("bucket")
-    rows = cut(rows.withColumns({"lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).filter("lo < hi").drop("lo", "hi"))
+    rows = _apart(rows.drop("n"), labels)
     if rows.isEmpty():
         return labels
     other = rows.select("bucket", F.col("id").alias("id2"), F.col("data").alias("data2"), F.col("component").alias("component2"))
     met = rows.join(other, "bucket").filter((F.col("component") < F.col("component2")) & near(F.col("data"), F.col("data2")))
     found = cut(linked(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()).select("a", "b"))
-    return components(links.union(found))
+    # The labels found so far are stars, so few rounds are left.
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))

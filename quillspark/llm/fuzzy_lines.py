@@ -107,13 +107,29 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+def within(a: str, b: str, most: float) -> bool:
+    """Whether the Levenshtein distance is at most most; only what lies between the common ends is measured, if bounds leave it open."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    if len(a) == len(b) and len(differ) <= most:
+        return True
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(x[len(x) - n + head :][::-1] != y[len(y) - n + head :][::-1])
+    tail = int(differ[0]) if len(differ) else n - head
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    return max(len(a), len(b)) <= most or distance(a, b) <= most
+
+
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 a, b = normal(a), normal(b)
-                keep.append(distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9)
+                keep.append(within(a, b, (1 - similarity) * max(len(a), len(b)) + 1e-9))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run

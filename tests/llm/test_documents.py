@@ -160,6 +160,7 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12))) for _ in range(2))
         assert fuzzy_lines.distance(a, b) == plain(a, b)
+        assert all(fuzzy_lines.within(a, b, most) == (plain(a, b) <= most) for most in (0, 1, 2.5, 4, 12))
 
 
 def test_bpe_equals_the_library(spark, docs):
