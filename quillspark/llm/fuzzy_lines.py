@@ -2,7 +2,9 @@
 
 A line is normalised by lower-casing A-Z, turning digits into 0 and ASCII punctuation into blanks;
 its words' hashes make a 64-bit SimHash, in which long words weigh most. Lines whose SimHashes differ in at most MOST_BITS bits
-agree in at least two of five blocks, so each pair of blocks is a key to join on.
+agree in at least two of five blocks, so each pair of blocks is a key to join on. Few bits miss most
+lines that differ in a word, so without a bound on them runs of words are the keys: those of the
+least hashes in each line, short enough for some to lie between the edits.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, bound_batches, cut, mix64, powers, text_buffers, with_place
@@ -20,6 +22,10 @@ from .components import linked_components
 
 MOST_BITS, SIMILARITY, MIN_CHARS = 3, 0.9, 20
 LONG, WEIGHT = 4, 9
+#: A run is of as few words as have RUN bytes; so many of a line are keys. Lines of up to so many characters have runs of fewer bytes too.
+RUN, RUNS, SHORT = 12, 24, {48: 5, 100: 7}
+#: Words of more bytes are cut where their bytes say so, and each character of three bytes or more is a word.
+LONG_WORD = 16
 #: Up to so many wanted lines are broadcast, as numbers; beyond it texts are shuffled.
 FEW_LINES = 200_000
 #: Block widths of the 64 bits.
@@ -44,8 +50,81 @@ def simhashes(hashes: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> np.nd
     return np.packbits(sums >= 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _lines(min_chars: int):
-    """Of each text's lines that are long enough: place, hash, SimHash and length; known: an equal line of this block is earlier."""
+def _tokens(words: Words) -> Words:
+    """The words' pieces: characters of three bytes or more, parts of long words, and all other words as they are."""
+    data, starts, ends = words.data, words.starts, words.ends
+    lead = (data & 0xC0) != 0x80
+    wide = data >= 0xE0
+    last = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
+    cuts = lead & wide
+    cuts[1:] |= lead[1:] & wide[last[:-1]]
+    if len(data) > 1:
+        pair = mix64(data[1:].astype(np.uint64) << np.uint64(8) | data[:-1])
+        word = np.clip(np.searchsorted(starts, np.arange(1, len(data)), "right") - 1, 0, None)
+        cuts[1:] |= lead[1:] & ((pair & np.uint64(3)) == 0) & ((ends - starts) > LONG_WORD)[word]
+    cuts &= data != 32
+    cuts[starts] = True
+    out = Words.__new__(Words)
+    out.data, out.offsets, out.starts = data, words.offsets, np.flatnonzero(cuts)
+    word = np.searchsorted(starts, out.starts, "right") - 1
+    out.ends = np.minimum(ends[word], np.append(out.starts[1:], len(data)))
+    out.first = np.searchsorted(out.starts, out.offsets)
+    out.counts = np.diff(out.first)
+    return out
+
+
+def _runs(tokens: Words, hashes: np.ndarray, row: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's line and hash; a run goes from a token to the first that brings it to length bytes."""
+    sizes = np.concatenate(([0], np.cumsum(tokens.ends - tokens.starts)))
+    end = np.searchsorted(sizes, sizes[:-1] + length)
+    i = np.flatnonzero(end <= tokens.first[1:][row])
+    _, down = powers(int(tokens.counts.max()) + 1)
+    at = i - tokens.first[:-1][row[i]]
+    return row[i], mix64((sums[end[i]] - sums[i]) * down[at] + np.uint64(length))
+
+
+def run_keys(words: Words, points: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all lines, one after the other, and how many each line has."""
+    tokens = _tokens(words)
+    hashes = tokens.hashes()
+    row = np.repeat(np.arange(len(tokens.counts)), tokens.counts)
+    up, _ = powers(int(tokens.counts.max()) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[np.arange(len(row)) - tokens.first[:-1][row]], dtype=np.uint64)))
+
+    def least(rows, keys, most):
+        order = np.lexsort((keys, rows))
+        rows, keys = rows[order], keys[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])))[: len(rows)]
+        rows, keys = rows[new], keys[new]
+        few = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
+        return rows[few], keys[few]
+
+    found = [least(*_runs(tokens, hashes, row, sums, RUN), RUNS)]
+    # Short runs are met only among lines of like length; a line belongs to its own class of length and the next.
+    for short, length in SHORT.items():
+        rows, keys = _runs(tokens, hashes, row, sums, length)
+        rows, keys = (x[points[rows] <= short] for x in (rows, keys))
+        if 0 < similarity < 1:
+            size = np.floor(np.log(points[rows]) / -np.log(similarity)).astype(np.uint64)
+            found += [least(rows, mix64(keys ^ mix64(size + np.uint64(k))), RUNS) for k in (1, 2)]
+    rows, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    return keys[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(tokens.counts))
+
+
+_BINS = np.arange(256) % 16
+for _k, _c in enumerate(b"etaoinshrdlucmfwypvbgkqjxz"):
+    _BINS[_c] = _k % 16
+
+
+def bags(data: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters but blanks of each line, in all and in 16 bins of up to 255, eight to a number; an edit moves at most two counts by one."""
+    lead = ((data & 0xC0) != 0x80) & (data != 32) & ((data < 9) | (data > 13))
+    counts = np.bincount(row[lead] * 16 + _BINS[data[lead]], minlength=16 * n).reshape(n, 16)
+    return counts.sum(axis=1), np.minimum(counts, 255).astype(np.uint8).view(np.int64)
+
+
+def _lines(min_chars: int, similarity: float | None = None):
+    """Of each text's lines that are long enough: place, hash, SimHash and length; known: an equal line of this block is earlier. With a similarity also its run keys and bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,21 +146,28 @@ def _lines(min_chars: int):
                     continue
                 up, _ = powers(int(words.counts.max()) + 1)
                 at = np.arange(len(hashes)) - np.repeat(words.first[:-1], words.counts)
-                sums = np.concatenate(([0], np.cumsum(hashes * up[at], dtype=np.uint64))).astype(np.uint64)
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[at], dtype=np.uint64)))
                 key = mix64(sums[words.first[1:]] - sums[words.first[:-1]] + words.counts.astype(np.uint64))[keep]
                 full = np.flatnonzero(words.counts > 0)
                 sim = np.zeros(len(words.counts), np.uint64)
                 sim[full] = simhashes(hashes, words.ends - words.starts, words.first[:-1][full])
                 did, th = (part.column(c).to_numpy(zero_copy_only=False)[row[keep]] for c in ("did", "th"))
                 line = number[keep]
+                owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(data))))
+                points, bag = bags(words.data, owner, len(starts))
+                points += np.maximum(words.counts - 1, 0)
                 order = np.lexsort((line, did, key))
                 k, d, n = key[order], did[order], line[order]
                 first = np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(k)), 0))
                 known = (d != d[first]) | (n != n[first])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d), pa.array(th[order]), pa.array(n.astype(np.int32)), pa.array(k.view(np.int64)), pa.array(sim[keep][order].view(np.int64)), pa.array(size[keep][order].astype(np.int32)), pa.array(known)],
-                    ["did", "th", "line", "id", "sim", "chars", "known"],
-                )
+                columns = [pa.array(d), pa.array(th[order]), pa.array(n.astype(np.int32)), pa.array(k.view(np.int64)), pa.array(sim[keep][order].view(np.int64)), pa.array(points[keep][order].astype(np.int32)), pa.array(known)]
+                names = ["did", "th", "line", "id", "sim", "chars", "known"]
+                if similarity is not None:
+                    flat, counts = run_keys(words, points, similarity)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    columns += [lists.take(pa.array(np.where(known, None, keep[order]), pa.int64())), *(pa.array(bag[keep, j][order]) for j in (0, 1))]
+                    names += ["runs", "bag", "bag2"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -123,13 +209,24 @@ def within(a: str, b: str, most: float) -> bool:
     return max(len(a), len(b)) <= most or distance(a, b) <= most
 
 
+def _pairs_of(a: str) -> np.ndarray:
+    x = np.frombuffer(a.encode("utf-32-le"), np.uint32)
+    return np.bincount((x[1:] * np.uint32(31) + x[:-1]) & np.uint32(255), minlength=256)
+
+
+def far(a: str, b: str, most: float) -> bool:
+    """Whether more pairs of neighbours differ than most edits can change, which is four each."""
+    return int(np.abs(_pairs_of(a) - _pairs_of(b)).sum()) > 4 * most
+
+
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 a, b = normal(a), normal(b)
-                keep.append(within(a, b, (1 - similarity) * max(len(a), len(b)) + 1e-9))
+                most = (1 - similarity) * max(len(a), len(b)) + 1e-9
+                keep.append(not far(a, b, most) and within(a, b, most))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -154,33 +251,50 @@ def _close(lines: DataFrame, most_bits: int) -> DataFrame:
     return keyed.join(other, near, "left_semi").select("sim").union(sims.filter("lines > 1").select("sim")).distinct()
 
 
-def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int | None = MOST_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's repeated lines removed, and n_lines and n_removed.
 
     Lines are what lies between newlines. Lines of fewer than min_chars normalised characters stay.
     Two others are linked if they are equal once normalised, or if their SimHashes differ in at
     most most_bits (3 at most) bits and their edit similarity, 1 - distance / longer length, is at
-    least similarity. Of each connected group the first occurrence by (id, line) stays.
+    least similarity. With most_bits None the edit similarity alone decides, over all lines that
+    share a run of words (RUN, RUNS); that finds nearly all pairs, see the README for the share.
+    Of each connected group the first occurrence by (id, line) stays.
 
     A null text stays null with no lines. A null id counts as the smallest. Rows of equal id and
     text keep the same lines. An empty table gives an empty result. Columns of docs named n_lines or
     n_removed are replaced; all others pass through. Only lines that repeat or share a bucket are
     looked up again; a line in very many texts is counted once per block of texts.
     """
-    if not 0 <= most_bits <= 3:
-        raise ValueError("most_bits must be from 0 to 3")
+    if most_bits is not None and not 0 <= most_bits <= 3:
+        raise ValueError("most_bits must be from 0 to 3 or None")
+    by_runs = most_bits is None
     bound_batches(docs.sparkSession)
     placed = with_place(docs, id_col, text_col)
-    schema = "did long, th long, line int, id long, sim long, chars int, known boolean"
-    found = cut(placed.mapInArrow(_lines(min_chars), schema))
+    schema = "did long, th long, line int, id long, sim long, chars int, known boolean" + (", runs array<int>, bag long, bag2 long" if by_runs else "")
+    found = cut(placed.mapInArrow(_lines(min_chars, similarity if by_runs else None), schema))
     place = F.struct("did", "line", "th")
     lines = found.filter("not known").groupBy("id").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.count("*").alias("n"))
-    close = cut(_close(lines, most_bits))
-    members = lines.join(close, "sim").select("id", F.struct("sim", "chars").alias("data"), F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
+    if by_runs:
+        # Nearly all runs are of one line; only the others' lines are looked up again.
+        bucket = Window.partitionBy("bucket")
+        kinds = found.filter("not known").groupBy("id").agg(F.first("runs").alias("runs"))
+        keyed = kinds.select("id", F.explode("runs").alias("bucket")).withColumns({"lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket)})
+        shared = keyed.filter("lo < hi").select("id", "bucket")
+        data = found.filter("not known").groupBy("id").agg(F.first("bag").alias("bag"), F.first("bag2").alias("bag2"), F.first("chars").alias("chars"))
+        members = cut(shared.join(data, "id").select("id", F.struct("bag", "bag2", "chars").alias("data"), "bucket"))
+    else:
+        close = cut(_close(lines, most_bits))
+        members = lines.join(close, "sim").select("id", F.struct("sim", "chars").alias("data"), F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
 
     def near(x, y):
         short, long = F.least(x["chars"], y["chars"]), F.greatest(x["chars"], y["chars"])
-        return (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= most_bits) & (short >= long * similarity - 1)
+        sizes = short >= long * similarity - 1
+        if not by_runs:
+            return (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= most_bits) & sizes
+        count = lambda z, c, k: F.shiftrightunsigned(z[c], 8 * k).bitwiseAND(F.lit(255))
+        moved = sum((F.abs(count(x, c, k) - count(y, c, k)) for c in ("bag", "bag2") for k in range(8)), F.lit(0))
+        return sizes & (moved <= 2 * (1 - similarity) * long + 1e-6)
 
     def prepare(ids: DataFrame):
         wanted = cut(lines.join(ids, "id").groupBy("first.did", "first.th").agg(F.collect_list(F.struct("first.line", "id")).alias("wanted")))

@@ -105,7 +105,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_fuzzy_lines(_table(spark, sf_dir, "documents"))
+    kept = drop_fuzzy_lines(_table(spark, sf_dir, "documents"), most_bits=None)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -262,3 +262,48 @@ def test_languages_of_null_columns(spark):
     df = spark.createDataFrame([(None, None, None)], "doc_id long, text string, lang string")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     assert langid.predict(df, langid.learn(df, ~held)).first().lang_pred == "und"
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark):
+    """Groups of edited lines against brute force, without a bound on the SimHash."""
+    rnd = random.Random(4)
+    letters = "abcdefghijklmnop"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9)))
+    lines = []
+    for n in [8, 12, 20, 30, 50] * 6:
+        words = [word() for _ in range(n)]
+        lines.append(" ".join(words))
+        at = rnd.randrange(n)
+        lines.append(" ".join([*words[:at], word()[: len(words[at])], *words[at + 1 :]]))
+        text = list(lines[-2])
+        for _ in range(len(text) // 25):
+            text[rnd.randrange(len(text))] = rnd.choice(letters)
+        lines.append("".join(text))
+    lines += ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(40))]
+    lines += [lines[-1][:17] + "一" + lines[-1][18:]]
+    kinds = sorted({fuzzy_lines.normal(x) for x in lines})
+    parent = {m: m for m in kinds}
+
+    def root(m):
+        while parent[m] != m:
+            m = parent[m]
+        return m
+
+    for a, x in enumerate(kinds):
+        for y in kinds[:a]:
+            if fuzzy_lines.within(x, y, 0.1 * max(len(x), len(y)) + 1e-9):
+                parent[root(x)] = root(y)
+    seen = set()
+    kept = [x for x in lines if root(fuzzy_lines.normal(x)) not in seen and not seen.add(root(fuzzy_lines.normal(x)))]
+    assert len(kept) < len(lines) // 2
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string").repartition(4)
+    got = fuzzy_lines.drop_fuzzy_lines(df, most_bits=None).filter("text <> ''").orderBy("doc_id")
+    assert [r.text for r in got.collect()] == kept
+
+
+def test_equal_lines_have_one_id():
+    line = "the same line of a good many words, wherever it lies"
+    rows = pa.RecordBatch.from_pydict({"did": list(range(50)), "th": list(range(50)), "text": ["x " * k + "\n" + line for k in range(50)]})
+    found = pa.Table.from_batches(fuzzy_lines._lines(20)(iter([rows])))
+    same = [i for i, n in zip(found["id"].to_pylist(), found["line"].to_pylist(), strict=True) if n == 1]
+    assert len(same) == 50 and len(set(same)) == 1
