@@ -65,10 +65,11 @@ def window_starts(length: Column, size: int = 500, step: int = 250) -> Column:
     return F.when(length <= 0, F.array().cast("array<int>")).when(last <= 0, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))))
 
 
-def chunks(texts: DataFrame, id_col: str, text_col: str, size: int = 7000, overlap: int = 500, most: int = 8) -> DataFrame:
-    """(id, chunk, content): up to most trimmed chunks of size characters that overlap."""
+def chunks(texts: DataFrame, id_col: str, text_col: str, size: int = 7000, overlap: int = 500, most: int | None = None) -> DataFrame:
+    """(id, chunk, content): the trimmed chunks of size characters that overlap, all or the first most."""
     text = F.col(text_col)
-    starts = F.slice(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1 - overlap), F.lit(size - overlap)), 1, most)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - 1 - overlap), F.lit(size - overlap))
+    starts = starts if most is None else F.slice(starts, 1, most)
     rows = texts.select(F.col(id_col).alias("id"), text.alias("t"), F.posexplode(starts).alias("chunk", "at"))
     return rows.select("id", "chunk", F.trim(F.substring("t", F.col("at") + 1, F.lit(size))).alias("content")).filter("content <> ''")
 

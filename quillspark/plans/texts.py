@@ -116,6 +116,11 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return I.chunks(docs(spark, d), "doc_id", "text", 1000, 100, 8).withColumn("chunk", F.col("chunk").cast("long"))
 
 
+@query("""select id, k as chunk, trim(substring(text, k * 6500 + 1, 7000)) as content from (select doc_id as id, text, unnest(range(0, greatest(0, length(text) - 501) // 6500 + 1)) as k from documents) where trim(substring(text, k * 6500 + 1, 7000)) <> ''""")
+def text_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
+    return I.chunks(docs(spark, d), "doc_id", "text").withColumn("chunk", F.col("chunk").cast("long"))
+
+
 @query("""with s as (select doc_id, md5(text) as v from documents where doc_id % 5 <> 0), g as (select doc_id, case when doc_id % 7 = 0 then 'changed' else md5(text) end as v from documents where doc_id % 3 <> 0)
  select coalesce(s.doc_id, g.doc_id) as doc_id, case when s.doc_id is null then 'insert' when g.doc_id is null then 'delete' when s.v = g.v then 'keep' else 'update' end as action from s full join g on s.doc_id = g.doc_id""")
 def chapter_sync(spark: SparkSession, d: str) -> DataFrame:

@@ -126,3 +126,11 @@ def test_dirty_partitions_are_replaced(spark, tmp_path):
     stream.run_available(rows, str(tmp_path / "cp"), handle)
     got = {(r.novel_id, r.content) for r in spark.read.parquet(str(tmp_path / "index")).collect()}
     assert got == {(1, "a"), (2, "new")}
+
+
+def test_chunks_reach_the_end_of_a_text(spark):
+    from quillspark.operators import ingest
+
+    text = "".join(chr(97 + k * k % 26) for k in range(70_000)) + "end"
+    rows = sorted((r.chunk, r.content) for r in ingest.chunks(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect())
+    assert len(rows) == 11 and rows[0][1] + "".join(c[500:] for _, c in rows[1:]) == text
