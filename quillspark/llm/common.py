@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows whose id is null take part under this id, so that joins and orders hold for them too.
 NULL_ID = -(2**63)
 #: Bytes of text that a task works on at once in numpy.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -23,19 +25,49 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where none is set, a temporary one serves a local session; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the session's shared checkpoint folder and returns it without its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps the Arrow batches that go to Python small, as one text may be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+@contextmanager
+def scratch(spark: SparkSession):
+    """A function that writes a DataFrame as a Parquet table in the shared folder and returns it read again. Its shuffle files go once it is written, the tables at the end, so what leaves the block must be cut."""
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    names = iter(range(1_000_000))
+
+    def written(df: DataFrame) -> DataFrame:
+        path, key = f"{folder}/{next(names)}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(key, before)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield written
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds the Arrow batches that go to Python by bytes, as one text may be very long. The setting stays in the session, since plans run after they are made."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -39,37 +39,40 @@ def components(links: DataFrame) -> DataFrame:
 
 def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with their component, of the buckets that hold members of several."""
-    bucket = Window.partitionBy("bucket")
     rows = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return cut(rows.withColumns({"lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).filter("lo < hi").drop("lo", "hi"))
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    return cut(rows.join(mixed, "bucket"))
+
+
+def close_members(members: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """The members (bucket, id, data) that have a near one of another id in their bucket."""
+    near_one = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") != F.col("y.id")) & near(F.col("x.data"), F.col("y.data"))
+    return members.alias("x").join(members.alias("y"), near_one, "left_semi")
 
 
 def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame) -> DataFrame:
     """(id, component) over known links (a, b) and those between members (bucket, id, data) of one bucket.
 
-    near(x, y) tells from two members' data whether they can be linked at all; prepare() gets the
-    ids (id) that have a near one and returns a function that, given pairs (a, b) with
-    a < b, returns those that are linked. Members without a near one are left out at once. Then every
-    bucket's members meet one of them, the one that shares most buckets with others; so alike
-    members become one component by a row each. Last, only near members of different components of
-    a bucket meet, so all links count, while pairs inside a component are never made.
+    near(x, y) tells from two members' data whether they can be linked at all; members without a
+    near one should be left out, see close_members(), and the rest be without lineage. prepare() gets the ids (id) of all members
+    and returns a function that, given pairs (a, b) with a < b, returns those that are linked.
+    First every bucket's members meet one of them, the least; so alike members become one component
+    by a row each. Then only near members of different components of a bucket meet, so all links
+    count, while pairs inside a component are never made. A bucket is no task's: it is summed with
+    partial aggregates and joined back, and a join's large side may be split.
     """
-    # Only members with a near one in a bucket matter.
-    other = members.select(F.col("bucket").alias("bucket2"), F.col("id").alias("id2"), F.col("data").alias("data2"))
-    near_one = (F.col("bucket") == F.col("bucket2")) & (F.col("id") != F.col("id2")) & near(F.col("data"), F.col("data2"))
-    rows = cut(members.join(other, near_one, "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("bucket"))))
+    rows = members
     links = cut(known.select("a", "b"))
     if rows.isEmpty():
         return components(links)
     linked = prepare(rows.select("id").distinct())
-    weight = rows.groupBy("id").agg(F.sum("n").alias("weight"))
-    hubs = rows.join(weight, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "data"), F.struct("weight", -F.col("id"))).alias("hub"))
+    hubs = rows.groupBy("bucket").agg(F.min(F.struct("id", "data")).alias("hub"))
     met = rows.join(hubs, "bucket").filter((F.col("id") != F.col("hub.id")) & near(F.col("data"), F.col("hub.data")))
-    pairs = met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    pairs = met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     links = links.union(cut(linked(pairs).select("a", "b")))
 
     labels = components(links)
-    rows = _apart(rows.drop("n"), labels)
+    rows = _apart(rows, labels)
     if rows.isEmpty():
         return labels
     other = rows.select("bucket", F.col("id").alias("id2"), F.col("data").alias("data2"), F.col("component").alias("component2"))

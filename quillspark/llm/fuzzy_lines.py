@@ -1,41 +1,46 @@
 """Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per group.
 
-A line is normalised by lower-casing A-Z, turning digits into 0 and ASCII punctuation into blanks;
-its words' hashes make a 64-bit SimHash, in which long words weigh most. Lines whose SimHashes differ in at most MOST_BITS bits
-agree in at least two of five blocks, so each pair of blocks is a key to join on. Few bits miss most
-lines that differ in a word, so without a bound on them runs of words are the keys: those of the
-least hashes in each line, short enough for some to lie between the edits.
+A line is normalised by lower-casing A-Z, turning digits into 0 and ASCII punctuation into blanks.
+Each bit of its SimHash, 128 in all, is what most of its words' hashes have there, by weight.
+Each half's bits are cut into nine blocks, of which blocks k, k + 1 and k + 3 around the circle are
+a key, so a differing block spoils three keys: halves that differ in two bits share a key for
+certain, and of others most do (the README has the shares). Lines that share a key of one half and
+differ in few bits of the other are near, and the edit similarity of the lines decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, bound_batches, cut, mix64, powers, text_buffers, with_place
+from .common import BLOCK_BYTES, NULL_ID, Words, bound_batches, cut, mix64, powers, scratch, text_buffers
 from .components import linked_components
 
-MOST_BITS, SIMILARITY, MIN_CHARS = 3, 0.9, 20
-LONG, WEIGHT = 4, 9
-#: A run is of as few words as have RUN bytes; so many of a line are keys. Lines of up to so many characters have runs of fewer bytes too.
-RUN, RUNS, SHORT = 12, 24, {48: 5, 100: 7}
+MOST_BITS, SIMILARITY, MIN_CHARS = 9, 0.9, 20
+#: Bits of a block. A key has three blocks; 2 ** (3 * WIDTH) keys should not be far fewer than the different lines.
+WIDTH = 7
+#: Words of so many bytes count twice.
+LONG = 4
 #: Words of more bytes are cut where their bytes say so, and each character of three bytes or more is a word.
-LONG_WORD = 16
-#: Up to so many wanted lines are broadcast, as numbers; beyond it texts are shuffled.
-FEW_LINES = 200_000
-#: Block widths of the 64 bits.
-_WIDTHS = (13, 13, 13, 13, 12)
+LONG_WORD = 64
+#: Ratio of the lengths from one class to the next.
+CLASS = 1.04
+#: Bits of the map of wanted lines that is sent to all; once it is full, more lines than needed are looked at.
+MAP_BITS = 24
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
 _NORMAL[48:58] = 48
 for _lo, _hi in ((33, 48), (58, 65), (91, 97), (123, 127)):
     _NORMAL[_lo:_hi] = 32
+_U = np.uint64
+#: A byte's bits as eight counters of eight bits, and the same twice as heavy.
+_SPREAD = np.outer((1, 2), np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(_U).ravel()).ravel().astype(_U)
 
 
 def normal(line: str) -> str:
@@ -43,29 +48,48 @@ def normal(line: str) -> str:
     return b" ".join(_NORMAL[np.frombuffer(line.encode(), np.uint8)].tobytes().split()).decode("utf-8", "replace")
 
 
-def simhashes(hashes: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The SimHash of each run of words; runs must not be empty. Words of LONG bytes or more weigh WEIGHT, shorter ones, which most lines share, 1."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
-    sums = np.add.reduceat(bits * np.where(sizes >= LONG, WEIGHT, 1).astype(np.int8)[:, None], begin, axis=0, dtype=np.int32)
-    return np.packbits(sums >= 0, axis=1).view(">u8").ravel().astype(np.uint64)
+def simhashes(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(run, 2): the 128 bits of each run of words; first has each run's first word, and the end. Words of LONG bytes or more count twice, as most lines share the shorter ones."""
+    counts, weights = np.diff(first), np.where(sizes >= LONG, 2, 1)
+    parts = np.maximum(1, -(-counts // 127))  # as many words as a counter holds
+    row = np.repeat(np.arange(len(counts)), parts)
+    begin = first[:-1][row] + 127 * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+    end = np.minimum(begin + 127, first[1:][row])
+    sums = np.empty((len(row), 128), np.uint8)
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(end, begin[at] + (1 << 16), "right")))
+        lo, hi = begin[at], end[stop - 1]
+        heavy, lane = 256 * (weights[lo:hi] - 1), np.zeros(hi - lo + 1, _U)
+        for half, own in enumerate((hashes[lo:hi], mix64(hashes[lo:hi] + _U(1)))):
+            for j in range(8):
+                np.cumsum(np.take(_SPREAD, ((own >> _U(8 * j)) & _U(255)).view(np.int64) + heavy), out=lane[1:])
+                sums[at:stop, 64 * half + 8 * j : 64 * half + 8 * j + 8] = (lane[end[at:stop] - lo] - lane[begin[at:stop] - lo]).view(np.uint8).reshape(-1, 8)
+        at = stop
+    if len(row) > len(counts):
+        sums = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
+    all_ = np.concatenate(([0], np.cumsum(weights)))
+    return np.packbits(sums > ((all_[first[1:]] - all_[first[:-1]]) // 2)[:, None], axis=1).view(_U)
 
 
 def _tokens(words: Words) -> Words:
     """The words' pieces: characters of three bytes or more, parts of long words, and all other words as they are."""
     data, starts, ends = words.data, words.starts, words.ends
-    lead = (data & 0xC0) != 0x80
     wide = data >= 0xE0
+    if not len(starts) or not (wide.any() or (ends - starts).max() > LONG_WORD):
+        return words
+    lead = (data & 0xC0) != 0x80
     last = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
     cuts = lead & wide
     cuts[1:] |= lead[1:] & wide[last[:-1]]
     if len(data) > 1:
-        pair = mix64(data[1:].astype(np.uint64) << np.uint64(8) | data[:-1])
+        pair = mix64(data[1:].astype(_U) << _U(8) | data[:-1])
         word = np.clip(np.searchsorted(starts, np.arange(1, len(data)), "right") - 1, 0, None)
-        cuts[1:] |= lead[1:] & ((pair & np.uint64(3)) == 0) & ((ends - starts) > LONG_WORD)[word]
+        cuts[1:] |= lead[1:] & ((pair & _U(3)) == 0) & ((ends - starts) > LONG_WORD)[word]
     cuts &= data != 32
     cuts[starts] = True
     out = Words.__new__(Words)
-    out.data, out.offsets, out.starts = data, words.offsets, np.flatnonzero(cuts)
+    out.data, out.offsets, out.starts = data, words.offsets, np.flatnonzero(cuts & _inside(data, starts, ends))
     word = np.searchsorted(starts, out.starts, "right") - 1
     out.ends = np.minimum(ends[word], np.append(out.starts[1:], len(data)))
     out.first = np.searchsorted(out.starts, out.offsets)
@@ -73,105 +97,89 @@ def _tokens(words: Words) -> Words:
     return out
 
 
-def _runs(tokens: Words, hashes: np.ndarray, row: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each run's line and hash; a run goes from a token to the first that brings it to length bytes."""
-    sizes = np.concatenate(([0], np.cumsum(tokens.ends - tokens.starts)))
-    end = np.searchsorted(sizes, sizes[:-1] + length)
-    i = np.flatnonzero(end <= tokens.first[1:][row])
-    _, down = powers(int(tokens.counts.max()) + 1)
-    at = i - tokens.first[:-1][row[i]]
-    return row[i], mix64((sums[end[i]] - sums[i]) * down[at] + np.uint64(length))
-
-
-def run_keys(words: Words, points: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all lines, one after the other, and how many each line has."""
-    tokens = _tokens(words)
-    hashes = tokens.hashes()
-    row = np.repeat(np.arange(len(tokens.counts)), tokens.counts)
-    up, _ = powers(int(tokens.counts.max()) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[np.arange(len(row)) - tokens.first[:-1][row]], dtype=np.uint64)))
+def _inside(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each byte lies in a word."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
-    def least(rows, keys, most):
-        order = np.lexsort((keys, rows))
-        rows, keys = rows[order], keys[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])))[: len(rows)]
-        rows, keys = rows[new], keys[new]
-        few = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
-        return rows[few], keys[few]
 
-    found = [least(*_runs(tokens, hashes, row, sums, RUN), RUNS)]
-    # Short runs are met only among lines of like length; a line belongs to its own class of length and the next.
-    for short, length in SHORT.items():
-        rows, keys = _runs(tokens, hashes, row, sums, length)
-        rows, keys = (x[points[rows] <= short] for x in (rows, keys))
-        if 0 < similarity < 1:
-            size = np.floor(np.log(points[rows]) / -np.log(similarity)).astype(np.uint64)
-            found += [least(rows, mix64(keys ^ mix64(size + np.uint64(k))), RUNS) for k in (1, 2)]
-    rows, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-    return keys[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(tokens.counts))
+def _runs_hashed(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each run of items."""
+    counts = np.diff(first)
+    up, _ = powers(int(counts.max(initial=0)) + 1)
+    at = np.arange(len(hashes)) - np.repeat(first[:-1], counts)
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashes * up[at], dtype=_U)))
+    return mix64(sums[first[1:]] - sums[first[:-1]] + counts.astype(_U))
 
 
-_BINS = np.arange(256) % 16
-for _k, _c in enumerate(b"etaoinshrdlucmfwypvbgkqjxz"):
-    _BINS[_c] = _k % 16
+def _line_starts(batch: pa.RecordBatch):
+    """The texts' bytes, and each line's start, row and number in its text."""
+    data, offsets = text_buffers(batch.column("text"))
+    breaks = np.flatnonzero(data == 10) + 1
+    # A break that ends a text comes before the next text's own start.
+    starts = np.concatenate((offsets[:-1], breaks))
+    row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, "right") - 1))
+    order = np.lexsort((starts, row))
+    starts, row = starts[order], row[order]
+    return data, starts, row, np.arange(len(row)) - np.searchsorted(row, row)
 
 
-def bags(data: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Characters but blanks of each line, in all and in 16 bins of up to 255, eight to a number; an edit moves at most two counts by one."""
-    lead = ((data & 0xC0) != 0x80) & (data != 32) & ((data < 9) | (data > 13))
-    counts = np.bincount(row[lead] * 16 + _BINS[data[lead]], minlength=16 * n).reshape(n, 16)
-    return counts.sum(axis=1), np.minimum(counts, 255).astype(np.uint8).view(np.int64)
+def _lines(min_chars: int):
+    """Of each text's lines with words: place, hash, SimHash (sim, sim2) and length, 0 for those too short to be compared; known: an equal line of this block is earlier.
 
-
-def _lines(min_chars: int, similarity: float | None = None):
-    """Of each text's lines that are long enough: place, hash, SimHash and length; known: an equal line of this block is earlier. With a similarity also its run keys and bag."""
+    Lines, not texts, make the blocks that are worked on at once, so a very long text takes no more memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
-                data, offsets = text_buffers(part.column("text"))
-                breaks = np.flatnonzero(data == 10) + 1
-                starts = np.sort(np.concatenate((offsets[:-1], breaks)), kind="stable")
-                # Breaks that begin a text's line come after the text's own start.
-                row = np.sort(np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, "right") - 1)), kind="stable")
-                number = np.arange(len(row)) - np.searchsorted(row, row)
-                words = Words.of(_NORMAL[data], np.append(starts, len(data)))
-                if not len(words.starts):
-                    continue
-                hashes = words.hashes()
-                chars = np.concatenate(([0], np.cumsum(words.ends - words.starts + 1)))
-                size = chars[words.first[1:]] - chars[words.first[:-1]] - 1
-                keep = np.flatnonzero((size >= min_chars) & (words.counts > 0))
-                if not len(keep):
-                    continue
-                up, _ = powers(int(words.counts.max()) + 1)
-                at = np.arange(len(hashes)) - np.repeat(words.first[:-1], words.counts)
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[at], dtype=np.uint64)))
-                key = mix64(sums[words.first[1:]] - sums[words.first[:-1]] + words.counts.astype(np.uint64))[keep]
-                full = np.flatnonzero(words.counts > 0)
-                sim = np.zeros(len(words.counts), np.uint64)
-                sim[full] = simhashes(hashes, words.ends - words.starts, words.first[:-1][full])
-                did, th = (part.column(c).to_numpy(zero_copy_only=False)[row[keep]] for c in ("did", "th"))
-                line = number[keep]
-                owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(data))))
-                points, bag = bags(words.data, owner, len(starts))
-                points += np.maximum(words.counts - 1, 0)
-                order = np.lexsort((line, did, key))
-                k, d, n = key[order], did[order], line[order]
-                first = np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(k)), 0))
-                known = (d != d[first]) | (n != n[first])
-                columns = [pa.array(d), pa.array(th[order]), pa.array(n.astype(np.int32)), pa.array(k.view(np.int64)), pa.array(sim[keep][order].view(np.int64)), pa.array(points[keep][order].astype(np.int32)), pa.array(known)]
-                names = ["did", "th", "line", "id", "sim", "chars", "known"]
-                if similarity is not None:
-                    flat, counts = run_keys(words, points, similarity)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                    columns += [lists.take(pa.array(np.where(known, None, keep[order]), pa.int64())), *(pa.array(bag[keep, j][order]) for j in (0, 1))]
-                    names += ["runs", "bag", "bag2"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            if not batch.num_rows:
+                continue
+            data, starts, row, number = _line_starts(batch)
+            dids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
+            ends = np.append(starts[1:], len(data))
+            at = 0
+            while at < len(starts):
+                stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
+                base, own = starts[at], slice(at, stop)
+                raw = data[base : ends[stop - 1]]
+                yield from _block(raw, np.append(starts[own] - base, len(raw)), dids[row[own]], ths[row[own]], number[own], min_chars)
+                at = stop
 
     return run
 
 
+def _block(raw: np.ndarray, offsets: np.ndarray, did: np.ndarray, th: np.ndarray, line: np.ndarray, min_chars: int) -> Iterator[pa.RecordBatch]:
+    words = Words.of(_NORMAL[raw], offsets)
+    full = np.flatnonzero(words.counts > 0)
+    if not len(full):
+        return
+    hashes = words.hashes()
+    lead = np.concatenate(([0], np.cumsum(((words.data & 0xC0) != 0x80) & _inside(words.data, words.starts, words.ends), dtype=np.int32)))
+    chars = (lead[offsets[1:]] - lead[offsets[:-1]] + words.counts - 1)[full]
+    key = _runs_hashed(hashes, words.first)[full]
+    short = chars < min_chars
+    if short.any():  # these are told by their own words, not the normalised ones
+        length = np.diff(offsets)
+        own = np.zeros(len(length), bool)
+        own[full[short]] = True
+        plain = Words.of(raw[np.repeat(own, length)], np.concatenate(([0], np.cumsum(length[own]))))
+        key[short] = mix64(_runs_hashed(plain.hashes(), plain.first) + _U(1))
+    sim = np.zeros((len(full), 2), np.int64)
+    if not short.all():
+        tokens = _tokens(words)
+        sim[:] = simhashes(hashes if tokens is words else tokens.hashes(), tokens.ends - tokens.starts, tokens.first)[full].view(np.int64)
+    sim[short], chars[short] = 0, 0
+    did, th, line = did[full], th[full], line[full]
+    order = np.lexsort((line, did, key))
+    k, d, n = key[order], did[order], line[order]
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(k)), 0))
+    known = (d != d[first]) | (n != n[first])
+    columns = (d, th[order], n.astype(np.int32), k.view(np.int64), sim[order, 0], sim[order, 1], chars[order].astype(np.int32), known)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["did", "th", "line", "id", "sim", "sim2", "chars", "known"])
+
+
 def distance(a: str, b: str) -> int:
     """Levenshtein distance, by Myers's bit vectors in Python's integers."""
     if not a or not b:
@@ -193,138 +201,254 @@ def distance(a: str, b: str) -> int:
     return score
 
 
-def within(a: str, b: str, most: float) -> bool:
-    """Whether the Levenshtein distance is at most most; only what lies between the common ends is measured, if bounds leave it open."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    if len(a) == len(b) and len(differ) <= most:
-        return True
-    head = int(differ[0]) if len(differ) else n
-    differ = np.flatnonzero(x[len(x) - n + head :][::-1] != y[len(y) - n + head :][::-1])
-    tail = int(differ[0]) if len(differ) else n - head
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    return max(len(a), len(b)) <= most or distance(a, b) <= most
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' code points, one after the other, and where each begins, with the end."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([0, *map(len, texts)])
 
 
-def _pairs_of(a: str) -> np.ndarray:
-    x = np.frombuffer(a.encode("utf-32-le"), np.uint32)
-    return np.bincount((x[1:] * np.uint32(31) + x[:-1]) & np.uint32(255), minlength=256)
+def distances(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray:
+    """The Levenshtein distances of many pairs of texts at once; one above most may come out larger than it is.
+
+    Myers's bit vectors in blocks of 64 rows (Hyyro), for all pairs side by side. Of each column only
+    the blocks within most of the diagonal are worked out.
+    """
+    p, (x, x0), (y, y0) = len(left), _points(left), _points(right)
+    n, m = np.diff(x0), np.diff(y0)
+    kinds, code = np.unique(np.concatenate((x, y)), return_inverse=True)
+    blocks, one = int(n.max(initial=0) + 63) // 64, _U(1)
+    where = np.zeros(p * len(kinds) * blocks, _U)
+    row, at = np.repeat(np.arange(p), n), np.arange(len(x)) - np.repeat(x0[:-1], n)
+    np.add.at(where, (row * len(kinds) + code[: len(x)]) * blocks + at // 64, one << (at % 64).astype(_U))
+    where = where.reshape(p * len(kinds), blocks)
+    steps = int(m.max(initial=0))
+    text = np.zeros((p, steps), np.int64)
+    text[np.repeat(np.arange(p), m), np.arange(len(y)) - np.repeat(y0[:-1], m)] = code[len(x) :]
+    more, less = np.full((blocks, p), ~_U(0)), np.zeros((blocks, p), _U)
+    score = np.tile((np.arange(blocks) + 1)[:, None] * 64, p)
+    band, base, first, last = int(most.max(initial=0)) + 1, np.arange(p) * len(kinds), 0, 0
+    out = np.where(m == 0, n, 0)
+    mine, top = np.maximum(n - 1, 0) // 64, _U(63)
+    beyond = ~_U(0) << (np.maximum(n - 1, 0) % 64).astype(_U) << one  # rows of the last block that are not the text's
+    for j in range(steps):
+        first = max(first, (j - band) // 64)
+        while last < blocks and 64 * last <= j + band:
+            if last:  # what lies below the band is taken to grow by one a row
+                score[last] = score[last - 1] + 64
+            last += 1
+        up, down = np.ones(p, _U), np.zeros(p, _U)
+        eqs = where[base + text[:, j]]
+        for w in range(first, last):
+            v, u = more[w], less[w]
+            eq = eqs[:, w]
+            across = eq | u
+            eq = eq | down
+            h = (((eq & v) + v) ^ v) | eq
+            plus, minus = u | ~(h | v), v & h
+            next_up, next_down = plus >> top, minus >> top
+            plus, minus = plus << one | up, minus << one | down
+            more[w], less[w] = minus | ~(across | plus), plus & across
+            score[w] += next_up.astype(np.int64) - next_down.astype(np.int64)
+            up, down = next_up, next_down
+        done = np.flatnonzero(m == j + 1)
+        if len(done):
+            k = mine[done]
+            over = np.bitwise_count(more[k, done] & beyond[done]).astype(np.int64) - np.bitwise_count(less[k, done] & beyond[done])
+            out[done] = np.where(k < last, score[k, done] - over, n[done] + m[done])
+    return np.where(n == 0, m, out)
 
 
 def far(a: str, b: str, most: float) -> bool:
-    """Whether more pairs of neighbours differ than most edits can change, which is four each."""
-    return int(np.abs(_pairs_of(a) - _pairs_of(b)).sum()) > 4 * most
+    """Whether more runs of four characters differ than most edits can change, which is eight each."""
+    counts = []
+    size = 1 << max(len(a), len(b)).bit_length() + 1
+    for t in (a, b):
+        x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = ((x[:-3] * np.uint32(31) + x[1:-2]) * np.uint32(31) + x[2:-1]) * np.uint32(31) + x[3:]
+        counts.append(np.bincount((x * np.uint32(0x9E3779B1) >> np.uint32(8)) & np.uint32(size - 1), minlength=size))
+    return int(np.abs(counts[0] - counts[1]).sum()) > 8 * most
+
+
+def at_most(a: str, b: str, most: float) -> float:
+    """A bound on the distance of two texts from above: words that are not equal are passed over up to the next equal ones. It may stop beyond most."""
+    x, y = a.split(" "), b.split(" ")
+    i, j, cost, n, m = 0, 0, 0, len(x), len(y)
+    while i < n and j < m and cost <= most:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        down, over = next(((p, q) for p, q in _STEPS if i + p < n and j + q < m and x[i + p] == y[j + q]), (1, 1))
+        cost += max(sum(map(len, x[i : i + down])) + down, sum(map(len, y[j : j + over])) + over)
+        i, j = i + down, j + over
+    return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
+
+
+_STEPS = ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (2, 0), (0, 2))
+
+
+def alike(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Whether each pair's edit similarity is high enough: by cheap bounds, then by the distance of what lies between the common ends."""
+    keep, open_ = np.zeros(len(left), bool), []
+    for k, (a, b) in enumerate(zip(left, right, strict=True)):
+        most = (1 - similarity) * max(len(a), len(b)) + 1e-9
+        if at_most(a, b, most) <= most:
+            keep[k] = True
+        elif abs(len(a) - len(b)) <= most and not far(a, b, most):
+            head = len(commonprefix((a, b)))
+            a, b = a[head:], b[head:]
+            tail = len(commonprefix((a[::-1], b[::-1])))
+            open_.append((k, a[: len(a) - tail], b[: len(b) - tail], most))
+    open_.sort(key=lambda r: max(len(r[1]), len(r[2])))
+    kinds = len(set().union(*[a + b for _, a, b, _ in open_]))
+    while open_:
+        # Side by side if enough pairs are of about one length, else one by one in Python's integers.
+        size = max(len(open_[-1][1]), len(open_[-1][2])) + 1
+        most = max(1, MANY // (8 * kinds * (size // 64 + 1)))
+        at = next((k for k in range(len(open_) - 1, -1, -1) if len(open_) - k > most or 2 * max(len(open_[k][1]), len(open_[k][2])) < size - 60), -1) + 1
+        part, open_ = open_[at:], open_[:at]
+        ids, a, b, bound = zip(*part, strict=True)
+        columns = 2 * max(bound) // 64 + 2
+        found = distances(a, b, np.array(bound)) if len(part) > 8 * columns else np.array([distance(x, y) for x, y in zip(a, b, strict=True)])
+        keep[list(ids)] = found <= np.array(bound)
+    return keep
+
+
+#: Bound on the bytes of the tables of distances().
+MANY = 1 << 24
 
 
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                a, b = normal(a), normal(b)
-                most = (1 - similarity) * max(len(a), len(b)) + 1e-9
-                keep.append(not far(a, b, most) and within(a, b, most))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = ([normal(t) for t in batch.column(c).to_pylist()] for c in ("text_a", "text_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(alike(left, right, similarity), pa.bool_()))
 
     return run
 
 
-def _bucket_keys(sim):
-    """Two of the five blocks, with the pair's number, as 30 bits."""
-    shift, parts = 64, []
-    for width in _WIDTHS:
-        shift -= width
-        parts.append(F.shiftrightunsigned(sim, shift).bitwiseAND(F.lit((1 << width) - 1)))
-    pairs = list(combinations(range(len(parts)), 2))
-    return F.array(*[F.lit(k << 26).bitwiseOR(F.shiftleft(parts[i], 13)).bitwiseOR(parts[j]).cast("int") for k, (i, j) in enumerate(pairs)])
+def signature(sim: Column, chars: Column) -> Column:
+    """56 bits of a half of a SimHash, and the class of the line's length in place of the last byte."""
+    length = F.least(F.lit(255), F.floor(F.log(chars) / float(np.log(CLASS)))).cast("long")
+    return F.shiftleft(F.shiftrightunsigned(sim, 8), 8).bitwiseOR(length)
+
+
+def block_keys(sim: Column, sim2: Column, width: int = WIDTH) -> Column:
+    """The keys of a SimHash: three blocks of width bits of one half, with the key's number, which is below 64 // width for the first half."""
+    n, keys = 64 // width, []
+    for at, half in enumerate((sim, sim2)):
+        parts = [F.shiftrightunsigned(half, width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(n)]
+        for k in range(n):
+            key = F.lit(at * n + k).cast("long")
+            for j in (k, k + 1, k + 3):
+                key = F.shiftleft(key, width).bitwiseOR(parts[j % n])
+            keys.append(key.cast("int") if 3 * width + (2 * n).bit_length() < 32 else key)
+    return F.array(*keys)
 
 
-def _close(lines: DataFrame, most_bits: int) -> DataFrame:
-    """(sim): the SimHashes that several lines have or that lie near another."""
-    sims = lines.groupBy("sim").agg(F.count("*").alias("lines"))
-    keyed = sims.select("sim", F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
-    other = keyed.select(F.col("sim").alias("sim2"), F.col("bucket").alias("bucket2"))
-    near = (F.col("bucket") == F.col("bucket2")) & (F.col("sim") != F.col("sim2")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= most_bits)
-    return keyed.join(other, near, "left_semi").select("sim").union(sims.filter("lines > 1").select("sim")).distinct()
+def _spot(did, th, line, bits: int = MAP_BITS):
+    """A wanted line's bit in the map, alike for columns and numpy."""
+    if isinstance(th, np.ndarray):
+        return (th ^ (line.astype(np.int64) * 2654435761) ^ (did << 3)) & ((1 << bits) - 1)
+    return th.bitwiseXOR(line.cast("long") * F.lit(2654435761)).bitwiseXOR(F.shiftleft(did, 3)).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int | None = MOST_BITS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _texts_of(wanted: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, text) of the wanted lines (did, th, line, id): a map of fixed size picks them out of the texts, and a join decides."""
+    spark = wanted.sparkSession
+    spot = _spot(F.col("did"), F.col("th"), F.col("line"))
+    found = wanted.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(bits)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, starts, row, number = _line_starts(batch)
+            did, th = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("did", "th"))
+            spot = _spot(did, th, number)
+            keep = np.flatnonzero((bits[spot >> 6] >> (spot & 63)) & 1)
+            ends = np.append(starts[1:], len(data))
+            texts = [data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") for k in keep]
+            yield pa.RecordBatch.from_arrays([pa.array(did[keep]), pa.array(th[keep]), pa.array(number[keep].astype(np.int32)), pa.array(texts, pa.string())], ["did", "th", "line", "text"])
+
+    lines = placed.mapInArrow(picked, "did long, th long, line int, text string")
+    # Rows of equal id and text have the same lines.
+    once = lines.groupBy("did", "th", "line").agg(F.first("text").alias("text"))
+    return once.join(wanted, ["did", "th", "line"]).select("id", "text")
+
+
+def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's repeated lines removed, and n_lines and n_removed.
 
-    Lines are what lies between newlines. Lines of fewer than min_chars normalised characters stay.
-    Two others are linked if they are equal once normalised, or if their SimHashes differ in at
-    most most_bits (3 at most) bits and their edit similarity, 1 - distance / longer length, is at
-    least similarity. With most_bits None the edit similarity alone decides, over all lines that
-    share a run of words (RUN, RUNS); that finds nearly all pairs, see the README for the share.
-    Of each connected group the first occurrence by (id, line) stays.
-
-    A null text stays null with no lines. A null id counts as the smallest. Rows of equal id and
-    text keep the same lines. An empty table gives an empty result. Columns of docs named n_lines or
-    n_removed are replaced; all others pass through. Only lines that repeat or share a bucket are
-    looked up again; a line in very many texts is counted once per block of texts.
+    Lines are what lies between newlines; those without words (blank, punctuation alone) stay. Lines
+    of fewer than min_chars normalised characters are linked if their words are the same. Two
+    others are linked if they are equal once normalised, or if they share a key of one half of their
+    SimHashes, whose other halves' first 56 bits differ in at most most_bits, and their edit
+    similarity, 1 - distance / longer length, is at least similarity. Of each connected group the
+    first by (id, line) stays.
+
+    A null text stays null with no lines, an empty one has one, which stays. A null id counts as the
+    smallest. Rows of equal id and text keep the same lines. An empty table gives an empty result.
+    Columns of docs named n_lines or n_removed are replaced; all others pass through, whatever their
+    names. Lines are told apart by 64-bit hashes. A line in very many texts is counted once per block
+    of texts; texts are shuffled once, for the result, and lines in question once more.
     """
-    if most_bits is not None and not 0 <= most_bits <= 3:
-        raise ValueError("most_bits must be from 0 to 3 or None")
-    by_runs = most_bits is None
-    bound_batches(docs.sparkSession)
-    placed = with_place(docs, id_col, text_col)
-    schema = "did long, th long, line int, id long, sim long, chars int, known boolean" + (", runs array<int>, bag long, bag2 long" if by_runs else "")
-    found = cut(placed.mapInArrow(_lines(min_chars, similarity if by_runs else None), schema))
-    place = F.struct("did", "line", "th")
-    lines = found.filter("not known").groupBy("id").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.count("*").alias("n"))
-    if by_runs:
-        # Nearly all runs are of one line; only the others' lines are looked up again.
-        bucket = Window.partitionBy("bucket")
-        kinds = found.filter("not known").groupBy("id").agg(F.first("runs").alias("runs"))
-        keyed = kinds.select("id", F.explode("runs").alias("bucket")).withColumns({"lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket)})
-        shared = keyed.filter("lo < hi").select("id", "bucket")
-        data = found.filter("not known").groupBy("id").agg(F.first("bag").alias("bag"), F.first("bag2").alias("bag2"), F.first("chars").alias("chars"))
-        members = cut(shared.join(data, "id").select("id", F.struct("bag", "bag2", "chars").alias("data"), "bucket"))
-    else:
-        close = cut(_close(lines, most_bits))
-        members = lines.join(close, "sim").select("id", F.struct("sim", "chars").alias("data"), F.explode(_bucket_keys(F.col("sim"))).alias("bucket"))
+    spark = docs.sparkSession
+    bound_batches(spark)
+    text = F.col(f"`{text_col}`").cast("string")
+    own = {"did": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), "th": F.xxhash64(text)}
+    placed = docs.select(*[c.alias(k) for k, c in own.items()], text.alias("text"))
+    # A line's length is kept in classes, in place of its SimHash's last byte; similar lengths are few classes apart.
+    apart = int(np.ceil(np.log(similarity) / -np.log(CLASS))) if similarity > 0 else 255
 
     def near(x, y):
-        short, long = F.least(x["chars"], y["chars"]), F.greatest(x["chars"], y["chars"])
-        sizes = short >= long * similarity - 1
-        if not by_runs:
-            return (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= most_bits) & sizes
-        count = lambda z, c, k: F.shiftrightunsigned(z[c], 8 * k).bitwiseAND(F.lit(255))
-        moved = sum((F.abs(count(x, c, k) - count(y, c, k)) for c in ("bag", "bag2") for k in range(8)), F.lit(0))
-        return sizes & (moved <= 2 * (1 - similarity) * long + 1e-6)
-
-    def prepare(ids: DataFrame):
-        wanted = cut(lines.join(ids, "id").groupBy("first.did", "first.th").agg(F.collect_list(F.struct("first.line", "id")).alias("wanted")))
-        # Few texts are wanted; while their list is small they are picked where they lie.
-        few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= FEW_LINES
-        rows = placed.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["did", "th"])
-        split = F.split("text", "\n", -1)
-        picked = rows.select(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.element_at(split, w["line"] + 1).alias("text"))).alias("w"))
-        texts = cut(picked.select(F.explode("w").alias("w")).select("w.id", "w.text"))
-
-        def linked(pairs: DataFrame) -> DataFrame:
-            left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            return both.select("a", "b", "text_a", "text_b").mapInArrow(_alike(similarity), "a long, b long").distinct()
-
-        return linked
-
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = linked_components(members, near, prepare, none)
-    # Only lines that occur again or are linked have a winner to lose to.
-    group = lines.join(labels, "id", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
-    winners = group.groupBy("component").agg(F.min("first").alias("best"))
-    winner = group.select("id", "component").join(winners, "component").select("id", F.col("best.did").alias("best_did"), F.col("best.line").alias("best_line"))
-    lost = found.filter("not known").join(winner, "id").filter("did != best_did or line != best_line").select("did", "th", "line")
-    removed = lost.union(found.filter("known").select("did", "th", "line")).groupBy("did", "th").agg(F.collect_set("line").alias("removed__"))
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.drop("n_lines", "n_removed").withColumns({"did": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), "th": F.xxhash64(text)})
-    joined = rows.join(removed.hint("shuffle_hash"), ["did", "th"], "left")
-    split = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("removed__"))
-    new = F.when(F.col("removed__").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.element_at(split, k + 1)), "\n"))
-    counts = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long"), "n_removed": F.when(F.col("removed__").isNull(), 0).otherwise(F.size("removed__")).cast("long")}
-    return joined.withColumns(counts | {text_col: new}).drop("did", "th", "removed__")
+        return (F.bit_count(F.shiftrightunsigned(x.bitwiseXOR(y), 8)) <= most_bits) & (F.abs(x.bitwiseAND(F.lit(255)) - y.bitwiseAND(F.lit(255))) <= apart)
+
+    with scratch(spark) as written:
+        found = written(placed.mapInArrow(_lines(min_chars), "did long, th long, line int, id long, sim long, sim2 long, chars int, known boolean"))
+        first = F.min(F.struct("did", "line", "th")).alias("first")
+        lines = written(found.filter("not known").groupBy("id").agg(first, F.first("sim").alias("sim"), F.first("sim2").alias("sim2"), F.first("chars").alias("chars"), F.count("*").alias("n")))
+        # Only keys and what decides nearness are shuffled for all lines; the rest is joined to the few that have a near one.
+        long = lines.filter("chars > 0").withColumns({"sig": signature(F.col("sim"), F.col("chars")), "sig2": signature(F.col("sim2"), F.col("chars"))})
+        keyed = long.select(F.explode(block_keys(F.col("sim"), F.col("sim2"), width)).alias("bucket"), "sig", "sig2")
+        # A key of one half goes with the signature of the other.
+        keyed = keyed.select("bucket", F.when(F.shiftright("bucket", 3 * width) < 64 // width, F.col("sig2")).otherwise(F.col("sig")).alias("sig"))
+        x, y = F.col("x.sig"), F.col("y.sig")
+        close = keyed.alias("x").join(keyed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (x != y) & near(x, y), "left_semi")
+        # Lines alike in both signatures meet in a bucket of their own.
+        twins = long.groupBy("sig", "sig2").agg(F.count("*").alias("n")).filter("n > 1").select(F.xxhash64("sig", "sig2").alias("bucket"), "sig")
+        shared = close.distinct().select(F.col("bucket").cast("long").alias("bucket"), "sig").union(twins)
+        owners = long.select("id", F.explode(F.array("sig", "sig2")).alias("sig"))
+        members = written(shared.join(owners, "sig").select("bucket", "id", F.col("sig").alias("data")))
+
+        def prepare(ids: DataFrame):
+            texts = written(_texts_of(lines.join(ids, "id").select("first.did", "first.th", "first.line", "id"), placed))
+
+            def linked(pairs: DataFrame) -> DataFrame:
+                left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+                both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+                return both.select("a", "b", "text_a", "text_b").mapInArrow(_alike(similarity), "a long, b long").distinct()
+
+            return linked
+
+        labels = linked_components(members, near, prepare, spark.createDataFrame([], "a long, b long"))
+        # Only lines that occur again or are linked have a winner to lose to.
+        group = lines.select("id", "first", "n").join(labels, "id", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
+        winners = group.groupBy("component").agg(F.min("first").alias("best"))
+        winner = group.select("id", "component").join(winners, "component").select("id", F.col("best.did").alias("best_did"), F.col("best.line").alias("best_line"))
+        lost = found.filter("not known").select("did", "th", "line", "id").join(winner, "id").filter("did != best_did or line != best_line").select("did", "th", "line")
+        removed = cut(lost.union(found.filter("known").select("did", "th", "line")).groupBy("did", "th").agg(F.collect_set("line").alias("lost")))
+
+    # The row is kept as one column, so that its own columns' names cannot clash.
+    rows = docs.select(*[c.alias(k) for k, c in own.items()], F.struct(F.lit(None).alias(text_col), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), text.alias("text"))
+    joined = rows.join(removed, ["did", "th"], "left")
+    split = F.split("text", "\n", -1)
+    # Inside the function the lines are an argument, so they are found once a row.
+    kept = F.transform(F.array(split), lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col("lost")), lambda k: F.element_at(s, k + 1)), "\n"))
+    new = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.element_at(kept, 1))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1)
+    n_removed = F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost"))
+    rest = [F.col("row")[c].alias(c) if c != text_col else new.alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*rest, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, bound_batches, cut, id_of, mix64, windows, with_place
-from .components import linked_components
+from .components import close_members, linked_components
 
 SHINGLE, BANDS, ROWS = 5, 28, 5
 #: 64-bit words of a set's parity sketch.
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands:
     # An id that several rows share links their classes.
     many = sets.groupBy("did").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("did")
     shared = sets.join(many, "did", "left_semi").join(classes.select("key", "id"), "key").select(F.col("did").alias("a"), F.col("id").alias("b"))
-    labels = linked_components(members, near, prepare, shared)
+    labels = linked_components(cut(close_members(members, near)), near, prepare, shared)
     of_class = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("did", "key", F.col("size").alias("n_shingles")).join(of_class, "key", "left")
     component = F.when(id_of("did").isNotNull(), F.coalesce("component_id", "did"))

@@ -110,41 +110,68 @@ def test_anchors_are_leftmost_least():
         assert substrings.anchors(h, width).tolist() == want
 
 
-def test_fuzzy_lines(spark):
-    rnd = random.Random(2)
-    line = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(n))
-    lines = [line(rnd.randint(8, 60)) for _ in range(40)]
-    lines += [x.upper() + " 12!" for x in lines[:5]] + [x + " 77." for x in lines[:5]] + [x.replace("a", "b", 1) for x in lines[5:25]] + ["short", ""]
-    rows = [(k % 23 if k % 11 else None, None if k == 30 else "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 8))), k) for k in range(60)]
-    rows += [rows[5], rows[6]]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int").repartition(4)
-    occ = [(place(i), n, fuzzy_lines.normal(x)) for i, t, _ in rows if t is not None for n, x in enumerate(t.split("\n"))]
-    occ = [o for o in occ if len(o[2].encode()) >= 20]
-    kinds = sorted({m for _, _, m in occ})
-    words = Words(pa.array(kinds))
-    sims = fuzzy_lines.simhashes(words.hashes(), words.ends - words.starts, words.first[:-1])
-    parent = {m: m for m in kinds}
+def groups_of_lines(rows, most_bits=fuzzy_lines.MOST_BITS):
+    """What is left of rows (id, text) by brute force over all pairs of lines: Counter of (id, text, n_lines)."""
+    def kind(x):
+        m = fuzzy_lines.normal(x)
+        return m if len(m) >= 20 or not m else ("short", *WORD.findall(x))
+
+    occ = [(place(i), n, kind(x)) for i, t, *_ in rows if t is not None for n, x in enumerate(t.split("\n")) if kind(x)]
+    kinds = sorted({m for _, _, m in occ if isinstance(m, str)})
+    words = Words(pa.array(kinds, pa.string()))
+    tokens = fuzzy_lines._tokens(words)
+    sims = fuzzy_lines.simhashes(tokens.hashes(), tokens.ends - tokens.starts, tokens.first)
+    keys = [[{(k, *(int(half) >> 7 * ((k + j) % 9) & 127 for j in (0, 1, 3))) for k in range(9)} for half in s] for s in sims]
+
+    def near(a, b):
+        return any(keys[a][h] & keys[b][h] and (int(sims[a][1 - h] ^ sims[b][1 - h]) >> 8).bit_count() <= most_bits for h in (0, 1))
+
+    parent = {m: m for _, _, m in occ}
 
     def root(m):
         while parent[m] != m:
             m = parent[m]
         return m
 
-    for a in range(len(kinds)):
-        for b in range(a):
-            x, y = kinds[a], kinds[b]
-            if int(sims[a] ^ sims[b]).bit_count() <= 3 and fuzzy_lines.distance(x, y) <= 0.1 * max(len(x), len(y)) + 1e-9:
+    for a, x in enumerate(kinds):
+        for b, y in enumerate(kinds[:a]):
+            if near(a, b) and fuzzy_lines.distance(x, y) <= 0.1 * max(len(x), len(y)) + 1e-9:
                 parent[root(x)] = root(y)
     best = {}
     for i, n, m in occ:
         best[root(m)] = min(best.get(root(m), (i, n)), (i, n))
     lost = {(i, n, m) for i, n, m in occ if best[root(m)] != (i, n)}
     want = Counter()
-    for i, t, _ in rows:
-        kept = None if t is None else [x for n, x in enumerate(t.split("\n")) if (place(i), n, fuzzy_lines.normal(x)) not in lost]
+    for i, t, *_ in rows:
+        kept = None if t is None else [x for n, x in enumerate(t.split("\n")) if (place(i), n, kind(x)) not in lost]
         want[i, None if t is None else "\n".join(kept), 0 if t is None else t.count("\n") + 1] += 1
+    return want
+
+
+def test_fuzzy_lines(spark):
+    rnd = random.Random(2)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(n))
+    lines = [line(rnd.randint(8, 60)) for _ in range(40)]
+    lines += [x.upper() + " 12!" for x in lines[:5]] + [x + " 77." for x in lines[:5]] + [x.replace("a", "b", 1) for x in lines[5:25]] + ["short", "Short", "1.", "2.", "", " ", "---", "中文" * 30, "中文" * 29 + "文字", line(400), "ab" * 200]
+    rows = [(k % 23 if k % 11 else None, None if k == 30 else "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 8))), k) for k in range(60)]
+    rows += [rows[5], rows[6], (100, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int").repartition(4)
     got = Counter((r.doc_id, r.text, r.n_lines) for r in fuzzy_lines.drop_fuzzy_lines(df).collect())
-    assert got == want
+    assert got == groups_of_lines(rows)
+
+
+def test_fuzzy_lines_keep_columns_and_take_very_long_texts(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9)))
+    line = " ".join(word() for _ in range(40))
+    long = "\n".join([" ".join(word() for _ in range(30)) for _ in range(25_000)] + [line])
+    endless = " ".join(word() for _ in range(150_000))
+    rows = [(1, line, "a", {"th": 1}), (2, long, "b", {"x": 2}), (3, endless, "c", None), (4, endless + " end\n" + line, "d", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, did string, `th` map<string,int>").withColumns({"row": F.lit(1), "lost": F.lit("x"), "a.b": F.lit(2)})
+    got = {r.doc_id: r for r in fuzzy_lines.drop_fuzzy_lines(df).collect()}
+    assert len(long) > 5_000_000 and got[1].text == line and got[2].text == long[: -len(line) - 1] and got[3].text == endless and got[4].text == ""
+    assert [got[k].did for k in (1, 2, 3, 4)] == ["a", "b", "c", "d"] and got[1].th == {"th": 1} and got[1].row == 1 and got[1].lost == "x" and got[1]["a.b"] == 2
+    assert [got[k].n_removed for k in (1, 2, 3, 4)] == [0, 1, 0, 2]
 
 
 def test_edit_distance():
@@ -160,7 +187,22 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12))) for _ in range(2))
         assert fuzzy_lines.distance(a, b) == plain(a, b)
-        assert all(fuzzy_lines.within(a, b, most) == (plain(a, b) <= most) for most in (0, 1, 2.5, 4, 12))
+        a, b = (" ".join("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(1, 6))) for _ in range(2))
+        assert plain(a, b) <= fuzzy_lines.at_most(a, b, 1e9)
+    left, right = [], []
+    for n in [*range(12), 63, 64, 65, 127, 128, 129, 200, 300] * 3:
+        a = "".join(rnd.choice("abcdé文") for _ in range(n))
+        b = list(a)
+        for _ in range(rnd.randint(0, 2 + n // 6)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 2)] = rnd.choice(["", "a", "xy", "文"])
+        left.append(a)
+        right.append("".join(b))
+    for share in (0.02, 0.1, 0.5, 2):
+        most = np.array([share * max(len(a), len(b)) for a, b in zip(left, right, strict=True)])
+        got, want = fuzzy_lines.distances(left, right, most), np.array([plain(a, b) for a, b in zip(left, right, strict=True)])
+        assert ((got == want) | ((want > most) & (got >= want))).all()
+    assert (fuzzy_lines.alike(left, right, 0.9) == [plain(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9 for a, b in zip(left, right, strict=True)]).all()
 
 
 def test_bpe_equals_the_library(spark, docs):
@@ -208,9 +250,41 @@ def test_out_of_place_distance():
     assert profiles.predict("the cut")[1] == pytest.approx(1 - total / (langid.TOP * len(own)))
 
 
-def test_mix(spark, docs):
-    out, blocks = mixing.mix(docs, block_words=16, shards=8)
-    rows = out.collect()
+def mixed_by_hand(spark, rows, block_words, shard_blocks):
+    """The mix's blocks (did, th, pass, block, words, shard), drawn one by one."""
+    distinct = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "source", F.xxhash64("text", "source").alias("th")).collect()
+    copies = Counter((place(r.doc_id), r.th, r.source, len(WORD.findall(r.text or ""))) for r in distinct)
+    sizes = Counter()
+    for (_, _, source, n), c in copies.items():
+        sizes[source] += n * c
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    found, quotas, last = [], [], []
+    for sid, t in enumerate(mixing.targets([sizes[s] for s in order])):
+        todo, at, t, total = [], 0, round(t), sizes[order[sid]]
+        blocks = [(p, d, th, b, min(block_words, n - b * block_words), c) for (d, th, s, n), c in copies.items() if s == order[sid] for p in range(4) for b in range(-(-n // block_words))]
+        hashed = spark.createDataFrame(blocks, "p long, did long, th long, b long, w long, c long").select("p", "did", "th", "b", "w", "c", F.xxhash64(F.lit(0), "p", "did", "th", "b").alias("h")).collect()
+        for p in range(4):
+            left = min(total, t - p * total)
+            for r in sorted((r for r in hashed if r.p == p), key=lambda r: (r.h % 2**64 >> 52, r.h, r.did, r.th, r.b)):
+                words = min(r.w, left // r.c)
+                left -= r.w * r.c
+                if words > 0:
+                    todo.append((r.did, r.th, p, r.b, words))
+        found.append(todo)
+        quotas.append(len(todo))
+    leaves = mixing.split(np.array(quotas), mixing.depth_of(np.array(quotas), shard_blocks))
+    out = set()
+    for sid, todo in enumerate(found):
+        at = 0
+        for shard, n in enumerate(leaves[:, sid]):
+            out |= {(*x, shard) for x in todo[at : at + n]}
+            at += n
+    return out
+
+
+def test_mix(spark, docs, monkeypatch):
+    out, blocks = mixing.mix(docs, block_words=16, shard_blocks=64)
+    rows, whole = out.collect(), [tuple(r) for r in docs.collect()]
     size = lambda t: len(WORD.findall(t or ""))
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, size(r.text)) for r in docs.collect())
     by = defaultdict(list)
@@ -223,25 +297,39 @@ def test_mix(spark, docs):
         assert abs(sum(r.taken for r in by[s]) - t) <= 3 and by[s][0].source_size == sum(r.size for r in by[s])
     assert all(r.taken <= 3 * r.size for r in rows)
     parts = blocks.collect()
-    assert len({(r.did, r.th, r["pass"], r.block) for r in parts}) == len(parts)
+    assert {(r.did, r.th, r["pass"], r.block, r.words, r.shard) for r in parts} == mixed_by_hand(spark, whole, 16, 64) and len(set(map(tuple, parts))) == len(parts)
     counts = Counter(r.shard for r in parts)
-    assert max(counts.values()) - min(counts.values()) <= 1
+    assert len(counts) >= 8 and max(counts.values()) - min(counts.values()) <= 1
     assert all(sorted(r.position for r in parts if r.shard == s) == list(range(n)) for s, n in counts.items())
-    again = mixing.mix(docs.repartition(7), block_words=16, shards=8)[1]
+    again = mixing.mix(docs.repartition(7), block_words=16, shard_blocks=64)[1]
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, parts), key=repr)
     texts = mixing.mixed_texts(docs.dropDuplicates(["doc_id", "text"]), blocks)
+    assert texts.columns == docs.columns and {r.did for r in texts.collect()} <= {"x", None}
     assert sum(size(r.text) for r in texts.collect()) == sum(r.words for r in parts)
     assert mixing.mix(docs.filter("false"))[0].count() == 0
+    # What the shards take comes from the tree's leaves.
+    split = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda *a: np.roll(split(*a), 1, axis=0) // 2)
+    broken = mixing.mix(docs, block_words=16, shard_blocks=64)[0].collect()
+    assert sum(r.taken for r in broken) < 0.7 * sum(r.taken for r in rows)
 
 
-def test_targets_and_tree():
+def test_targets_and_tree(monkeypatch):
     assert mixing.targets([10, 10, 10]) == pytest.approx([18.75, 7.5, 3.75])
     assert mixing.targets([1, 100, 100, 0]) == pytest.approx([3, 132, 66, 0])
     quotas = np.array([5, 0, 1000, 37])
     leaves = mixing.split(quotas, 4)
     assert leaves.sum(0).tolist() == quotas.tolist() and np.ptp(leaves.sum(1)) <= 1
     big = mixing.split(np.array([10**12, 3 * 10**11]), 3)
-    assert big.sum(0).tolist() == [10**12, 3 * 10**11]
+    assert big.sum(0).tolist() == [10**12, 3 * 10**11] and np.ptp(big.sum(1)) <= 1
+    # Beyond numpy's range the draw has the same distribution.
+    node, draws = np.array([6, 3, 4]), {}
+    for limit in (10**9, 0):
+        monkeypatch.setattr(mixing, "_POPULATION", limit)
+        rng = np.random.default_rng(1)
+        draws[limit] = Counter(tuple(mixing.half_of(node, 6, rng).tolist()) for _ in range(20_000))
+    assert all(abs(draws[0][k] - draws[10**9][k]) < 5 * (draws[0][k] + draws[10**9][k] + 9) ** 0.5 for k in draws[0] | draws[10**9])
+    assert mixing.depth_of(np.ones(1 << 23, np.int64)) == 0 and mixing.depth_of(np.array([10**9])) == 15
 
 
 def test_empty_table(docs):
@@ -264,41 +352,18 @@ def test_languages_of_null_columns(spark):
     assert langid.predict(df, langid.learn(df, ~held)).first().lang_pred == "und"
 
 
-def test_fuzzy_lines_by_edit_similarity_alone(spark):
-    """Groups of edited lines against brute force, without a bound on the SimHash."""
+def test_share_of_edited_lines_found(spark):
+    """Lines with one word replaced: nearly all differ in few enough bits, and most share a key."""
     rnd = random.Random(4)
-    letters = "abcdefghijklmnop"
-    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9)))
-    lines = []
-    for n in [8, 12, 20, 30, 50] * 6:
-        words = [word() for _ in range(n)]
-        lines.append(" ".join(words))
-        at = rnd.randrange(n)
-        lines.append(" ".join([*words[:at], word()[: len(words[at])], *words[at + 1 :]]))
-        text = list(lines[-2])
-        for _ in range(len(text) // 25):
-            text[rnd.randrange(len(text))] = rnd.choice(letters)
-        lines.append("".join(text))
-    lines += ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(40))]
-    lines += [lines[-1][:17] + "一" + lines[-1][18:]]
-    kinds = sorted({fuzzy_lines.normal(x) for x in lines})
-    parent = {m: m for m in kinds}
-
-    def root(m):
-        while parent[m] != m:
-            m = parent[m]
-        return m
-
-    for a, x in enumerate(kinds):
-        for y in kinds[:a]:
-            if fuzzy_lines.within(x, y, 0.1 * max(len(x), len(y)) + 1e-9):
-                parent[root(x)] = root(y)
-    seen = set()
-    kept = [x for x in lines if root(fuzzy_lines.normal(x)) not in seen and not seen.add(root(fuzzy_lines.normal(x)))]
-    assert len(kept) < len(lines) // 2
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string").repartition(4)
-    got = fuzzy_lines.drop_fuzzy_lines(df, most_bits=None).filter("text <> ''").orderBy("doc_id")
-    assert [r.text for r in got.collect()] == kept
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9)))
+    rows = []
+    for k in range(300):
+        words = [word() for _ in range(rnd.randint(15, 60))]
+        at = rnd.randrange(len(words))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:at], word(), *words[at + 1 :]]))]
+    got = fuzzy_lines.drop_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    lost = {r.doc_id for r in got.filter("n_removed > 0").collect()}
+    assert all(i % 2 for i in lost) and len(lost) >= 0.8 * 300
 
 
 def test_equal_lines_have_one_id():
