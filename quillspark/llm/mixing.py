@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, cut, id_of
 
-WEIGHTS, MOST, BLOCK_WORDS, SHARDS, SEED = (5.0, 2.0, 1.0), 3.0, 1024, 64, 0
-#: Sources and output shards are few: their table is made on the driver and sent to all.
-MAX_SOURCES, MAX_CELLS = 100_000, 4_000_000
+WEIGHTS, MOST, BLOCK_WORDS, SEED = (5.0, 2.0, 1.0), 3.0, 1024, 0
+#: An output shard has about so many blocks at most, as one task shuffles it.
+SHARD_BLOCKS = 1 << 15
+#: The table of sources and shards is made on the driver and sent to all: shards are larger rather than its cells more.
+MAX_CELLS = 1 << 22
 _BUCKETS = 4096
 _WORD = r"[^\x20\x09-\x0D]+"
-_EXACT = 10**9
+#: numpy draws from populations below that.
+_POPULATION = 10**9
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: float = MOST) -> list[float]:
@@ -46,28 +49,45 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: floa
     return out
 
 
+def half_of(node: np.ndarray, half: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate hypergeometric draw of half of a node's blocks, of any number.
+
+    Beyond numpy's range every block is first drawn with probability one half; given its size, that
+    is a uniform set of blocks, and so is what is left when the surplus is taken out of it, or what
+    it lacks is added, uniformly and without replacement. The surplus is of the order of the root.
+    """
+    total = int(node.sum())
+    if total < _POPULATION:
+        return rng.multivariate_hypergeometric(node, half, method="marginals")
+    left = rng.binomial(node, 0.5)
+    surplus = int(left.sum()) - half
+    pool = left if surplus > 0 else node - left
+    ends, drawn = np.cumsum(pool), np.empty(0, np.int64)
+    while len(drawn) < abs(surplus):
+        more = rng.integers(0, int(ends[-1]), abs(surplus) - len(drawn))
+        drawn = np.unique(np.concatenate((drawn, more)))
+    moved = np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(node))
+    return left - moved if surplus > 0 else left + moved
+
+
 def split(quotas: np.ndarray, depth: int, seed: int = SEED) -> np.ndarray:
     """(shard, source) block counts: a node's quotas are halved by a multivariate hypergeometric draw, depth times."""
     level = [np.asarray(quotas, np.int64)]
     for d in range(depth):
         below = []
         for k, node in enumerate(level):
-            half, rng = int(node.sum()) // 2, np.random.default_rng([seed, d, k])
-            if node.sum() < _EXACT:
-                left = rng.multivariate_hypergeometric(node, half, method="marginals")
-            else:  # beyond numpy's range: the same means and variances from a normal distribution, sums kept
-                share, rest = half / node.sum(), half
-                left = np.zeros_like(node)
-                for i, n in enumerate(node):
-                    after = int(node[i + 1 :].sum())
-                    draw = round(rng.normal(n * share, np.sqrt(n * share * (1 - share))))
-                    left[i] = min(max(draw, rest - after, 0), n, rest)
-                    rest -= int(left[i])
+            left = half_of(node, int(node.sum()) // 2, np.random.default_rng([seed, d, k]))
             below += [left, node - left]
         level = below
     return np.stack(level)
 
 
+def depth_of(quotas: np.ndarray, shard_blocks: int = SHARD_BLOCKS) -> int:
+    """The tree's depth: as many shards, a power of two, as keep each to about shard_blocks and the table to MAX_CELLS."""
+    wanted = max(0, int(np.ceil(np.log2(max(1, int(quotas.sum())) / shard_blocks))))
+    return min(wanted, max(0, int(np.log2(MAX_CELLS / max(1, len(quotas))))))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(did, th, source, size, copies) of the distinct rows; size is the text's number of words."""
     text, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string")
@@ -77,25 +97,22 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(source, sid, source_size, target, passes, rest) for each source of measured rows, by code point, null last."""
-    stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    """(source, sid, source_size, target, passes, rest) for each source of measured rows, by code point, null last. The driver holds a row for each source."""
+    stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
     stats.sort(key=lambda r: (r.source is None, r.source or ""))
     quota = targets([r.n for r in stats], weights, most)
     out = [(r.source, k, r.n, t, round(t) // r.n if r.n else 0, round(t) % r.n if r.n else 0) for k, (r, t) in enumerate(zip(stats, quota, strict=True))]
     return rows.sparkSession.createDataFrame(out, "source string, sid int, source_size long, target double, passes long, rest long")
 
 
-def draw(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(did, th, sid, pass, block, first_word, words, copies, shard, position): the blocks that the mix takes.
+def draw(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(did, th, sid, pass, block, first_word, words, copies, shard, position): the blocks that the shards take.
 
+    A source's blocks are permuted by hash, pass by pass, and its quota of them goes down the tree;
+    a shard takes the run of ranks that its leaf's quota gives it, after those of the shards before.
     The last block of a source's partial pass is trimmed, so that the words taken come to its
     target but for rounding. Copies of a row are drawn together.
     """
-    depth = shards.bit_length() - 1
-    if shards != 1 << depth:
-        raise ValueError("shards must be a power of two")
     known = rows.filter("size > 0").join(F.broadcast(sources), rows.source.eqNullSafe(sources.source)).drop("source")
     last = F.col("passes") - F.when(F.col("rest") == 0, 1).otherwise(0)
     passes = known.filter(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -119,25 +136,27 @@ def draw(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, sh
     per = np.zeros((size, 1 + max([r["pass"] for r in counts], default=0)), np.int64)
     for r in counts:
         per[r.sid, r["pass"]] = r.top + 1
-    starts = np.concatenate((np.zeros((1, size), np.int64), np.cumsum(split(per.sum(1), depth, seed), 0)[:-1])) if size else np.zeros((1, 0), np.int64)
-    if starts.size > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} pairs of source and shard")
+    quotas = per.sum(1)
+    depth = depth_of(quotas, shard_blocks)
+    ends = np.cumsum(split(quotas, depth, seed), 0) if size else np.zeros((1, 0), np.int64)
+    starts = np.concatenate((np.zeros((1, size), np.int64), ends[:-1]))
     begun = np.cumsum(per, 1) - per
-    cells = rows.sparkSession.createDataFrame([(k, starts[:, k].tolist(), begun[k].tolist()) for k in range(size)], "sid int, starts array<long>, begun array<long>")
+    cells = rows.sparkSession.createDataFrame([(k, starts[:, k].tolist(), ends[:, k].tolist(), begun[k].tolist()) for k in range(size)], "sid int, starts array<long>, ends array<long>, begun array<long>")
     placed = taken.join(F.broadcast(cells), "sid").withColumn("rank", F.col("r") + F.element_at("begun", F.col("pass").cast("int") + 1))
     # Down the tree: right if the rank lies at or beyond the right half's first.
     steps = F.array(*[F.lit(1 << d) for d in reversed(range(depth))]) if depth else F.array().cast("array<int>")
     shard = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col("rank") >= F.element_at("starts", at + step + 1), at + step).otherwise(at))
+    drawn = placed.withColumn("shard", shard).filter(F.col("rank") < F.element_at("ends", F.col("shard") + 1))
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.lit("shuffle"), "h"), "did", "th", "pass", "block")
-    return placed.withColumn("shard", shard).select("did", "th", "sid", "pass", "block", "first_word", "words", "copies", "shard", (F.row_number().over(shuffled) - 1).alias("position"))
+    return drawn.select("did", "th", "sid", "pass", "block", "first_word", "words", "copies", "shard", (F.row_number().over(shuffled) - 1).alias("position"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The mix of docs' sources: (documents, blocks).
 
-    documents: (doc_id, size, source, source_size, target, taken) for each row of docs; taken is
-    the number of its words in the mix, repeats counted, no more than most times its size rounded
-    up to whole passes. blocks: (doc_id, th, pass, block, first_word, words, shard, position), the
+    documents: (doc_id, size, source, source_size, target, taken, shards) for each row of docs; taken
+    is the number of its words that the shards take, repeats counted, no more than most times its
+    size rounded up to whole passes, and shards those that take any. blocks: (doc_id, th, pass, block, first_word, words, shard, position), the
     mix itself; a block is words first_word to first_word + words of its document.
 
     Targets share all words by weight, see targets(); taken words of a source come to its rounded
@@ -148,21 +167,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     """
     rows = cut(measured(docs, id_col, text_col, source_col))
     sources = plan(rows, weights, most)
-    blocks = draw(rows, sources, block_words, shards, seed)
-    taken = blocks.groupBy("did", "th").agg(F.sum("words").alias("taken"))
+    blocks = draw(rows, sources, block_words, shard_blocks, seed)
+    taken = blocks.groupBy("did", "th").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
     known = rows.join(F.broadcast(sources), rows.source.eqNullSafe(sources.source)).drop(sources.source)
     out = known.join(taken, ["did", "th"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    documents = out.select(id_of("did").alias("doc_id"), "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    documents = out.select(id_of("did").alias("doc_id"), "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
     return documents, blocks.select(id_of("did").alias("doc_id"), "did", "th", "pass", "block", "first_word", "words", "shard", "position")
 
 
 def mixed_texts(docs: DataFrame, blocks: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs once for each pass that takes part of a row, with the words taken as text; a wholly taken text is unchanged, of others the words are joined by one space."""
+    """The shards of the mix, in order and shuffled within: docs once for each shard and pass that takes part of a row, with the words taken as text.
+
+    A wholly taken text is unchanged, of others the words are joined by one space. All columns of
+    docs pass through, whatever their names.
+    """
     text, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string")
-    parts = blocks.groupBy("did", "th", "pass").agg(F.array_sort(F.collect_list(F.struct("first_word", "words"))).alias("parts__"), F.sum("words").alias("taken__")).drop("pass")
-    rows = docs.withColumns({"did": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), "th": F.xxhash64(text, source)})
-    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("parts__", lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    whole = F.regexp_count(text, F.lit(_WORD)) == F.col("taken__")
-    out = rows.join(parts.hint("shuffle_hash"), ["did", "th"]).withColumn(text_col, F.when(whole, text).otherwise(some))
-    return out.select(*docs.columns)
+    parts = blocks.groupBy("did", "th", "pass", "shard").agg(F.array_sort(F.collect_list(F.struct("first_word", "words"))).alias("parts"), F.sum("words").alias("taken"), F.min("position").alias("position"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text, source).alias("th"), text.alias("text"), F.struct(F.lit(None).alias(text_col), *rest).alias("row"))
+    some = F.transform(F.array(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))), lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " "))
+    whole = F.regexp_count("text", F.lit(_WORD)) == F.col("taken")
+    out = rows.join(parts, ["did", "th"]).withColumn("text", F.when(whole, F.col("text")).otherwise(F.element_at(some, 1)))
+    laid = out.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+    return laid.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -39,7 +39,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix(_table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 #: Dated block-list entries: kind, value, day, action.
@@ -105,7 +105,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_fuzzy_lines(_table(spark, sf_dir, "documents"), most_bits=None)
+    kept = drop_fuzzy_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
