@@ -24,8 +24,8 @@ from .components import linked_components
 MOST_BITS, SIMILARITY, MIN_CHARS = 9, 0.9, 20
 #: Bits of a block. A key has three blocks; 2 ** (3 * WIDTH) keys should not be far fewer than the different lines.
 WIDTH = 7
-#: Words of so many bytes count twice.
-LONG = 4
+#: Words of so many bytes count twice, and words that are among so many before them not at all.
+LONG, AGAIN = 4, 4
 #: Words of more bytes are cut where their bytes say so, and each character of three bytes or more is a word.
 LONG_WORD = 64
 #: Ratio of the lengths from one class to the next.
@@ -39,8 +39,8 @@ _NORMAL[48:58] = 48
 for _lo, _hi in ((33, 48), (58, 65), (91, 97), (123, 127)):
     _NORMAL[_lo:_hi] = 32
 _U = np.uint64
-#: A byte's bits as eight counters of eight bits, and the same twice as heavy.
-_SPREAD = np.outer((1, 2), np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(_U).ravel()).ravel().astype(_U)
+#: A byte's bits as eight counters of eight bits, for each weight.
+_SPREAD = np.outer((0, 1, 2), np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(_U).ravel()).ravel().astype(_U)
 
 
 def normal(line: str) -> str:
@@ -49,8 +49,15 @@ def normal(line: str) -> str:
 
 
 def simhashes(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(run, 2): the 128 bits of each run of words; first has each run's first word, and the end. Words of LONG bytes or more count twice, as most lines share the shorter ones."""
+    """(run, 2): the 128 bits of each run of words; first has each run's first word, and the end.
+
+    Words of LONG bytes or more count twice, as most lines share the shorter ones; words that are
+    among the AGAIN before them do not count, or a phrase said over and over would outweigh the rest.
+    """
     counts, weights = np.diff(first), np.where(sizes >= LONG, 2, 1)
+    place = np.arange(len(hashes)) - np.repeat(first[:-1], counts)
+    for k in range(1, AGAIN + 1):
+        weights[k:][(hashes[k:] == hashes[:-k]) & (place[k:] >= k)] = 0
     parts = np.maximum(1, -(-counts // 127))  # as many words as a counter holds
     row = np.repeat(np.arange(len(counts)), parts)
     begin = first[:-1][row] + 127 * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
@@ -60,7 +67,7 @@ def simhashes(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.nd
     while at < len(row):
         stop = max(at + 1, int(np.searchsorted(end, begin[at] + (1 << 16), "right")))
         lo, hi = begin[at], end[stop - 1]
-        heavy, lane = 256 * (weights[lo:hi] - 1), np.zeros(hi - lo + 1, _U)
+        heavy, lane = 256 * weights[lo:hi], np.zeros(hi - lo + 1, _U)
         for half, own in enumerate((hashes[lo:hi], mix64(hashes[lo:hi] + _U(1)))):
             for j in range(8):
                 np.cumsum(np.take(_SPREAD, ((own >> _U(8 * j)) & _U(255)).view(np.int64) + heavy), out=lane[1:])
