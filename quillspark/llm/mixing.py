@@ -21,6 +21,8 @@ from .common import NULL_ID, cut, id_of
 WEIGHTS, MOST, BLOCK_WORDS, SEED = (5.0, 2.0, 1.0), 3.0, 1024, 0
 #: An output shard has about so many blocks at most, as one task shuffles it.
 SHARD_BLOCKS = 1 << 15
+#: So many of a shard's rows lie together, in order.
+RUN = 2048
 #: The table of sources and shards is made on the driver and sent to all: shards are larger rather than its cells more.
 MAX_CELLS = 1 << 22
 _BUCKETS = 4096
@@ -188,5 +190,5 @@ def mixed_texts(docs: DataFrame, blocks: DataFrame, id_col: str = "doc_id", text
     some = F.transform(F.array(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))), lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " "))
     whole = F.regexp_count("text", F.lit(_WORD)) == F.col("taken")
     out = rows.join(parts, ["did", "th"]).withColumn("text", F.when(whole, F.col("text")).otherwise(F.element_at(some, 1)))
-    laid = out.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+    laid = out.repartition("shard", F.floor(F.col("position") / RUN)).sortWithinPartitions("shard", "position")
     return laid.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
