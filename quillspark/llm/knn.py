@@ -3,8 +3,9 @@
 Data rows are grouped by their nearest pivot; a group's summary is its size and the largest
 distance to its pivot. By Cauchy and Schwarz no member of a group scores above
 q.p + |q| * radius against a query q, and the k-th best score against the pivots, which are data
-rows themselves, is a floor for the k-th best of all. A query goes only to the groups whose bound
-reaches its floor; each group is solved locally, in blocks.
+rows themselves, is a floor for the k-th best of all. A query goes to the bins that hold groups whose
+bound reaches its floor. There the groups are taken in the order of their bounds, and a query passes
+over those whose bound is below its k-th best score so far.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .vectors import DATA_ROWS, QUERY_ROWS, best, dimension, matrix, top_of, usable
 
-#: Pivots are that many rows at most, chosen by a hash of the id.
-PIVOTS = 256
+#: Pivots are as many rows as the root of all, but from that many to that many, chosen by a hash of the id.
+PIVOTS, MOST_PIVOTS = 256, 4096
 _EXACT = 2.0**53
 _LONG = 2**63 - 1
 
@@ -53,7 +54,7 @@ def _assigned(pivots: np.ndarray):
 
 
 def _sent(pivots: np.ndarray, pivot_ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int):
-    """Each query once for every group that may hold one of its k best."""
+    """Each query once for every group that may hold one of its k best, with the group's bound and the query's floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,33 +67,63 @@ def _sent(pivots: np.ndarray, pivot_ids: np.ndarray, groups: np.ndarray, sizes:
             own = np.where(pivot_ids == ids[:, None], -np.inf, score)
             floor = np.sort(own, 1)[:, -k] if own.shape[1] >= k else np.full(len(q), -np.inf)
             # Rounding may not shut a group out.
-            slack = 1e-9 * (1 + np.abs(bound) + norm * np.abs(radii))
-            row, at = np.nonzero((bound + slack >= floor[:, None]) & (sizes > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(groups[at].astype(np.int32))], ["vec_id", "v", "grp"])
+            bound = bound + 1e-9 * (1 + np.abs(bound) + norm * np.abs(radii))
+            row, at = np.nonzero((bound >= floor[:, None]) & (sizes > 0))
+            arrays = [batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(groups[at].astype(np.int32)), pa.array(bound[row, at]), pa.array(floor[row])]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "v", "grp", "bound", "floor"])
 
     return run
 
 
+def solve(q: np.ndarray, own: np.ndarray, floors: np.ndarray, asked: list[np.ndarray], bounds: list[np.ndarray], groups: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """(query ids, row ids, scores, rows scored): each query's k best among the groups that it asks for.
+
+    The groups come in the order of their highest bounds. A query passes over a group whose bound is
+    below its floor, which rises to its k-th best score so far.
+    """
+    best: list[list[tuple[int, int]]] = [[] for _ in q]
+    floors, scored = floors.copy(), 0
+    wants: dict[int, list[tuple[int, float]]] = {}
+    for row, (gs, bs) in enumerate(zip(asked, bounds, strict=True)):
+        for g, b in zip(gs.tolist(), bs.tolist(), strict=True):
+            wants.setdefault(g, []).append((row, b))
+    for g, rows in sorted(wants.items(), key=lambda w: -max(b for _, b in w[1])):
+        live = np.array([row for row, b in rows if b >= floors[row]], np.int64)
+        if not len(live) or g not in groups:
+            continue
+        ids, x = groups[g]
+        exact = _products(q[live], x)
+        scored += exact.size
+        rank = exact if exact.dtype == object else exact.astype(float)
+        for row, line in zip(live.tolist(), rank, strict=True):
+            free = ids != own[row]
+            values, names = line[free], ids[free]
+            if len(values) > k and values.dtype != object:
+                values, names = (c[values >= np.partition(values, len(values) - k)[len(values) - k]] for c in (values, names))
+            best[row] = sorted([*best[row], *((-int(v), int(i)) for v, i in zip(values, names, strict=True))])[:k]
+            if len(best[row]) == k:
+                floors[row] = max(floors[row], -best[row][-1][0])
+    rows = [(own[row], i, -s) for row, found in enumerate(best) for s, i in found]
+    return rows, scored
+
+
 def _solved(k: int):
     def run(queries: pa.Table, data: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found = []
         if len(queries) and len(data):
-            data = data.combine_chunks()
-            queries = queries.combine_chunks()
-            x, ids = matrix(data.column("v").chunk(0)), data.column("vec_id").to_numpy()
-            q, own = matrix(queries.column("v").chunk(0)), queries.column("vec_id").to_numpy()
-            for at in range(0, len(q), 256):
-                exact = _products(q[at : at + 256], x)
-                score = np.where(ids == own[at : at + 256, None], -np.inf, exact.astype(float))
-                for row, cols in top_of(score, ids, k):
-                    found.append((np.full(len(cols), own[at + row]), ids[cols], np.array([int(v) for v in exact[row][cols]], np.int64)))
-        parts = [np.concatenate(c) if found else np.empty(0, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ()))]
-        return pa.table({"query_id": parts[0].astype(np.int64), "vec_id": parts[1].astype(np.int64), "score": parts[2].astype(np.int64)})
+            data, queries = data.combine_chunks(), queries.combine_chunks()
+            x, ids, grp = matrix(data.column("v").chunk(0)), data.column("vec_id").to_numpy(), data.column("grp").to_numpy()
+            groups = {int(g): (ids[grp == g], x[grp == g]) for g in np.unique(grp)}
+            q, own, floors = matrix(queries.column("v").chunk(0)), queries.column("vec_id").to_numpy(), queries.column("floor").to_numpy()
+            asked, bounds = ([np.array(v) for v in queries.column(c).to_pylist()] for c in ("grps", "bounds"))
+            found, _ = solve(q, own, floors, asked, bounds, groups, k)
+        parts = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table([pa.array(np.array(c, np.int64)) for c in parts], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k data rows of highest inner product for each query, its own id excepted.
 
     Vectors are turned into integers, floor(scale * x); scores are exact. Ties go to the smaller
@@ -108,6 +139,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, piv
     rows = quantised(usable(data, id_col, vector_col), scale)
     asked = quantised(usable(queries, id_col, vector_col), scale)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, int(rows.count() ** 0.5)))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     if not chosen or asked.isEmpty():
         return empty
@@ -117,7 +150,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, piv
     grouped = rows.mapInArrow(_assigned(pivot), "vec_id long, v array<double>, grp int, away double")
     summary = grouped.groupBy("grp").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("grp").collect()
     groups, sizes, radii = (np.array([r[c] for r in summary]) for c in ("grp", "n", "radius"))
-    sent = asked.mapInArrow(_sent(pivot, np.array([r.vec_id for r in chosen]), groups, sizes, radii, k), "vec_id long, v array<double>, grp int")
+    sent = asked.mapInArrow(_sent(pivot, np.array([r.vec_id for r in chosen]), groups, sizes, radii, k), "vec_id long, v array<double>, grp int, bound double, floor double")
 
     # Small groups meet in bins, so that a task has about DATA_ROWS rows; large ones are cut.
     bins, at, filled = {}, -1, DATA_ROWS
@@ -128,12 +161,17 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, piv
         filled += n if n <= DATA_ROWS else DATA_ROWS
     place = spark.createDataFrame([(g, b, c) for g, (b, c) in bins.items()], "grp int, bin int, cuts int")
     data_side = grouped.drop("away").join(F.broadcast(place), "grp").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int"))
-    query_side = sent.join(F.broadcast(place), "grp").select("vec_id", "v", "bin", "cuts").distinct()
+    # A row for each bin that a query meets, with the groups in it that matter.
+    met = sent.join(F.broadcast(place), "grp")
+    query_side = met.groupBy("vec_id", "v", "bin", "cuts").agg(F.collect_list(F.struct("grp", "bound")).alias("asked"), F.max("floor").alias("floor"))
+    query_side = query_side.select("vec_id", "v", "bin", "cuts", "floor", F.col("asked.grp").alias("grps"), F.col("asked.bound").alias("bounds"))
     loads = {r.bin: r.n for r in query_side.groupBy("bin").agg(F.count("*").alias("n")).collect()}
     blocks = spark.createDataFrame([(b, max(1, -(-n // QUERY_ROWS))) for b, n in loads.items()], "bin int, asks int")
     query_side = query_side.join(F.broadcast(blocks), "bin").withColumn("ask", F.pmod(F.xxhash64("vec_id"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     data_side = data_side.join(F.broadcast(blocks), "bin").withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
     key = ["bin", "part", "ask"]
-    left = query_side.select(*key, "vec_id", "v").toDF(*key, "vec_id", "v").groupBy(*key)
-    right = data_side.select(*key, "vec_id", "v").toDF(*key, "vec_id", "v").groupBy(*key)
+    # New names, as both sides stem from one table.
+    asked_cols, data_cols = [*key, "vec_id", "v", "floor", "grps", "bounds"], [*key, "vec_id", "v", "grp"]
+    left = query_side.select(*asked_cols).toDF(*asked_cols).groupBy(*key)
+    right = data_side.select(*data_cols).toDF(*data_cols).groupBy(*key)
     return best(left.cogroup(right).applyInArrow(_solved(k), "query_id long, vec_id long, score long"), k)

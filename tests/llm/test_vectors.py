@@ -41,6 +41,30 @@ def test_exact_top_k(vectors, monkeypatch):
     assert {tuple(r) for r in knn.top_k(asked, vectors, pivots=16).collect()} == want
 
 
+def test_bounds_spare_most_pairs():
+    """On clustered vectors a query is scored against few rows, and the result is brute force's."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 4000, (40, 16))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 60, (4000, 16)))
+    ids, pivots = np.arange(4000), x[:128]
+    rows = lambda v, i: pa.RecordBatch.from_arrays([pa.array(i), pa.array(v.tolist(), pa.list_(pa.float64()))], ["vec_id", "v"])
+    grouped = next(knn._assigned(pivots)(iter([rows(x, ids)])))
+    grp, away = grouped.column("grp").to_numpy(), grouped.column("away").to_numpy()
+    names = np.unique(grp)
+    sizes, radii = np.array([(grp == g).sum() for g in names]), np.array([away[grp == g].max() for g in names])
+    asked = np.arange(0, 4000, 50)
+    sent = next(knn._sent(pivots, ids[:128], names, sizes, radii, 5)(iter([rows(x[asked], asked)]))).to_pydict()
+    wants = {i: ([], [], f) for i, f in zip(sent["vec_id"], sent["floor"], strict=True)}
+    for i, g, b in zip(sent["vec_id"], sent["grp"], sent["bound"], strict=True):
+        wants[i][0].append(g)
+        wants[i][1].append(b)
+    found, scored = knn.solve(x[asked], asked, np.array([wants[i][2] for i in asked]), [np.array(wants[i][0]) for i in asked], [np.array(wants[i][1]) for i in asked], {int(g): (ids[grp == g], x[grp == g]) for g in names}, 5)
+    want = {(int(i), j, int(-s)) for i in asked for s, j in sorted((-int(x[i] @ x[j]), j) for j in range(4000) if j != i)[:5]}
+    assert set(found) == want and scored < 0.1 * len(asked) * 4000
+
+
 def test_exact_top_k_of_few_and_none(vectors):
     few = vectors.filter("vec_id in (0, 1, 2)")
     assert len(knn.top_k(few, few).collect()) == 6
