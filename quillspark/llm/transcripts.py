@@ -23,7 +23,7 @@ ROLES = ("system", "user", "assistant")
 #: Names that transcripts give to the roles (fixed values).
 NAMES = {"system": ("system", "instructions", "context"), "user": ("user", "human", "q", "question", "prompt"), "assistant": ("assistant", "ai", "bot", "a", "answer", "gpt", "model")}
 #: Markers: none, one for each role, a name that is not known.
-_MARKER = r"^\s*(?:[#*>\[(|]|<\||\s)*([A-Za-z][A-Za-z ]{0,18})(?:\|>|[\])*|\s])*\s*:\s*(?:\*\*)?\s*"
+_MARKER = r"^[\s#*>\[(|<]*+([A-Za-z][A-Za-z ]{0,18})[\s\])*|>]*+:\s*+(?:\*\*)?\s*+"
 STATES, MARKERS, FEATURES = 2 * len(ROLES), len(ROLES) + 2, 12
 TRAIN_LINES = 200_000
 NEVER = -1e30

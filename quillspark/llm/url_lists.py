@@ -30,10 +30,15 @@ def keys_of(url: Column) -> Column:
 def validity(entries: DataFrame) -> DataFrame:
     """(key, since, until) from dated entries (kind, value, day, action): a key is listed from an `add` to the next `remove`.
 
-    kind is domain or prefix. Of a key's entries of one day an add wins; repeats of an action
-    change nothing; until is null while listed. Entries with a null in any of the four are ignored.
+    kind is domain or prefix; other kinds list nothing. A host counts whatever its case, a prefix
+    with or without a scheme and a last slash. Of a key's entries of one day an add wins; repeats
+    of an action change nothing; until is null while listed. Entries with a null in any of the four
+    are ignored.
     """
-    rows = entries.select(F.concat("kind", F.lit(":"), F.when(F.col("kind") == "domain", F.lower("value")).otherwise(F.col("value"))).alias("key"), F.col("day").cast("date").alias("day"), (F.col("action") == "add").alias("on"))
+    bare = F.regexp_replace(F.trim("value"), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    prefix = F.regexp_replace(F.concat(F.lower(F.regexp_extract(bare, "^[^/]*", 0)), F.regexp_extract(bare, "/.*$", 0)), r"/+$", "")
+    value = F.when(F.col("kind") == "domain", F.regexp_replace(F.lower(F.trim("value")), r"\.+$", "")).when(F.col("kind") == "prefix", prefix)
+    rows = entries.select(F.concat("kind", F.lit(":"), value).alias("key"), F.col("day").cast("date").alias("day"), (F.col("action") == "add").alias("on"))
     days = rows.dropna().groupBy("key", "day").agg(F.max("on").alias("on"))
     order = Window.partitionBy("key").orderBy("day")
     changed = days.withColumn("was", F.lag("on").over(order)).filter("on != coalesce(was, false)")

@@ -68,6 +68,20 @@ def test_markers(spark):
     assert df.select(transcripts.content_of(F.col("line")).alias("c")).first().c == "hi"
 
 
+def test_markers_of_very_long_runs(spark):
+    runs = ["#" * 1_000_000, "# " * 500_000, "> [" * 300_000 + "User: x", "a " * 500_000, "User" + " ]" * 500_000, "x: " * 300_000]
+    rows = spark.createDataFrame([(r,) for r in runs], "line string").select(transcripts.observation(F.col("line")).alias("o"), F.length(transcripts.content_of(F.col("line"))).alias("n"))
+    assert len(rows.collect()) == len(runs)
+
+
+def test_prefixes_with_scheme_slash_and_case(spark):
+    day = "2024-01-01"
+    entries = [("prefix", "https://OK.org/p/", day, "add"), ("domain", " Bad.ORG. ", day, "add"), ("word", "x", day, "add")]
+    pages = [(1, "http://ok.org/p/a", "2024-02-01"), (2, "http://ok.org/P/a", "2024-02-01"), (3, "http://www.bad.org/", "2024-02-01"), (4, "http://ok.org/pa", "2024-02-01")]
+    out = url_lists.listed(spark.createDataFrame(pages, "page_id long, url string, fetched_at string"), spark.createDataFrame(entries, "kind string, value string, day string, action string"))
+    assert {r.page_id for r in out.filter("blocked").collect()} == {1, 3}
+
+
 def test_roles_are_recovered(spark, folder):
     turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", F.col("role").alias("true"))
     rows = queries.op10_transcripts(spark, folder).join(turns, ["conv_id", "turn"]).collect()
