@@ -320,7 +320,7 @@ def alike(left: list[str], right: list[str], similarity: float) -> np.ndarray:
 
 
 #: Bound on the bytes of the tables of distances().
-MANY = 1 << 24
+MANY = 1 << 22
 
 
 def _alike(similarity: float):
