@@ -110,7 +110,7 @@ def transitions(events: DataFrame, allowed: DataFrame) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("created_at", "event_id")
     steps = events.select("user_id", F.lag("event").over(order).alias("before"), F.col("event").alias("after")).filter("before is not null")
     counts = steps.groupBy("before", "after").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(allowed.withColumn("is_allowed", F.lit(True)).limit(10_000)), ["before", "after"], "left").withColumn("is_allowed", F.coalesce("is_allowed", F.lit(False)))
+    return counts.join(allowed.distinct().withColumn("is_allowed", F.lit(True)), ["before", "after"], "left").withColumn("is_allowed", F.coalesce("is_allowed", F.lit(False)))
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:

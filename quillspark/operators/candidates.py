@@ -44,10 +44,10 @@ def window_span(start: Column, end: Column, length: Column, size: int, step: int
 def presence(toks: DataFrame, texts: DataFrame, names: DataFrame, id_col: str, text_col: str, size: int = 500, step: int = 250) -> DataFrame:
     """(name, id, window) for each window of size characters that holds a token of names (name), without repeats.
 
-    Names are a shortlist of bounded length, so the join sends them to the tokens.
+    Names of any number; a list small enough is sent to the tokens by the planner.
     """
     lengths = texts.select(F.col(id_col).alias("id"), F.length(text_col).alias("len"))
-    hits = toks.join(F.broadcast(names.select(F.col("name").alias("token")).limit(100_000)), "token").join(lengths, "id")
+    hits = toks.join(names.select(F.col("name").alias("token")).distinct(), "token").join(lengths, "id")
     spans = window_span(F.col("start"), F.col("start") + F.length("token"), F.col("len"), size, step)
     return hits.select(F.col("token").alias("name"), "id", F.explode(spans).alias("window")).distinct()
 
@@ -59,7 +59,7 @@ def importance(present: DataFrame) -> DataFrame:
 
 def cooccurrence(present: DataFrame, ranked: DataFrame, least: int) -> DataFrame:
     """(left, right, count): windows that hold both names, for names of at least that importance."""
-    kept = present.join(F.broadcast(ranked.filter(F.col("importance") >= least).select("name").limit(100_000)), "name")
+    kept = present.join(ranked.filter(F.col("importance") >= least).select("name"), "name")
     other = kept.select(F.col("name").alias("right"), "id", "window")
     pairs = kept.withColumnRenamed("name", "left").join(other, ["id", "window"]).filter("left < right")
     return pairs.groupBy("left", "right").agg(F.count("*").alias("count"))
@@ -78,7 +78,7 @@ def boundary_entropy(toks: DataFrame, names: DataFrame) -> DataFrame:
     """(name, left, right): the entropy in bits of the first letters of what stands before and after each name."""
     order = Window.partitionBy("id").orderBy("n")
     rows = toks.withColumns({"before": F.coalesce(F.lower(F.substring(F.lag("token").over(order), 1, 1)), F.lit("^")), "after": F.coalesce(F.lower(F.substring(F.lead("token").over(order), 1, 1)), F.lit("$"))})
-    hits = rows.join(F.broadcast(names.select(F.col("name").alias("token")).limit(100_000)), "token")
+    hits = rows.join(names.select(F.col("name").alias("token")).distinct(), "token")
     sides = hits.select(F.col("token").alias("name"), F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("before").alias("c")), F.struct(F.lit("right").alias("side"), F.col("after").alias("c")))).alias("s"))
     each = sides.groupBy("name", "s.side", "s.c").agg(F.count("*").alias("n"))
     # -sum(p log p) from sums of n and n log n, so that no second pass over a name's rows is needed.

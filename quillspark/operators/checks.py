@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+#: Possessive, so that a long run takes no stack.
+WORD = r"[\p{L}\p{N}]++(?:['’][\p{L}\p{N}]++)*+"
+SPACED = r"[^\x20\x09-\x0D]+"
 SENTENCE = r"[^.!?。！？…]+[.!?。！？…]*"
 
 
@@ -33,17 +35,17 @@ def repeated_ngrams(grams: DataFrame, least: int = 3) -> DataFrame:
 
 
 def long_paragraphs(texts: DataFrame, id_col: str, text_col: str, words: int = 250, cjk: int = 600) -> DataFrame:
-    """(version, paragraph, words) for paragraphs, between blank lines, of too many words or CJK characters."""
+    """(version, paragraph, words) for paragraphs, between blank lines, of too many words, which lie between blanks, or CJK characters."""
     parts = F.split(F.col(text_col), r"\n[ \t]*\n")
     rows = texts.select(F.col(id_col).alias("version"), F.posexplode(parts).alias("paragraph", "p"))
-    counted = rows.select("version", "paragraph", F.regexp_count("p", F.lit(WORD)).cast("long").alias("words"), F.regexp_count("p", F.lit(r"[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]")).alias("cjk"))
+    counted = rows.select("version", "paragraph", F.regexp_count("p", F.lit(SPACED)).cast("long").alias("words"), F.regexp_count("p", F.lit(r"[\x{3400}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]")).alias("cjk"))
     return counted.filter((F.col("words") > words) | (F.col("cjk") > cjk)).select("version", "paragraph", "words")
 
 
 def long_sentences(texts: DataFrame, id_col: str, text_col: str, words: int = 60) -> DataFrame:
-    """(version, sentence, words) for sentences of too many words."""
+    """(version, sentence, words) for sentences of too many words, which lie between blanks."""
     rows = texts.select(F.col(id_col).alias("version"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE), F.lit(0))).alias("sentence", "s"))
-    return rows.select("version", "sentence", F.regexp_count("s", F.lit(WORD)).cast("long").alias("words")).filter(F.col("words") > words)
+    return rows.select("version", "sentence", F.regexp_count("s", F.lit(SPACED)).cast("long").alias("words")).filter(F.col("words") > words)
 
 
 def phrase_hits(texts: DataFrame, id_col: str, text_col: str, phrases: Sequence[str]) -> DataFrame:

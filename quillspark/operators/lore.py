@@ -13,14 +13,14 @@ def lore_matches(texts: DataFrame, id_col: str, text_col: str, entries: DataFram
     """(id, entry_id, priority, first, terms) of enabled entries (entry_id, priority, enabled) with a keyword in the text.
 
     keys has entry_id, keyword, is_regex, case_sensitive. Plain keywords join on grams of tokens; only
-    regular expressions, which no key can serve, meet every text, and they are a short list.
+    regular expressions, which no key can serve, meet every text; their list is sent to all tasks whole.
     """
     live = keys.join(entries.filter("enabled").select("entry_id"), "entry_id", "left_semi")
     grams = token_grams(tokens(texts, id_col, text_col), most_words)
     plain = live.filter("not is_regex").withColumn("k", F.when(F.col("case_sensitive"), F.col("keyword")).otherwise(F.lower("keyword")))
     both = grams.select("id", "start", F.explode(F.array(F.struct(F.col("gram").alias("k"), F.lit(True).alias("exact")), F.struct(F.lower("gram").alias("k"), F.lit(False).alias("exact")))).alias("g"))
     hits = both.join(plain, (F.col("g.k") == F.col("k")) & (F.col("g.exact") == F.col("case_sensitive"))).select("id", "entry_id", "start", "keyword")
-    patterns = live.filter("is_regex").select("entry_id", "keyword", "case_sensitive").limit(1000)
+    patterns = live.filter("is_regex").select("entry_id", "keyword", "case_sensitive")
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pattern = F.concat(F.when(F.col("case_sensitive"), "").otherwise("(?i)"), F.col("keyword"))
     found = rows.join(F.broadcast(patterns), F.regexp_like(F.col("text"), pattern)).select("id", "entry_id", (F.regexp_instr(F.col("text"), pattern) - 1).cast("long").alias("start"), "keyword")

@@ -97,16 +97,16 @@ def shadow_fold(spark: SparkSession, d: str) -> DataFrame:
 _ALIAS = _TOK + """, g as (select id, n, start, start + length(token) as e, token as gram from tok union all
  select id, n, start, l + length(t2), token || ' ' || t2 from (select *, lead(token) over o as t2, lead(start) over o as l from tok window o as (partition by id order by n)) where t2 is not null),
  al as (select alias, (min(struct_pack(rank := rank, pos := pos, target_id := target_id))).target_id as target_id from (
-   select doc_id as target_id, doc_id as rank, pos, alias from (select doc_id, 0 as pos, trim(split_part(text, ' ', 1), '"''.,;:!?()[]{}<>*#-_ ') as alias from documents where doc_id < 60 union all
-   select doc_id, 1, trim(split_part(text, ' ', 1), '"''.,;:!?()[]{}<>*#-_ ') || ' ' || trim(split_part(text, ' ', 2), '"''.,;:!?()[]{}<>*#-_ ') from documents where doc_id < 60)) where trim(alias) <> '' group by alias),
+   select doc_id as target_id, doc_id as rank, pos, alias from (select doc_id, 0 as pos, trim(split_part(text, ' ', 1), '"''.,;:!?()[]{}<>*#-_ ') as alias from documents union all
+   select doc_id, 1, trim(split_part(text, ' ', 1), '"''.,;:!?()[]{}<>*#-_ ') || ' ' || trim(split_part(text, ' ', 2), '"''.,;:!?()[]{}<>*#-_ ') from documents)) where trim(alias) <> '' group by alias),
  found as (select g.id, g.start, g.e, al.alias, al.target_id from g join al on al.alias = g.gram),
  kept as (select * from (select *, max(e) over (partition by id order by start, e desc, target_id rows between unbounded preceding and 1 preceding) as reach from found) where reach is null or e > reach) """
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
-    """The first one and two words of the first 60 documents name targets."""
+    """The first one and two words of every document name targets."""
     word = lambda k: F.btrim(F.split_part("text", F.lit(" "), F.lit(k)), F.lit("\"'.,;:!?()[]{}<>*#-_ "))
-    return docs(spark, d).filter("doc_id < 60").select(F.col("doc_id").alias("target_id"), F.col("doc_id").alias("rank"), F.array(word(1), F.concat_ws(" ", word(1), word(2))).alias("names"))
+    return docs(spark, d).select(F.col("doc_id").alias("target_id"), F.col("doc_id").alias("rank"), F.array(word(1), F.concat_ws(" ", word(1), word(2))).alias("names"))
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
@@ -128,8 +128,8 @@ def relevant_targets(spark: SparkSession, d: str) -> DataFrame:
     return M.relevant(M.longest(_found(spark, d))).withColumn("terms", F.array_join("terms", "|"))
 
 
-_SEG = _ALIAS + """, seg as (select doc_id as id, doc_id * 1000 + k as segment_id, k * 500 as start_pos, least((k + 1) * 500, length(text)) as end_pos, cast(least(7, floor((row_number() over (partition by source order by doc_id, k) - 1) * 8 / count(*) over (partition by source))) as integer) as bucket
-   from documents, range(0, 1000) t(k) where k * 500 < length(text)),
+_SEG = _ALIAS + """, seg as (select doc_id as id, doc_id * 10000000 + k as segment_id, k * 500 as start_pos, least((k + 1) * 500, length(text)) as end_pos, cast(least(7, floor((row_number() over (partition by source order by doc_id, k) - 1) * 8 / count(*) over (partition by source))) as integer) as bucket
+   from documents, unnest(range(0, (length(text) + 499) // 500)) t(k)),
  post as (select segment_id, target_id, count(*) as n, round(count(*) / max(end_pos - start_pos), 6) as density, round(count(*) + least(2.0, 120 * count(*) / max(end_pos - start_pos)), 4) as score, min(start - start_pos) as "offset" from found join seg using (id) where start >= start_pos and e <= end_pos group by all) """
 
 
@@ -138,7 +138,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     k = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 500).cast("int"))
     rows = docs(spark, d).filter("length(text) > 0").select("source", F.col("doc_id").alias("id"), F.length("text").alias("len"), F.explode(k).alias("k"))
     order = Window.partitionBy("source")
-    return rows.select("id", (F.col("id") * 1000 + F.col("k")).alias("segment_id"), (F.col("k") * 500).alias("start_pos"), F.least((F.col("k") + 1) * 500, F.col("len")).alias("end_pos"), M.progress_bucket(F.row_number().over(order.orderBy("id", "k")) - 1, F.count("*").over(order)).alias("bucket"))
+    return rows.select("id", (F.col("id") * 10_000_000 + F.col("k")).alias("segment_id"), (F.col("k") * 500).alias("start_pos"), F.least((F.col("k") + 1) * 500, F.col("len")).alias("end_pos"), M.progress_bucket(F.row_number().over(order.orderBy("id", "k")) - 1, F.count("*").over(order)).alias("bucket"))
 
 
 @query(_SEG + 'select segment_id, target_id, n, density, score, cast("offset" as bigint) as "offset" from post')

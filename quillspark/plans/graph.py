@@ -46,9 +46,9 @@ def entity_search(spark: SparkSession, d: str) -> DataFrame:
     return W.search(entities(spark, d), "00", ["name", "entity_type"], {"status": "draft", "origin": ""}).select("id", "name")
 
 
-@query(_ENT + "select edge_id, source_id as node from edg where source_id < 40 union select edge_id, target_id from edg where target_id < 40")
+@query(_ENT + "select edge_id, source_id as node from edg where source_id in (select id from ent) union select edge_id, target_id from edg where target_id in (select id from ent)")
 def incident_edges(spark: SparkSession, d: str) -> DataFrame:
-    return W.incident(edges(spark, d), entities(spark, d).filter("id < 40"))
+    return W.incident(edges(spark, d), entities(spark, d))
 
 
 @query(_ENT + ", s as (select *, case when source_id = 7 then target_id else source_id end as peer from edg where source_id = 7 or target_id = 7) select edge_id, peer, count(*) over (partition by peer) as parallel, row_number() over (partition by peer order by edge_id) as nth from s")
@@ -119,10 +119,10 @@ def draft_counts(spark: SparkSession, d: str) -> DataFrame:
     return W.draft_counts(("entities", entities(spark, d)), ("orders", orders))
 
 
-@query(_ENT + """, a as (select distinct o_custkey as id from orders where o_orderkey % 4 = 0), m as (select ent.id, list_filter([case when coalesce(trim(description), '') = '' then 'description' end, case when len(aliases) = 0 then 'aliases' end, case when a.id is null then 'attributes' end], lambda x: x is not null) as missing from ent left join a on a.id = ent.id where status = 'draft')
+@query(_ENT + """, a as (select distinct o_custkey as id from orders), m as (select ent.id, list_filter([case when coalesce(trim(description), '') = '' then 'description' end, case when len(aliases) = 0 then 'aliases' end, case when a.id is null then 'attributes' end], lambda x: x is not null) as missing from ent left join a on a.id = ent.id where status = 'draft')
  select id, array_to_string(missing, ',') as missing from m where len(missing) > 0""")
 def draft_audit(spark: SparkSession, d: str) -> DataFrame:
-    attributes = table(spark, d, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("entity_id"))
+    attributes = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"))
     return W.audit(entities(spark, d), attributes).withColumn("missing", F.array_join("missing", ","))
 
 
@@ -147,21 +147,21 @@ def checker_context(spark: SparkSession, d: str) -> DataFrame:
     return _context(spark, d, False)
 
 
-_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')"
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)*')"
 
 
-@query(f"""with w as (select doc_id as version, {_WORDS} as w from documents), g as (select version, array_to_string(w[k:(k + n - 1)], ' ') as gram, k as at from w, range(3, 6) s(n), range(1, 30000) t(k) where k <= len(w) - n + 1),
+@query(f"""with w as (select doc_id as version, {_WORDS} as w from documents), g as (select version, array_to_string(w[k:(k + n - 1)], ' ') as gram, k as at from w, range(3, 6) s(n), unnest(range(1, len(w) - n + 2)) t(k)),
  c as (select version, gram, count(*) as count, min(at) as first from g group by all having count(*) >= 3) select version, gram, count from (select *, row_number() over (partition by version order by count desc, length(gram) desc, first, gram) as r from c) where r = 1""".replace(" as at ", " as at_ ").replace("min(at)", "min(at_)"))
 def repeated_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return K.repeated_ngrams(K.word_ngrams(docs(spark, d), "doc_id", "text"))
 
 
-@query(r"""with p as (select doc_id as version, generate_subscripts(a, 1) - 1 as paragraph, unnest(a) as p from (select doc_id, regexp_split_to_array(text, '\n[ \t]*\n') as a from documents)) select version, paragraph, len(regexp_extract_all(p, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')) as words from p where words > 250""")
+@query(r"""with p as (select doc_id as version, generate_subscripts(a, 1) - 1 as paragraph, unnest(a) as p from (select doc_id, regexp_split_to_array(text, '\n[ \t]*\n') as a from documents)) select version, paragraph, len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')) as words from p where words > 250""")
 def long_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return K.long_paragraphs(docs(spark, d), "doc_id", "text").withColumn("paragraph", F.col("paragraph").cast("long"))
 
 
-@query(r"""with s as (select doc_id as version, generate_subscripts(a, 1) - 1 as sentence, unnest(a) as s from (select doc_id, regexp_extract_all(text, '[^.!?。！？…]+[.!?。！？…]*') as a from documents)) select version, sentence, len(regexp_extract_all(s, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')) as words from s where words > 30""")
+@query(r"""with s as (select doc_id as version, generate_subscripts(a, 1) - 1 as sentence, unnest(a) as s from (select doc_id, regexp_extract_all(text, '[^.!?。！？…]+[.!?。！？…]*') as a from documents)) select version, sentence, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) as words from s where words > 30""")
 def long_sentences(spark: SparkSession, d: str) -> DataFrame:
     return K.long_sentences(docs(spark, d), "doc_id", "text", 30).withColumn("sentence", F.col("sentence").cast("long"))
 
@@ -202,9 +202,9 @@ def evidence_packs(spark: SparkSession, d: str) -> DataFrame:
     return R.dedupe_packs(rows).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""with a as (select c_nationkey as query_id, c_custkey as id from customer where c_custkey % 40 = 0), b as (select s_nationkey as query_id, s_suppkey as id from supplier) select * from a union all select * from b where query_id not in (select query_id from a group by 1 having count(*) >= 3)""")
+@query("""with a as (select c_nationkey as query_id, c_custkey as id from customer), b as (select s_nationkey as query_id, s_suppkey as id from supplier) select * from a union all select * from b where query_id not in (select query_id from a group by 1 having count(*) >= 3)""")
 def evidence_fallback(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("id"))
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("id"))
     return R.first_enough(a, table(spark, d, "supplier").select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("id")))
 
 

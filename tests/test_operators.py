@@ -134,3 +134,13 @@ def test_chunks_reach_the_end_of_a_text(spark):
     text = "".join(chr(97 + k * k % 26) for k in range(70_000)) + "end"
     rows = sorted((r.chunk, r.content) for r in ingest.chunks(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect())
     assert len(rows) == 11 and rows[0][1] + "".join(c[500:] for _, c in rows[1:]) == text
+
+
+def test_long_runs_of_words_take_no_stack(spark):
+    from quillspark.operators import checks
+
+    runs = ["a-" * 500_000, "a'" * 500_000, "a" * 1_000_000, "a b " * 250_000]
+    df = spark.createDataFrame(list(enumerate(runs)), "id int, text string")
+    assert {r.version: r.words for r in checks.long_paragraphs(df, "id", "text").collect()} == {3: 500_000}
+    assert checks.long_sentences(df, "id", "text").count() == 1
+    assert checks.word_ngrams(df, "id", "text", (3,)).count() > 0
