@@ -50,6 +50,29 @@ def close_members(members: DataFrame, near: Callable[[Column, Column], Column])
     return members.alias("x").join(members.alias("y"), near_one, "left_semi")
 
 
+#: Further turns go on while more than so many pairs a member are left; each takes so many hubs of a bucket.
+FEW, HUBS = 4, 4
+
+
+def _pairs_left(rows: DataFrame) -> tuple[int, int]:
+    """How many pairs of different components the buckets of rows hold, and how many rows there are."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n"))
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    pairs, members = buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.sum("n")).first()
+    return int(pairs or 0), int(members or 0)
+
+
+def _hub_pairs(rows: DataFrame, turn: int, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b), a < b, of members outside their bucket's largest component with a few members of it, others each turn."""
+    main = rows.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    seen = rows.join(main, "bucket")
+    # The choice goes by id, so that buckets with the same members mostly make the same pairs.
+    chosen = [F.min_by(F.struct("id", "data"), F.xxhash64("id", F.lit(turn), F.lit(k))) for k in range(HUBS)]
+    hubs = seen.filter("component = main").groupBy("bucket").agg(F.array(*chosen).alias("hubs")).select("bucket", F.explode("hubs").alias("hub"))
+    met = seen.filter("component != main").join(hubs, "bucket").filter(near(F.col("data"), F.col("hub.data")))
+    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
 def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame) -> DataFrame:
     """(id, component) over known links (a, b) and those between members (bucket, id, data) of one bucket.
 
@@ -57,9 +80,10 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
     near one should be left out, see close_members(), and the rest be without lineage. prepare() gets the ids (id) of all members
     and returns a function that, given pairs (a, b) with a < b, returns those that are linked.
     First every bucket's members meet one of them, the least; so alike members become one component
-    by a row each. Then only near members of different components of a bucket meet, so all links
-    count, while pairs inside a component are never made. A bucket is no task's: it is summed with
-    partial aggregates and joined back, and a join's large side may be split.
+    by a row each. While many pairs are left and turns help, members outside a bucket's largest
+    component meet a few others of it. At last all near members of different components of a bucket
+    meet, so all links count, while pairs inside a component are never made. A bucket is no task's:
+    it is summed with partial aggregates and joined back, and a join's large side may be split.
     """
     rows = members
     links = cut(known.select("a", "b"))
@@ -75,8 +99,19 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
     rows = _apart(rows, labels)
     if rows.isEmpty():
         return labels
+    turn, (left, count) = 0, _pairs_left(rows)
+    while left > FEW * count:
+        turn, before = turn + 1, left
+        found = cut(linked(_hub_pairs(rows, turn, near)).select("a", "b"))
+        # The labels found so far are stars, so few rounds are left.
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
+        rows = _apart(rows.drop("component"), labels)
+        left, count = _pairs_left(rows)
+        if 4 * left > 3 * before:
+            break
+    if not count:
+        return labels
     other = rows.select("bucket", F.col("id").alias("id2"), F.col("data").alias("data2"), F.col("component").alias("component2"))
     met = rows.join(other, "bucket").filter((F.col("component") < F.col("component2")) & near(F.col("data"), F.col("data2")))
     found = cut(linked(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()).select("a", "b"))
-    # The labels found so far are stars, so few rounds are left.
     return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
