@@ -17,14 +17,14 @@ def _stars(edges: DataFrame) -> bool:
     return wrong.isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(id, component) for every end of links (a, b): the smallest id that can be reached.
 
     Alternating large-star and small-star rounds; each is a few shuffles of the links, and their
     number grows with the logarithm of a component's size. Links that are stars already take none.
-    No links give no rows.
+    No links give no rows. keep() cuts a round's lineage; the result reads what it kept last.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     while not _stars(edges):
         # Large star: every larger neighbour goes to the smallest one.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,15 +33,15 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: every smaller neighbour, and the node itself, goes to the smallest one.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(joined.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        edges = keep(joined.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, labels: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows with their component, of the buckets that hold members of several."""
     rows = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    return cut(rows.join(mixed, "bucket"))
+    return keep(rows.join(mixed, "bucket"))
 
 
 def close_members(members: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
@@ -73,7 +73,7 @@ def _hub_pairs(rows: DataFrame, turn: int, near: Callable[[Column, Column], Colu
     return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
-def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame) -> DataFrame:
+def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(id, component) over known links (a, b) and those between members (bucket, id, data) of one bucket.
 
     near(x, y) tells from two members' data whether they can be linked at all; members without a
@@ -84,28 +84,30 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
     component meet a few others of it. At last all near members of different components of a bucket
     meet, so all links count, while pairs inside a component are never made. A bucket is no task's:
     it is summed with partial aggregates and joined back, and a join's large side may be split.
+    keep() cuts the lineage between the turns: checkpoints, or tables of scratch(), whose shuffle
+    files go at once; then the result must be cut before they do.
     """
     rows = members
-    links = cut(known.select("a", "b"))
+    links = keep(known.select("a", "b"))
     if rows.isEmpty():
-        return components(links)
+        return components(links, keep)
     linked = prepare(rows.select("id").distinct())
     hubs = rows.groupBy("bucket").agg(F.min(F.struct("id", "data")).alias("hub"))
     met = rows.join(hubs, "bucket").filter((F.col("id") != F.col("hub.id")) & near(F.col("data"), F.col("hub.data")))
     pairs = met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = links.union(cut(linked(pairs).select("a", "b")))
+    links = links.union(keep(linked(pairs).select("a", "b")))
 
-    labels = components(links)
-    rows = _apart(rows, labels)
+    labels = components(links, keep)
+    rows = _apart(rows, labels, keep)
     if rows.isEmpty():
         return labels
     turn, (left, count) = 0, _pairs_left(rows)
     while left > FEW * count:
         turn, before = turn + 1, left
-        found = cut(linked(_hub_pairs(rows, turn, near)).select("a", "b"))
+        found = keep(linked(_hub_pairs(rows, turn, near)).select("a", "b"))
         # The labels found so far are stars, so few rounds are left.
-        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
-        rows = _apart(rows.drop("component"), labels)
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), keep)
+        rows = _apart(rows.drop("component"), labels, keep)
         left, count = _pairs_left(rows)
         if 4 * left > 3 * before:
             break
@@ -113,5 +115,5 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
         return labels
     other = rows.select("bucket", F.col("id").alias("id2"), F.col("data").alias("data2"), F.col("component").alias("component2"))
     met = rows.join(other, "bucket").filter((F.col("component") < F.col("component2")) & near(F.col("data"), F.col("data2")))
-    found = cut(linked(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()).select("a", "b"))
-    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
+    found = keep(linked(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()).select("a", "b"))
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), keep)

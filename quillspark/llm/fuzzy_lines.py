@@ -326,7 +326,7 @@ MANY = 1 << 22
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = ([normal(t) for t in batch.column(c).to_pylist()] for c in ("text_a", "text_b"))
+            left, right = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
             yield batch.select(["a", "b"]).filter(pa.array(alike(left, right, similarity), pa.bool_()))
 
     return run
@@ -359,7 +359,7 @@ def _spot(did, th, line, bits: int = MAP_BITS):
 
 
 def _texts_of(wanted: DataFrame, placed: DataFrame) -> DataFrame:
-    """(id, text) of the wanted lines (did, th, line, id): a map of fixed size picks them out of the texts, and a join decides."""
+    """(id, text) of the wanted lines (did, th, line, id), normalised: a map of fixed size picks them out of the texts, and a join decides."""
     spark = wanted.sparkSession
     spot = _spot(F.col("did"), F.col("th"), F.col("line"))
     found = wanted.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
@@ -377,7 +377,7 @@ def _texts_of(wanted: DataFrame, placed: DataFrame) -> DataFrame:
             spot = _spot(did, th, number)
             keep = np.flatnonzero((bits[spot >> 6] >> (spot & 63)) & 1)
             ends = np.append(starts[1:], len(data))
-            texts = [data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") for k in keep]
+            texts = [normal(data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")) for k in keep]
             yield pa.RecordBatch.from_arrays([pa.array(did[keep]), pa.array(th[keep]), pa.array(number[keep].astype(np.int32)), pa.array(texts, pa.string())], ["did", "th", "line", "text"])
 
     lines = placed.mapInArrow(picked, "did long, th long, line int, text string")
@@ -440,13 +440,13 @@ def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int
 
             return linked
 
-        labels = linked_components(members, near, prepare, spark.createDataFrame([], "a long, b long"))
+        labels = linked_components(members, near, prepare, spark.createDataFrame([], "a long, b long"), written)
         # Only lines that occur again or are linked have a winner to lose to.
         group = lines.select("id", "first", "n").join(labels, "id", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
         winners = group.groupBy("component").agg(F.min("first").alias("best"))
         winner = group.select("id", "component").join(winners, "component").select("id", F.col("best.did").alias("best_did"), F.col("best.line").alias("best_line"))
         lost = found.filter("not known").select("did", "th", "line", "id").join(winner, "id").filter("did != best_did or line != best_line").select("did", "th", "line")
-        removed = cut(lost.union(found.filter("known").select("did", "th", "line")).groupBy("did", "th").agg(F.collect_set("line").alias("lost")))
+        removed = cut(written(lost.union(found.filter("known").select("did", "th", "line")).groupBy("did", "th").agg(F.collect_set("line").alias("lost"))))
 
     # The row is kept as one column, so that its own columns' names cannot clash.
     rows = docs.select(*[c.alias(k) for k, c in own.items()], F.struct(F.lit(None).alias(text_col), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), text.alias("text"))
