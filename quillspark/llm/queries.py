@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, knn, langid, transcripts
+from . import forest, knn, langid, ranked, transcripts
 from .bpe import encode
 from .fuzzy_lines import drop_fuzzy_lines
+from .main_text import main_text
 from .minhash import near_duplicates
 from .mixing import mix
+from .periodic import periodic_runs
 from .substrings import drop_repeated_passages
 from .url_lists import listed
 
@@ -135,8 +137,53 @@ def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("place.row.k0").cast("long").alias("turn"), F.col("place.n").alias("line_no"), "role", "starts", "canonical")
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=20)
+
+
+OP11_SQL = r"""
+with terms as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {term})) as term from documents),
+counts as (select doc_id, term, count(*) as tf from terms group by all),
+sizes as (select doc_id, count(*) as n from terms group by all),
+whole as (select count(*) as n_all, cast(sum(n) as bigint) as terms_all from sizes),
+lists as (select term, count(*) as df from counts group by all),
+asked as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {term})) as term from benchmark),
+weighed as (select item_id, term, count(*) * cast(floor(1000 * ln((2 * n_all + 2)::double / (2 * df + 1)::double)) as bigint) as w from asked join lists using (term), whole group by item_id, term, df, n_all),
+scored as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // terms_all)))) as bigint) as score from weighed join counts using (term) join sizes using (doc_id), whole group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scored where score > 0 qualify rank <= 20
+""".replace("{term}", r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """documents in which about one text in ten goes on periodically: with h = crc32(doc_id) divisible by 10 and g = h div 10, each word i >= a becomes word a + (i - a) mod p, where a = g mod n and p = 1 + (n - a) div (3 + g mod 8). A null id or text stays as it is."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    period = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    again = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), a), period), F.lit(1), n), " ")
+    chosen = F.coalesce((F.col("h") % 10 == 0) & (n > 0), F.lit(False))
+    split = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    return split.select("doc_id", F.when(chosen, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")], F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_language, op2_mixing, op3_url_lists, op4_voronoi, op5_bpe, op6_minhash, op7_forest, op8_substrings, op9_lines, op10_transcripts)
+    f.__name__: f for f in (op1_language, op2_mixing, op3_url_lists, op4_voronoi, op5_bpe, op6_minhash, op7_forest, op8_substrings, op9_lines, op10_transcripts, op11_ranked, op12_periodic, op13_main_text)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_lists": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_lists": OP3_SQL, "op11_ranked": OP11_SQL}
