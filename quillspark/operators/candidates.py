@@ -99,3 +99,10 @@ def fold_shadows(counted: DataFrame, endings: Column) -> DataFrame:
 def merge_inputs(primary: DataFrame, extra: DataFrame) -> DataFrame:
     """Primary's names and those of extra that it lacks."""
     return primary.unionByName(extra.join(primary.select("name"), "name", "left_anti"))
+
+
+def fold_onto(counted: DataFrame, root: Column) -> DataFrame:
+    """Counts with a name whose root is a name too added to that root; root is null where a name stands for itself."""
+    known = counted.select(F.col("name").alias("root")).withColumn("known", F.lit(True))
+    rows = counted.withColumn("root", root).join(known, "root", "left")
+    return rows.groupBy(F.when(F.col("known"), F.col("root")).otherwise(F.col("name")).alias("name")).agg(F.sum("count").alias("count"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.policy import match_key
+
 
 def alias_table(targets: DataFrame) -> DataFrame:
     """(alias, target_id) from targets (target_id, rank, names array): the first target that has an alias owns it."""
@@ -14,8 +16,8 @@ def alias_table(targets: DataFrame) -> DataFrame:
 
 
 def keyword_index(targets: DataFrame) -> DataFrame:
-    """(keyword, target_id, display): lower-case names that mean one target; the shortest, then least, spelling is shown."""
-    rows = targets.select("target_id", F.explode("names").alias("name")).filter(F.trim("name") != "").withColumn("keyword", F.lower(F.trim("name")))
+    """(keyword, target_id, display): names, folded, that mean one target; the shortest, then least, spelling is shown."""
+    rows = targets.select("target_id", F.explode("names").alias("name")).filter(F.trim("name") != "").withColumn("keyword", match_key(F.trim("name")))
     by = rows.groupBy("keyword").agg(F.min("target_id").alias("target_id"), F.max("target_id").alias("other"), F.min(F.struct(F.length("name").alias("n"), "name")).alias("d"))
     return by.filter("target_id = other").select("keyword", "target_id", F.col("d.name").alias("display"))
 

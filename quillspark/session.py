@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings for any cluster; sizes of shuffles are left to adaptive execution.
 SETTINGS = {
@@ -26,3 +28,14 @@ def session(app: str = "corpus", **more: str) -> SparkSession:
 def table(spark: SparkSession, folder: str, name: str):
     """A Parquet table of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and read again from the folder of spark.checkpoint.dir, which driver and executors share; a local session without one gets a temporary folder, on a cluster that is an error."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if given is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint()
