@@ -208,7 +208,7 @@ def grown_occurrences(blocks: DataFrame, seeds: DataFrame, rules: NameRules) ->
     names = seeds.filter(F.col("name").rlike(f"^{CJK}{{2,}}$")).select(F.col("name").alias("alias")).distinct().withColumns(kinds)
     before, after, following = F.col("before"), F.col("after"), F.substring("after", 1, 1)
     hits = overlap_matches(blocks, names.withColumn("target_id", F.struct(*kinds)), "id", "text", F.lit(True), around=3)
-    sides = {"into_left": F.length(F.regexp_extract(before, f"{CJK}*$", 0)), "into_right": F.length(F.regexp_extract(after, f"^{CJK}*", 0)), "weak": _has(FUNCTION_CHARS + LOW_SUFFIXES + rules.noise, following), "role": _has(ROLE_SUFFIXES, following)}
+    sides = {"into_left": F.length(F.regexp_extract(before, f"{CJK}*\\z", 0)), "into_right": F.length(F.regexp_extract(after, f"^{CJK}*", 0)), "weak": _has(FUNCTION_CHARS + LOW_SUFFIXES + rules.noise, following), "role": _has(ROLE_SUFFIXES, following)}
     flag = lambda k: F.col(f"target_id.{k}")
     stands = following != ""
     right_fits = F.when(flag("free"), True).when(flag("generic"), stands & ~F.col("weak") & (~flag("weak_seed") | F.col("role"))).when(~flag("person_like"), True).otherwise(stands & F.col("weak"))

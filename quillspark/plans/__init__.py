@@ -1,6 +1,6 @@
 """All queries of the library over the driver's tables, by name, with their SQL."""
 
-from . import analytics, cjk, discovery, graph, texts
+from . import analytics, cjk, discovery, graph, texts, upkeep
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "cjk", "discovery", "graph", "texts"]
+__all__ = ["QUERIES", "SQL", "analytics", "cjk", "discovery", "graph", "texts", "upkeep"]
