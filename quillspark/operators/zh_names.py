@@ -170,9 +170,9 @@ def without_fragments(counted: DataFrame, rules: NameRules) -> DataFrame:
     """Candidate counts without pieces of foreign names, and titles, that lie in a longer foreign name (with a title or not) counted as often."""
     name = F.col("name")
     whole = counted.filter((F.length(name) >= 3) & name.rlike(f"^{_any(rules.translit)}+$|^{_any(rules.translit)}{{3,}}{_either(rules.titles)}$"))
-    spots = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda a: F.transform(F.sequence(F.lit(1), F.length(name) - a + 1), lambda n: F.substring(name, a, n))))
-    parts = whole.select(F.explode(F.array_distinct(spots)).alias("part"), F.col("count").alias("most"), name.alias("whole")).filter("part <> whole").groupBy(F.col("part").alias("name")).agg(F.max("most").alias("most"))
-    lost = counted.join(parts, "name").filter((rules.is_translit(name) | rules.is_title(name)) & (F.col("count") <= F.col("most"))).select("name")
+    pieces = counted.filter(rules.is_translit(name) | rules.is_title(name))
+    held = overlap_matches(whole, pieces.select(name.alias("alias"), F.col("count").alias("target_id")), "name", "name", F.lit(True)).filter("alias <> id")
+    lost = held.join(whole.select(name.alias("id"), F.col("count").alias("most")), "id").filter("target_id <= most").select(F.col("alias").alias("name")).distinct()
     return counted.join(lost, "name", "left_anti")
 
 

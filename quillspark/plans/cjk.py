@@ -160,7 +160,7 @@ def bound_names(spark: SparkSession, d: str) -> DataFrame:
  tk as (select s.here as name, sum(b.count) as took from steps s join bnd b using (first) group by all),
  m2 as (select name, cast(count - coalesce(took, 0) as bigint) as count from m1 left join tk using (name) where count - coalesce(took, 0) > 0),
  wh as (select * from m2 where length(name) >= 3 and (regexp_full_match(name, '{_T}+') or regexp_full_match(name, '{_T}{{3,}}{_TITLE}'))),
- pt as (select substr(w.name, cast(a as integer), cast(b as integer)) as name, max(w.count) as most from wh w, unnest(range(1, length(w.name) + 1)) x(a), unnest(range(1, length(w.name) - a + 2)) y(b) where b < length(w.name) group by 1),
+ pt as (select p.name, max(w.count) as most from m2 p join wh w on length(p.name) < length(w.name) and contains(w.name, p.name) where regexp_full_match(p.name, '{_T}+') or p.name in {_sql_list(RULES.titles)} group by p.name),
  m3 as (select m2.* from m2 left join pt using (name) where not (most is not null and count <= most and (regexp_full_match(name, '{_T}+') or name in {_sql_list(RULES.titles)}))),
  sh as (select name, count, {_denoised('name')} as root from m3), m4 as (select case when root in (select name from m3) then root else name end as name, count from sh)
  select name, cast(sum(count) as bigint) as count from m4 group by name""")
