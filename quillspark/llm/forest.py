@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import DATA_ROWS, QUERY_ROWS, best, dimension, matrix, top_of, usable
+from .vectors import DATA_ROWS, QUERY_ROWS, best, dimension, matrix, queries_of, top_of, usable
 
 TREES, BITS, SEED = 16, 60, 7
 #: A query's ascent ends when its candidates in a shard are at least that share of the shard's rows.
@@ -100,9 +100,11 @@ def _searched(k: int, share: float, trees: int, bits: int, seed: int):
                     rough = ~np.isfinite(score)
                     score[rough] = (unit[near][rough] * q_unit[row]).sum(1)
                     for _, cols in top_of(score[None, :], ids[near], k):
-                        found.append((np.full(len(cols), own[row]), ids[near][cols], score[cols]))
+                        found.append((np.full(len(cols), row), ids[near][cols], score[cols]))
         parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0), np.empty(0), np.empty(0)]
-        return pa.table({"query_id": parts[0].astype(np.int64), "vec_id": parts[1].astype(np.int64), "score": parts[2].astype(np.float64)})
+        row = pa.array(parts[0].astype(np.int64))
+        names = [queries.column(c).take(row) if found else row for c in ("vec_id", "mark")]
+        return pa.table([*names, pa.array(parts[1].astype(np.int64)), pa.array(parts[2].astype(np.float64))], names=["query_id", "mark", "vec_id", "score"])
 
     return run
 
@@ -113,14 +115,15 @@ def search(queries: DataFrame, data: DataFrame, k: int = 5, share: float = SHARE
     score is the cosine of the original vectors in double precision. Ties go to the smaller
     vec_id; a query with fewer candidates gets all. Rows whose id or vector is null, or whose vector
     is empty, zero or holds null or non-finite components, take no part; vectors of several lengths
-    are an error. Rows that share an id are each a candidate or query. Empty tables give an empty
+    are an error. Rows that share an id are each a candidate, and each a query if their
+    vectors differ; equal query rows are one query. Empty tables give an empty
     result; other columns are ignored.
 
     share is the part of a shard that a query looks at before its ascent ends, and sets the recall.
     Rows are dealt to shards of about DATA_ROWS rows by a hash of id and vector, queries to blocks.
     """
     spark = data.sparkSession
-    rows, asked = usable(data, id_col, vector_col, True), usable(queries, id_col, vector_col, True)
+    rows, asked = usable(data, id_col, vector_col, True), queries_of(usable(queries, id_col, vector_col, True))
     n, m = rows.count(), asked.count()
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -130,4 +133,4 @@ def search(queries: DataFrame, data: DataFrame, k: int = 5, share: float = SHARE
     data_side = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     query_side = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     met = query_side.groupBy("shard", "block").cogroup(data_side.groupBy("shard", "block"))
-    return best(met.applyInArrow(_searched(k, share, trees, bits, seed), "query_id long, vec_id long, score double"), k)
+    return best(met.applyInArrow(_searched(k, share, trees, bits, seed), "query_id long, mark long, vec_id long, score double"), k)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import DATA_ROWS, QUERY_ROWS, best, dimension, matrix, top_of, usable
+from .vectors import DATA_ROWS, QUERY_ROWS, best, dimension, matrix, queries_of, top_of, usable
 
 #: Pivots are as many rows as the root of all, but from that many to that many, chosen by a hash of the id.
 PIVOTS, MOST_PIVOTS = 256, 4096
@@ -69,14 +69,14 @@ def _sent(pivots: np.ndarray, pivot_ids: np.ndarray, groups: np.ndarray, sizes:
             # Rounding may not shut a group out.
             bound = bound + 1e-9 * (1 + np.abs(bound) + norm * np.abs(radii))
             row, at = np.nonzero((bound >= floor[:, None]) & (sizes > 0))
-            arrays = [batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(groups[at].astype(np.int32)), pa.array(bound[row, at]), pa.array(floor[row])]
-            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "v", "grp", "bound", "floor"])
+            arrays = [*[c.take(pa.array(row)) for c in batch.columns], pa.array(groups[at].astype(np.int32)), pa.array(bound[row, at]), pa.array(floor[row])]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "grp", "bound", "floor"])
 
     return run
 
 
 def solve(q: np.ndarray, own: np.ndarray, floors: np.ndarray, asked: list[np.ndarray], bounds: list[np.ndarray], groups: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
-    """(query ids, row ids, scores, rows scored): each query's k best among the groups that it asks for.
+    """(queries, row ids, scores) and the rows scored: each query's, told by its place in q, k best among the groups that it asks for.
 
     The groups come in the order of their highest bounds. A query passes over a group whose bound is
     below its floor, which rises to its k-th best score so far.
@@ -103,7 +103,7 @@ def solve(q: np.ndarray, own: np.ndarray, floors: np.ndarray, asked: list[np.nda
             best[row] = sorted([*best[row], *((-int(v), int(i)) for v, i in zip(values, names, strict=True))])[:k]
             if len(best[row]) == k:
                 floors[row] = max(floors[row], -best[row][-1][0])
-    rows = [(own[row], i, -s) for row, found in enumerate(best) for s, i in found]
+    rows = [(row, i, -s) for row, found in enumerate(best) for s, i in found]
     return rows, scored
 
 
@@ -117,8 +117,10 @@ def _solved(k: int):
             q, own, floors = matrix(queries.column("v").chunk(0)), queries.column("vec_id").to_numpy(), queries.column("floor").to_numpy()
             asked, bounds = ([np.array(v) for v in queries.column(c).to_pylist()] for c in ("grps", "bounds"))
             found, _ = solve(q, own, floors, asked, bounds, groups, k)
-        parts = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table([pa.array(np.array(c, np.int64)) for c in parts], names=["query_id", "vec_id", "score"])
+        row, ids, scores = zip(*found, strict=True) if found else ((), (), ())
+        row = pa.array(row, pa.int64())
+        names = [queries.column(c).take(row) if found else row for c in ("vec_id", "mark")]
+        return pa.table([*names, pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "mark", "vec_id", "score"])
 
     return run
 
@@ -129,7 +131,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, piv
     Vectors are turned into integers, floor(scale * x); scores are exact. Ties go to the smaller
     vec_id; a query with fewer candidates gets all. Rows whose id or vector is null, or whose vector
     is empty or holds null or non-finite components, take no part; vectors of several lengths are
-    an error. Rows that share an id are each a candidate or query. Empty tables give an empty
+    an error. Rows that share an id are each a candidate, and each a query if their integer
+    vectors differ; equal query rows are one query. Empty tables give an empty
     result; other columns are ignored. Scores beyond 64 bits are held at their ends.
 
     The driver holds up to pivots rows and a summary of each group. A group of more than DATA_ROWS
@@ -137,7 +140,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, piv
     """
     spark = data.sparkSession
     rows = quantised(usable(data, id_col, vector_col), scale)
-    asked = quantised(usable(queries, id_col, vector_col), scale)
+    asked = queries_of(quantised(usable(queries, id_col, vector_col), scale))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if pivots is None:
         pivots = min(MOST_PIVOTS, max(PIVOTS, int(rows.count() ** 0.5)))
@@ -150,7 +153,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, piv
     grouped = rows.mapInArrow(_assigned(pivot), "vec_id long, v array<double>, grp int, away double")
     summary = grouped.groupBy("grp").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("grp").collect()
     groups, sizes, radii = (np.array([r[c] for r in summary]) for c in ("grp", "n", "radius"))
-    sent = asked.mapInArrow(_sent(pivot, np.array([r.vec_id for r in chosen]), groups, sizes, radii, k), "vec_id long, v array<double>, grp int, bound double, floor double")
+    sent = asked.mapInArrow(_sent(pivot, np.array([r.vec_id for r in chosen]), groups, sizes, radii, k), "vec_id long, v array<double>, mark long, grp int, bound double, floor double")
 
     # Small groups meet in bins, so that a task has about DATA_ROWS rows; large ones are cut.
     bins, at, filled = {}, -1, DATA_ROWS
@@ -163,15 +166,15 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, scale: int = 256, piv
     data_side = grouped.drop("away").join(F.broadcast(place), "grp").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int"))
     # A row for each bin that a query meets, with the groups in it that matter.
     met = sent.join(F.broadcast(place), "grp")
-    query_side = met.groupBy("vec_id", "v", "bin", "cuts").agg(F.collect_list(F.struct("grp", "bound")).alias("asked"), F.max("floor").alias("floor"))
-    query_side = query_side.select("vec_id", "v", "bin", "cuts", "floor", F.col("asked.grp").alias("grps"), F.col("asked.bound").alias("bounds"))
+    query_side = met.groupBy("vec_id", "v", "mark", "bin", "cuts").agg(F.collect_list(F.struct("grp", "bound")).alias("asked"), F.max("floor").alias("floor"))
+    query_side = query_side.select("vec_id", "v", "mark", "bin", "cuts", "floor", F.col("asked.grp").alias("grps"), F.col("asked.bound").alias("bounds"))
     loads = {r.bin: r.n for r in query_side.groupBy("bin").agg(F.count("*").alias("n")).collect()}
     blocks = spark.createDataFrame([(b, max(1, -(-n // QUERY_ROWS))) for b, n in loads.items()], "bin int, asks int")
     query_side = query_side.join(F.broadcast(blocks), "bin").withColumn("ask", F.pmod(F.xxhash64("vec_id"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     data_side = data_side.join(F.broadcast(blocks), "bin").withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
     key = ["bin", "part", "ask"]
     # New names, as both sides stem from one table.
-    asked_cols, data_cols = [*key, "vec_id", "v", "floor", "grps", "bounds"], [*key, "vec_id", "v", "grp"]
+    asked_cols, data_cols = [*key, "vec_id", "v", "mark", "floor", "grps", "bounds"], [*key, "vec_id", "v", "grp"]
     left = query_side.select(*asked_cols).toDF(*asked_cols).groupBy(*key)
     right = data_side.select(*data_cols).toDF(*data_cols).groupBy(*key)
-    return best(left.cogroup(right).applyInArrow(_solved(k), "query_id long, vec_id long, score long"), k)
+    return best(left.cogroup(right).applyInArrow(_solved(k), "query_id long, mark long, vec_id long, score long"), k)

@@ -48,9 +48,14 @@ def in_blocks(key: list[str], count: int, rows: int, by: Column) -> Column:
     return F.pmod(by, F.lit(max(1, -(-count // rows)))).cast("int")
 
 
+def queries_of(rows: DataFrame) -> DataFrame:
+    """Query rows with a mark of their vector, each once: id and mark tell queries apart that share an id."""
+    return rows.distinct().withColumn("mark", F.xxhash64("v"))
+
+
 def best(df: DataFrame, k: int) -> DataFrame:
-    """The k highest scores of each query, ties to the smaller vec_id: (query_id, rank, vec_id, score)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The k highest scores of each query (query_id, mark), ties to the smaller vec_id: (query_id, rank, vec_id, score)."""
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -62,7 +62,18 @@ def test_bounds_spare_most_pairs():
         wants[i][1].append(b)
     found, scored = knn.solve(x[asked], asked, np.array([wants[i][2] for i in asked]), [np.array(wants[i][0]) for i in asked], [np.array(wants[i][1]) for i in asked], {int(g): (ids[grp == g], x[grp == g]) for g in names}, 5)
     want = {(int(i), j, int(-s)) for i in asked for s, j in sorted((-int(x[i] @ x[j]), j) for j in range(4000) if j != i)[:5]}
-    assert set(found) == want and scored < 0.1 * len(asked) * 4000
+    assert {(int(asked[row]), i, s) for row, i, s in found} == want and scored < 0.1 * len(asked) * 4000
+
+
+@pytest.mark.parametrize("search", [knn.top_k, forest.search])
+def test_repeated_query_rows(vectors, search):
+    """A query row given twice is one query; another vector under its id is a query of its own."""
+    asked = vectors.filter("vec_id in (0, 50)")
+    once = sorted(map(tuple, search(asked, vectors).collect()))
+    assert len(once) == 10 and sorted(map(tuple, search(asked.union(asked), vectors).collect())) == once
+    other = vectors.filter("vec_id = 7").selectExpr("50L as vec_id", "embedding", "v", "grp")
+    both = [tuple(r) for r in search(asked.union(other), vectors).collect()]
+    assert set(once) <= set(both) and len(both) == 15 and sorted(r[1] for r in both if r[0] == 50) == sorted(2 * [1, 2, 3, 4, 5])
 
 
 def test_exact_top_k_of_few_and_none(vectors):
