@@ -394,10 +394,10 @@ def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int
     others are linked if they are equal once normalised, or if they share a key of one half of their
     SimHashes, whose other halves' first 56 bits differ in at most most_bits, and their edit
     similarity, 1 - distance / longer length, is at least similarity. Of each connected group the
-    first by (id, line) stays.
+    first by (id, line, hash of the text) stays.
 
     A null text stays null with no lines, an empty one has one, which stays. A null id counts as the
-    smallest. Rows of equal id and text keep the same lines. An empty table gives an empty result.
+    smallest. Rows of equal id and text keep the same lines; of rows that share an id with other texts each stands for itself. An empty table gives an empty result.
     Columns of docs named n_lines or n_removed are replaced; all others pass through, whatever their
     names. Lines are told apart by 64-bit hashes. A line in very many texts is counted once per block
     of texts; texts are shuffled once, for the result, and lines in question once more.
@@ -444,8 +444,8 @@ def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int
         # Only lines that occur again or are linked have a winner to lose to.
         group = lines.select("id", "first", "n").join(labels, "id", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
         winners = group.groupBy("component").agg(F.min("first").alias("best"))
-        winner = group.select("id", "component").join(winners, "component").select("id", F.col("best.did").alias("best_did"), F.col("best.line").alias("best_line"))
-        lost = found.filter("not known").select("did", "th", "line", "id").join(winner, "id").filter("did != best_did or line != best_line").select("did", "th", "line")
+        winner = group.select("id", "component").join(winners, "component").select("id", F.col("best.did").alias("best_did"), F.col("best.line").alias("best_line"), F.col("best.th").alias("best_th"))
+        lost = found.filter("not known").select("did", "th", "line", "id").join(winner, "id").filter("did != best_did or line != best_line or th != best_th").select("did", "th", "line")
         removed = cut(written(lost.union(found.filter("known").select("did", "th", "line")).groupBy("did", "th").agg(F.collect_set("line").alias("lost"))))
 
     # The row is kept as one column, so that its own columns' names cannot clash.

@@ -116,8 +116,11 @@ def groups_of_lines(rows, most_bits=fuzzy_lines.MOST_BITS):
         m = fuzzy_lines.normal(x)
         return m if len(m) >= 20 or not m else ("short", *WORD.findall(x))
 
-    occ = [(place(i), n, kind(x)) for i, t, *_ in rows if t is not None for n, x in enumerate(t.split("\n")) if kind(x)]
-    kinds = sorted({m for _, _, m in occ if isinstance(m, str)})
+    import xxhash
+
+    signed = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63  # noqa: E731  what tells rows of one id apart
+    occ = [((place(i), n, signed(t)), kind(x)) for i, t, *_ in rows if t is not None for n, x in enumerate(t.split("\n")) if kind(x)]
+    kinds = sorted({m for _, m in occ if isinstance(m, str)})
     words = Words(pa.array(kinds, pa.string()))
     tokens = fuzzy_lines._tokens(words)
     sims = fuzzy_lines.simhashes(tokens.hashes(), tokens.ends - tokens.starts, tokens.first)
@@ -126,7 +129,7 @@ def groups_of_lines(rows, most_bits=fuzzy_lines.MOST_BITS):
     def near(a, b):
         return any(keys[a][h] & keys[b][h] and (int(sims[a][1 - h] ^ sims[b][1 - h]) >> 8).bit_count() <= most_bits for h in (0, 1))
 
-    parent = {m: m for _, _, m in occ}
+    parent = {m: m for _, m in occ}
 
     def root(m):
         while parent[m] != m:
@@ -138,12 +141,12 @@ def groups_of_lines(rows, most_bits=fuzzy_lines.MOST_BITS):
             if near(a, b) and fuzzy_lines.distance(x, y) <= 0.1 * max(len(x), len(y)) + 1e-9:
                 parent[root(x)] = root(y)
     best = {}
-    for i, n, m in occ:
-        best[root(m)] = min(best.get(root(m), (i, n)), (i, n))
-    lost = {(i, n, m) for i, n, m in occ if best[root(m)] != (i, n)}
+    for at, m in occ:
+        best[root(m)] = min(best.get(root(m), at), at)
+    lost = {at for at, m in occ if best[root(m)] != at}
     want = Counter()
     for i, t, *_ in rows:
-        kept = None if t is None else [x for n, x in enumerate(t.split("\n")) if (place(i), n, kind(x)) not in lost]
+        kept = None if t is None else [x for n, x in enumerate(t.split("\n")) if (place(i), n, signed(t)) not in lost]
         want[i, None if t is None else "\n".join(kept), 0 if t is None else t.count("\n") + 1] += 1
     return want
 
@@ -160,6 +163,13 @@ def test_fuzzy_lines(spark):
     assert got == groups_of_lines(rows)
 
 
+def test_rows_without_ids_lose_repeated_lines(spark):
+    """Six rows with a null id and one common first line: five lose it."""
+    df = spark.createDataFrame([(None, f"one and the same first line of a text\nanother line number {k} of words {'abcdef'[k] * 9}") for k in range(6)], "doc_id long, text string")
+    got = [r.text.count("first line") for r in fuzzy_lines.drop_fuzzy_lines(df).collect()]
+    assert sorted(got) == [0, 0, 0, 0, 0, 1]
+
+
 def test_fuzzy_lines_keep_columns_and_take_very_long_texts(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9)))
