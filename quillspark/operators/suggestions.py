@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import match_key
-from ..session import settled
+from ..session import recursive, settled
 
 
 def known_names(entities: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def plan(steps: DataFrame, needs: DataFrame) -> DataFrame:
     step. Drafts of one run are few, so walks along needs are short.
     """
     steps, needs = settled(steps), settled(needs)
-    walked = steps.sparkSession.sql(WALK, steps=steps.select("run", "step"), needs=needs)
+    walked = recursive(WALK, steps=steps.select("run", "step"), needs=needs)
     bad = steps.filter("fault is not null").select("run", F.col("step").alias("here"), F.lit(True).alias("bad"))
     seen = walked.join(bad, ["run", "here"], "left").groupBy("run", "step").agg(F.max("depth").alias("depth"), F.max("ring").alias("ring"), F.coalesce(F.max("bad"), F.lit(False)).alias("bad"))
     status = F.coalesce("fault", F.when(F.col("ring"), "cycle").when(F.col("bad"), "blocked").otherwise("ready"))

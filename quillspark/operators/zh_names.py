@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import recursive, settled
 from .overlaps import overlap_matches
 
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
@@ -148,7 +148,7 @@ def bound_names(edges: DataFrame, rules: NameRules) -> DataFrame:
     Links have one predecessor and one successor, so a walk from a start meets no piece twice; pieces that only
     form a ring have no start. Names need 3 characters and two different ones, and may not be common words.
     """
-    walked = edges.sparkSession.sql(CHAINS, edges=edges)
+    walked = recursive(CHAINS, edges=edges)
     ends = walked.groupBy("first").agg(F.max_by(F.struct("name", "count", "size"), "size").alias("w")).select("first", "w.name", "w.count", "w.size")
     good = (F.length("name") >= 3) & (F.size(F.array_distinct(F.split("name", ""))) >= 2)
     return ends.filter(good & ~F.col("name").isin(*rules.common) if rules.common else good)
@@ -157,7 +157,7 @@ def bound_names(edges: DataFrame, rules: NameRules) -> DataFrame:
 def with_bound_names(counted: DataFrame, edges: DataFrame, rules: NameRules) -> DataFrame:
     """Candidate counts (name, count) with bound names added and the occurrences they took subtracted from their pieces; what has none left goes."""
     found = settled(bound_names(edges, rules))
-    pieces = edges.sparkSession.sql(
+    pieces = recursive(
         """with recursive walk(first, at, size) as (select `left`, `left`, 1 from {edges} where starts union all
            select w.first, e.`right`, w.size + 1 from walk w join {edges} e on e.`left` = w.at) select first, at as name from walk""", edges=edges)
     taken = pieces.join(found.select("first", F.col("count").alias("took")), "first").groupBy("name").agg(F.sum("took").alias("took"))
@@ -357,7 +357,7 @@ def canonical_surfaces(surfaces: DataFrame, present: DataFrame, rules: NameRules
     maps = [weak_affixes(surfaces, rules), family_edges(surfaces, present, rules), dominant_extensions(surfaces, present, rules)]
     ranked = [m.select("surface", "target", F.lit(k).alias("k")) for k, m in enumerate(maps)]
     edges = settled(ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("surface").agg(F.min_by("target", "k").alias("target")))
-    walked = surfaces.sparkSession.sql(FOLLOW, surfaces=surfaces, edges=edges)
+    walked = recursive(FOLLOW, surfaces=surfaces, edges=edges)
     return walked.groupBy("surface").agg(F.max_by("canonical", "steps").alias("canonical"))
 
 

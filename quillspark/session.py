@@ -39,3 +39,11 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
+
+
+def recursive(sql: str, **frames: DataFrame) -> DataFrame:
+    """The result of a recursive query over frames, named in braces. The session's limits on its rows and levels are lifted, as both grow with the data."""
+    spark = next(iter(frames.values())).sparkSession
+    for limit in ("RowLimit", "LevelLimit"):
+        spark.conf.set(f"spark.sql.cteRecursion{limit}", "-1")
+    return spark.sql(sql, **frames)
