@@ -1,11 +1,12 @@
 """Mixing sources to target weights through a multivariate-hypergeometric splitting tree.
 
 Every document is cut into blocks of words. A source's quota is filled by whole passes over its
-blocks and by one partial pass, each in an order of its own (by hash). Only the sources' block
-quotas go through the tree: a node draws without replacement how many blocks of each source go to
-its left half, down to the output shards, so the quotas stay exact. A block's rank among the drawn
-ones of its source then names its shard, as the shards take disjoint runs of ranks; inside a shard
-the blocks are shuffled.
+blocks and by one partial pass. A pass permutes the blocks by hash, and the permutation deals them
+to the output shards. How much of a partial pass each shard takes is drawn by a tree: a node splits
+the sources' quotas over its halves by hypergeometric draws without replacement from what the
+halves hold, down to the shards, so that the quotas stay exact and no shard is asked for more than
+it holds. A shard then takes its permuted blocks until its leaf's quota is met, which draws
+disjoint blocks, and shuffles them. Quotas are counted in words, as a document's last block is short.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, cut, id_of
 
 WEIGHTS, MOST, BLOCK_WORDS, SEED = (5.0, 2.0, 1.0), 3.0, 1024, 0
-#: An output shard has about so many blocks at most, as one task shuffles it.
+#: An output shard has about so many blocks, as one task shuffles it.
 SHARD_BLOCKS = 1 << 15
+#: The tree has at least so many levels.
+LEAST_DEPTH = 3
 #: So many of a shard's rows lie together, in order.
 RUN = 2048
-#: The table of sources and shards is made on the driver and sent to all: shards are larger rather than its cells more.
-MAX_CELLS = 1 << 22
-_BUCKETS = 4096
+#: The table of shards and sources is drawn on the driver and sent to all: shards are larger rather than its cells more.
+MAX_CELLS = 1 << 20
 _WORD = r"[^\x20\x09-\x0D]+"
 #: numpy draws from populations below that.
 _POPULATION = 10**9
@@ -51,43 +53,34 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: floa
     return out
 
 
-def half_of(node: np.ndarray, half: int, rng: np.random.Generator) -> np.ndarray:
-    """A multivariate hypergeometric draw of half of a node's blocks, of any number.
+def halved(left: np.ndarray, right: np.ndarray, quota: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """How many of quota words, drawn from left and right without replacement, come from left; for all cells at once.
 
-    Beyond numpy's range every block is first drawn with probability one half; given its size, that
-    is a uniform set of blocks, and so is what is left when the surplus is taken out of it, or what
-    it lacks is added, uniformly and without replacement. The surplus is of the order of the root.
+    Beyond numpy's range words are drawn in bundles of one size, and what they leave over goes where there is room.
     """
-    total = int(node.sum())
-    if total < _POPULATION:
-        return rng.multivariate_hypergeometric(node, half, method="marginals")
-    left = rng.binomial(node, 0.5)
-    surplus = int(left.sum()) - half
-    pool = left if surplus > 0 else node - left
-    ends, drawn = np.cumsum(pool), np.empty(0, np.int64)
-    while len(drawn) < abs(surplus):
-        more = rng.integers(0, int(ends[-1]), abs(surplus) - len(drawn))
-        drawn = np.unique(np.concatenate((drawn, more)))
-    moved = np.bincount(np.searchsorted(ends, drawn, "right"), minlength=len(node))
-    return left - moved if surplus > 0 else left + moved
-
-
-def split(quotas: np.ndarray, depth: int, seed: int = SEED) -> np.ndarray:
-    """(shard, source) block counts: a node's quotas are halved by a multivariate hypergeometric draw, depth times."""
-    level = [np.asarray(quotas, np.int64)]
-    for d in range(depth):
-        below = []
-        for k, node in enumerate(level):
-            left = half_of(node, int(node.sum()) // 2, np.random.default_rng([seed, d, k]))
-            below += [left, node - left]
-        level = below
-    return np.stack(level)
-
-
-def depth_of(quotas: np.ndarray, shard_blocks: int = SHARD_BLOCKS) -> int:
+    most = max(int(left.max(initial=0)), int(right.max(initial=0)))
+    bundle = 1 + most // _POPULATION
+    good, bad = left // bundle, right // bundle
+    drawn = rng.hypergeometric(good, bad, np.minimum(quota // bundle, good + bad)) * bundle
+    return np.clip(drawn, np.maximum(0, quota - right), np.minimum(quota, left))
+
+
+def split(held: np.ndarray, quotas: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """(shard, source) quotas: each source's quota over the shards, a power of two, that hold (shard, source) words."""
+    levels = [np.asarray(held, np.int64)]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1][::2] + levels[-1][1::2])
+    level = np.asarray(quotas, np.int64)[None, :]
+    for d, below in enumerate(reversed(levels[:-1])):
+        left = halved(below[::2], below[1::2], level, np.random.default_rng([seed, d]))
+        level = np.stack((left, level - left), 1).reshape(below.shape)
+    return level
+
+
+def depth_of(blocks: int, sources: int, shard_blocks: int = SHARD_BLOCKS) -> int:
     """The tree's depth: as many shards, a power of two, as keep each to about shard_blocks and the table to MAX_CELLS."""
-    wanted = max(0, int(np.ceil(np.log2(max(1, int(quotas.sum())) / shard_blocks))))
-    return min(wanted, max(0, int(np.log2(MAX_CELLS / max(1, len(quotas))))))
+    wanted = max(LEAST_DEPTH, int(np.ceil(np.log2(max(1, blocks) / shard_blocks))))
+    return min(wanted, max(0, int(np.log2(MAX_CELLS / max(1, sources)))))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -110,47 +103,41 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST
 def draw(rows: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """(did, th, sid, pass, block, first_word, words, copies, shard, position): the blocks that the shards take.
 
-    A source's blocks are permuted by hash, pass by pass, and its quota of them goes down the tree;
-    a shard takes the run of ranks that its leaf's quota gives it, after those of the shards before.
-    The last block of a source's partial pass is trimmed, so that the words taken come to its
-    target but for rounding. Copies of a row are drawn together.
+    A pass's permutation, by hash, deals a source's blocks to the shards; of whole passes they take
+    all, of the partial pass what the tree draws for them, the last block trimmed to the quota. So
+    the words taken come to the source's target but for rounding. Copies of a row are drawn together.
+    The driver holds a cell for each shard and source, at most MAX_CELLS.
     """
     known = rows.filter("size > 0").join(F.broadcast(sources), rows.source.eqNullSafe(sources.source)).drop("source")
     last = F.col("passes") - F.when(F.col("rest") == 0, 1).otherwise(0)
+    n_blocks = F.floor((F.col("size") - 1) / block_words) + 1
+    count = known.filter(last >= 0).agg(F.sum(n_blocks * (last + 1)).alias("n"), F.max("sid").alias("top")).first()
+    n_sources = 1 + (-1 if count.top is None else count.top)
+    depth = depth_of(count.n or 0, n_sources, shard_blocks)
     passes = known.filter(last >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    blocks = passes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block_words))))
+    blocks = passes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
     blocks = blocks.withColumns({"first_word": F.col("block") * block_words, "h": F.xxhash64(F.lit(seed), "pass", "did", "th", "block")})
-    blocks = blocks.withColumns({"words": F.least(F.lit(block_words), F.col("size") - F.col("first_word")), "bucket": F.shiftrightunsigned("h", 64 - _BUCKETS.bit_length() + 1), "most": F.when(F.col("pass") < F.col("passes"), F.col("source_size")).otherwise(F.col("rest"))})
-    key = ["sid", "pass", "bucket"]
-    sums = blocks.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("words") * F.col("copies")).alias("w"))
-    before = Window.partitionBy("sid", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
-    inside = Window.partitionBy(key).orderBy("h", "did", "th", "block")
-    upto = F.sum(F.col("words") * F.col("copies")).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = blocks.withColumns({"upto": F.coalesce(upto, F.lit(0)), "r": F.row_number().over(inside) - 1}).join(sums, key)
-    left = F.floor((F.col("most") - F.col("w0") - F.col("upto")) / F.col("copies"))
-    taken = ranked.withColumn("words", F.least("words", left)).filter("words > 0")
-    taken = cut(taken.select("did", "th", "sid", "pass", "block", "first_word", "words", "copies", "h", (F.col("n0") + F.col("r")).alias("r")))
-
-    # How many blocks of each source and pass are drawn; a pass's ranks follow the last's.
-    counts = taken.groupBy("sid", "pass").agg(F.max("r").alias("top")).collect()
-    size = 1 + max([r.sid for r in counts], default=-1)
-    per = np.zeros((size, 1 + max([r["pass"] for r in counts], default=0)), np.int64)
-    for r in counts:
-        per[r.sid, r["pass"]] = r.top + 1
-    quotas = per.sum(1)
-    depth = depth_of(quotas, shard_blocks)
-    ends = np.cumsum(split(quotas, depth, seed), 0) if size else np.zeros((1, 0), np.int64)
-    starts = np.concatenate((np.zeros((1, size), np.int64), ends[:-1]))
-    begun = np.cumsum(per, 1) - per
-    cells = rows.sparkSession.createDataFrame([(k, starts[:, k].tolist(), ends[:, k].tolist(), begun[k].tolist()) for k in range(size)], "sid int, starts array<long>, ends array<long>, begun array<long>")
-    placed = taken.join(F.broadcast(cells), "sid").withColumn("rank", F.col("r") + F.element_at("begun", F.col("pass").cast("int") + 1))
-    # Down the tree: right if the rank lies at or beyond the right half's first.
-    steps = F.array(*[F.lit(1 << d) for d in reversed(range(depth))]) if depth else F.array().cast("array<int>")
-    shard = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col("rank") >= F.element_at("starts", at + step + 1), at + step).otherwise(at))
-    drawn = placed.withColumn("shard", shard).filter(F.col("rank") < F.element_at("ends", F.col("shard") + 1))
+    shard = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
+    blocks = blocks.withColumns({"words": F.least(F.lit(block_words), F.col("size") - F.col("first_word")), "shard": shard})
+    partial = blocks.filter(F.col("pass") == F.col("passes"))
+
+    # Down the tree, from what the shards hold of each source to what they take.
+    held, quotas = np.zeros((1 << depth, n_sources), np.int64), np.zeros(n_sources, np.int64)
+    cells = partial.groupBy("sid", "shard", "rest").agg(F.sum(F.col("words") * F.col("copies")).alias("w")).toArrow()
+    sid, at, rest, words = (cells[c].to_numpy() for c in ("sid", "shard", "rest", "w"))
+    held[at, sid], quotas[sid] = words, rest
+    leaves = split(held, quotas, seed)
+    drawn = rows.sparkSession.createDataFrame([(k, leaves[:, k].tolist()) for k in range(n_sources)], "sid int, leaves array<long>")
+
+    here = Window.partitionBy("sid", "shard").orderBy("h", "did", "th", "block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum(F.col("words") * F.col("copies")).over(here), F.lit(0))
+    ranked = partial.withColumn("upto", upto).join(F.broadcast(drawn), "sid")
+    left = F.floor((F.element_at("leaves", F.col("shard") + 1) - F.col("upto")) / F.col("copies"))
+    columns = ["did", "th", "sid", "pass", "block", "first_word", "words", "copies", "shard", "h"]
+    taken = ranked.withColumn("words", F.least("words", left)).filter("words > 0").select(columns)
+    taken = taken.unionByName(blocks.filter(F.col("pass") < F.col("passes")).select(columns))
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.lit("shuffle"), "h"), "did", "th", "pass", "block")
-    return drawn.select("did", "th", "sid", "pass", "block", "first_word", "words", "copies", "shard", (F.row_number().over(shuffled) - 1).alias("position"))
+    return taken.withColumn("position", F.row_number().over(shuffled) - 1).drop("h")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -162,7 +149,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     mix itself; a block is words first_word to first_word + words of its document.
 
     Targets share all words by weight, see targets(); taken words of a source come to its rounded
-    target, less at most the copies of one row. A null text has no words; a row without words is
+    target, less in each shard at most the copies of one row. A null text has no words; a row without words is
     never taken; a null source is a source, the last; a null id is allowed. Rows of equal id, text
     and source are drawn alike. An empty table gives empty results; other columns are ignored. The
     same rows give the same mix, however they are partitioned.

@@ -260,39 +260,41 @@ def test_out_of_place_distance():
     assert profiles.predict("the cut")[1] == pytest.approx(1 - total / (langid.TOP * len(own)))
 
 
-def mixed_by_hand(spark, rows, block_words, shard_blocks):
-    """The mix's blocks (did, th, pass, block, words, shard), drawn one by one."""
+def shares_by_hand(sizes, weights=(5, 2, 1), most=3):
+    """Targets found by raising one level until all words are shared."""
+    weight, low, high = [weights[k % 3] for k in range(len(sizes))], 0.0, most * sum(sizes) + 1.0
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(w * level, most * n) for w, n in zip(weight, sizes, strict=True)) < sum(sizes) else (low, level)
+    return [min(w * low, most * n) for w, n in zip(weight, sizes, strict=True)]
+
+
+def mixed_by_hand(spark, rows, block_words, depth, leaves):
+    """The mix's blocks (did, th, pass, block, words, shard), drawn one by one; leaves are the tree's quotas."""
     distinct = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "source", F.xxhash64("text", "source").alias("th")).collect()
     copies = Counter((place(r.doc_id), r.th, r.source, len(WORD.findall(r.text or ""))) for r in distinct)
     sizes = Counter()
     for (_, _, source, n), c in copies.items():
         sizes[source] += n * c
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    found, quotas, last = [], [], []
-    for sid, t in enumerate(mixing.targets([sizes[s] for s in order])):
-        todo, at, t, total = [], 0, round(t), sizes[order[sid]]
+    order, out = sorted(sizes, key=lambda s: (s is None, s or "")), set()
+    for sid, t in enumerate(shares_by_hand([sizes[s] for s in order])):
         blocks = [(p, d, th, b, min(block_words, n - b * block_words), c) for (d, th, s, n), c in copies.items() if s == order[sid] for p in range(4) for b in range(-(-n // block_words))]
         hashed = spark.createDataFrame(blocks, "p long, did long, th long, b long, w long, c long").select("p", "did", "th", "b", "w", "c", F.xxhash64(F.lit(0), "p", "did", "th", "b").alias("h")).collect()
-        for p in range(4):
-            left = min(total, t - p * total)
-            for r in sorted((r for r in hashed if r.p == p), key=lambda r: (r.h % 2**64 >> 52, r.h, r.did, r.th, r.b)):
-                words = min(r.w, left // r.c)
-                left -= r.w * r.c
-                if words > 0:
-                    todo.append((r.did, r.th, p, r.b, words))
-        found.append(todo)
-        quotas.append(len(todo))
-    leaves = mixing.split(np.array(quotas), mixing.depth_of(np.array(quotas), shard_blocks))
-    out = set()
-    for sid, todo in enumerate(found):
-        at = 0
-        for shard, n in enumerate(leaves[:, sid]):
-            out |= {(*x, shard) for x in todo[at : at + n]}
-            at += n
+        whole = round(t) // max(1, sizes[order[sid]])
+        left = [int(n) for n in leaves[:, sid]]
+        for r in sorted(hashed, key=lambda r: (r.h, r.did, r.th, r.b)):
+            shard, words = (r.h % 2**64) >> (64 - depth), r.w
+            if r.p == whole:
+                words = min(words, left[shard] // r.c)
+                left[shard] -= r.w * r.c
+            if r.p <= whole and words > 0:
+                out.add((r.did, r.th, r.p, r.b, words, shard))
     return out
 
 
 def test_mix(spark, docs, monkeypatch):
+    split, seen = mixing.split, []
+    monkeypatch.setattr(mixing, "split", lambda *a: seen.append((a, split(*a))) or seen[-1][1])
     out, blocks = mixing.mix(docs, block_words=16, shard_blocks=64)
     rows, whole = out.collect(), [tuple(r) for r in docs.collect()]
     size = lambda t: len(WORD.findall(t or ""))
@@ -301,15 +303,17 @@ def test_mix(spark, docs, monkeypatch):
     for r in rows:
         by[r.source].append(r)
     order = sorted(by, key=lambda s: (s is None, s or ""))
-    want = mixing.targets([by[s][0].source_size for s in order])
+    want = shares_by_hand([by[s][0].source_size for s in order])
     for s, t in zip(order, want, strict=True):
         assert by[s][0].target == pytest.approx(t)
-        assert abs(sum(r.taken for r in by[s]) - t) <= 3 and by[s][0].source_size == sum(r.size for r in by[s])
+        assert abs(sum(r.taken for r in by[s]) - t) <= 3 * len(seen[0][1]) and by[s][0].source_size == sum(r.size for r in by[s])
     assert all(r.taken <= 3 * r.size for r in rows)
     parts = blocks.collect()
-    assert {(r.did, r.th, r["pass"], r.block, r.words, r.shard) for r in parts} == mixed_by_hand(spark, whole, 16, 64) and len(set(map(tuple, parts))) == len(parts)
+    (held, quotas, _), leaves = seen[0]
+    assert leaves.sum(0).tolist() == quotas.tolist() and (leaves <= held).all() and (leaves >= 0).all() and len(leaves) >= 8
+    assert {(r.did, r.th, r["pass"], r.block, r.words, r.shard) for r in parts} == mixed_by_hand(spark, whole, 16, int(np.log2(len(leaves))), leaves) and len(set(map(tuple, parts))) == len(parts)
     counts = Counter(r.shard for r in parts)
-    assert len(counts) >= 8 and max(counts.values()) - min(counts.values()) <= 1
+    assert len(counts) >= 8 and max(counts.values()) < 2 * min(counts.values())
     assert all(sorted(r.position for r in parts if r.shard == s) == list(range(n)) for s, n in counts.items())
     again = mixing.mix(docs.repartition(7), block_words=16, shard_blocks=64)[1]
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, parts), key=repr)
@@ -317,29 +321,43 @@ def test_mix(spark, docs, monkeypatch):
     assert texts.columns == docs.columns and {r.did for r in texts.collect()} <= {"x", None}
     assert sum(size(r.text) for r in texts.collect()) == sum(r.words for r in parts)
     assert mixing.mix(docs.filter("false"))[0].count() == 0
-    # What the shards take comes from the tree's leaves.
+
+
+def test_taken_words_come_through_the_tree(spark, folder, monkeypatch):
+    """Leaves that share the same quotas otherwise give other documents, the same words of each source."""
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    before, _ = mixing.mix(table)
     split = mixing.split
-    monkeypatch.setattr(mixing, "split", lambda *a: np.roll(split(*a), 1, axis=0) // 2)
-    broken = mixing.mix(docs, block_words=16, shard_blocks=64)[0].collect()
-    assert sum(r.taken for r in broken) < 0.7 * sum(r.taken for r in rows)
+
+    def first_shards_first(held, quotas, seed):
+        upto = np.cumsum(held, 0)
+        out = np.diff(np.minimum(upto, quotas), axis=0, prepend=0)
+        assert len(held) >= 8 and out.sum(0).tolist() == split(held, quotas, seed).sum(0).tolist()
+        return out
+
+    rows = {r.doc_id: r for r in before.collect()}
+    monkeypatch.setattr(mixing, "split", first_shards_first)
+    other = {r.doc_id: r for r in mixing.mix(table)[0].collect()}
+    total = lambda m: {s: sum(r.taken for r in m.values() if r.source == s) for s in {r.source for r in m.values()}}
+    assert total(rows) == total(other) and sum(rows[k].taken != other[k].taken for k in rows) > len(rows) // 20
 
 
-def test_targets_and_tree(monkeypatch):
+def test_targets_and_tree():
     assert mixing.targets([10, 10, 10]) == pytest.approx([18.75, 7.5, 3.75])
     assert mixing.targets([1, 100, 100, 0]) == pytest.approx([3, 132, 66, 0])
-    quotas = np.array([5, 0, 1000, 37])
-    leaves = mixing.split(quotas, 4)
-    assert leaves.sum(0).tolist() == quotas.tolist() and np.ptp(leaves.sum(1)) <= 1
-    big = mixing.split(np.array([10**12, 3 * 10**11]), 3)
-    assert big.sum(0).tolist() == [10**12, 3 * 10**11] and np.ptp(big.sum(1)) <= 1
-    # Beyond numpy's range the draw has the same distribution.
-    node, draws = np.array([6, 3, 4]), {}
-    for limit in (10**9, 0):
-        monkeypatch.setattr(mixing, "_POPULATION", limit)
-        rng = np.random.default_rng(1)
-        draws[limit] = Counter(tuple(mixing.half_of(node, 6, rng).tolist()) for _ in range(20_000))
-    assert all(abs(draws[0][k] - draws[10**9][k]) < 5 * (draws[0][k] + draws[10**9][k] + 9) ** 0.5 for k in draws[0] | draws[10**9])
-    assert mixing.depth_of(np.ones(1 << 23, np.int64)) == 0 and mixing.depth_of(np.array([10**9])) == 15
+    held = np.array([[5, 0, 7], [1, 0, 9], [0, 0, 2], [6, 0, 1]])
+    for quotas in ([0, 0, 19], [12, 0, 0], [5, 0, 11]):
+        leaves = mixing.split(held, np.array(quotas))
+        assert leaves.sum(0).tolist() == quotas and (leaves >= 0).all() and (leaves <= held).all()
+    big = np.array([[10**12, 3], [10**12, 10**11], [5, 10**11], [10**12, 0]])
+    leaves = mixing.split(big, np.array([2 * 10**12 + 1, 10**11 + 2]))
+    assert leaves.sum(0).tolist() == [2 * 10**12 + 1, 10**11 + 2] and (leaves <= big).all() and abs(leaves[0, 0] / leaves[1, 0] - 1) < 0.01
+    # The leaves' quotas are distributed as one multivariate hypergeometric draw.
+    pool = np.array([4, 3, 2, 3])
+    got = Counter(tuple(mixing.split(pool[:, None], np.array([5]), seed)[:, 0].tolist()) for seed in range(20_000))
+    want = Counter(map(tuple, np.random.default_rng(1).multivariate_hypergeometric(pool, 5, 20_000).tolist()))
+    assert all(abs(got[k] - want[k]) < 5 * (got[k] + want[k] + 9) ** 0.5 for k in got | want)
+    assert mixing.depth_of(10, 3) == 3 and mixing.depth_of(1 << 23, 5) == 8 and mixing.depth_of(10**12, 5) == 17
 
 
 def test_empty_table(docs):
