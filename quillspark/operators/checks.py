@@ -13,27 +13,6 @@ SPACED = r"[^\x20\x09-\x0D]+"
 SENTENCE = r"[^.!?。！？…]+[.!?。！？…]*"
 
 
-def word_ngrams(texts: DataFrame, id_col: str, text_col: str, sizes: Sequence[int] = (3, 4, 5)) -> DataFrame:
-    """(version, gram, at): runs of lower-case words, split and cut where the text lies."""
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))
-    rows = texts.select(F.col(id_col).alias("version"), words.alias("w"))
-
-    def runs_of(n: int) -> Column:
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
-        return F.transform(at, lambda k: F.struct(F.array_join(F.slice("w", k, n), " ").alias("gram"), k.alias("at")))
-
-    runs = [runs_of(n) for n in sizes]
-    none = F.array().cast("array<struct<gram:string,at:int>>")
-    return rows.select("version", F.explode(F.concat(*[F.coalesce(r, none) for r in runs])).alias("g")).select("version", "g.gram", "g.at")
-
-
-def repeated_ngrams(grams: DataFrame, least: int = 3) -> DataFrame:
-    """(version, gram, count): each text's most repeated run, ties to the longest, earliest and least."""
-    counted = grams.groupBy("version", "gram").agg(F.count("*").alias("count"), F.min("at").alias("first")).filter(F.col("count") >= least)
-    best = F.min_by(F.struct("gram", "count"), F.struct(-F.col("count"), -F.length("gram"), "first", "gram"))
-    return counted.groupBy("version").agg(best.alias("b")).select("version", "b.gram", "b.count")
-
-
 def long_paragraphs(texts: DataFrame, id_col: str, text_col: str, words: int = 250, cjk: int = 600) -> DataFrame:
     """(version, paragraph, words) for paragraphs, between blank lines, of too many words, which lie between blanks, or CJK characters."""
     parts = F.split(F.col(text_col), r"\n[ \t]*\n")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks as K
+from ..operators import phrases as P
 from ..operators import retrieval as R
 from ..operators import world as W
 from ..session import table
@@ -153,7 +154,7 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+
 @query(f"""with w as (select doc_id as version, {_WORDS} as w from documents), g as (select version, array_to_string(w[k:(k + n - 1)], ' ') as gram, k as at from w, range(3, 6) s(n), unnest(range(1, len(w) - n + 2)) t(k)),
  c as (select version, gram, count(*) as count, min(at) as first from g group by all having count(*) >= 3) select version, gram, count from (select *, row_number() over (partition by version order by count desc, length(gram) desc, first, gram) as r from c) where r = 1""".replace(" as at ", " as at_ ").replace("min(at)", "min(at_)"))
 def repeated_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return K.repeated_ngrams(K.word_ngrams(docs(spark, d), "doc_id", "text"))
+    return P.repeated_phrases(docs(spark, d), "doc_id", "text", F.lit("whitespace")).drop("family")
 
 
 @query(r"""with p as (select doc_id as version, generate_subscripts(a, 1) - 1 as paragraph, unnest(a) as p from (select doc_id, regexp_split_to_array(text, '\n[ \t]*\n') as a from documents)) select version, paragraph, len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')) as words from p where words > 250""")

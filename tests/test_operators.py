@@ -143,4 +143,3 @@ def test_long_runs_of_words_take_no_stack(spark):
     df = spark.createDataFrame(list(enumerate(runs)), "id int, text string")
     assert {r.version: r.words for r in checks.long_paragraphs(df, "id", "text").collect()} == {3: 500_000}
     assert checks.long_sentences(df, "id", "text").count() == 1
-    assert checks.word_ngrams(df, "id", "text", (3,)).count() > 0
