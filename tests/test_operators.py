@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import analytics, candidates, claims, ingest, match, segments, state
+from quillspark.operators import analytics, ingest, match, segments, state
 from quillspark.sources import cards, files
 from quillspark.streaming import events as stream
 
@@ -37,15 +37,6 @@ def test_segments_cover_and_keep_their_sizes(spark):
     assert sum(r.prev_id is None for r in out) == 3 and sum(r.next_id is None for r in out) == 3
 
 
-def test_claims(spark):
-    text = "Ada is in Port Mira. Bob became the captain while ill. Ada did not wait. Eve might be dead. Cy died."
-    rows = spark.createDataFrame([(1, text)], "chapter_id long, content string")
-    names = spark.createDataFrame([("Ada", 1), ("Bob", 2), ("Cy", 3)], "alias string, target_id long")
-    toks = candidates.tokens(rows, "chapter_id", "content")
-    got = {(r.target_id, r.slot, r.value, r.cues) for r in claims.claims(match.matches(toks, names, 1), rows).collect()}
-    assert {(1, "location", "port mira", 1), (2, "role", "captain", 1), (3, "life_state", "died", 1)} <= got
-
-
 def test_regimes_of_one_key(spark):
     rows = [("t", "s", v, c, c, k, 0.9, 1) for k, (c, v) in enumerate([(1, "A"), (2, "A"), (3, "B"), (7, "B")])]
     df = spark.createDataFrame(rows, "target string, slot string, value string, chapter long, segment long, claim_id long, confidence double, cues int")
