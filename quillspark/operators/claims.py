@@ -92,15 +92,17 @@ def sentence_after(content: Column, start: Column, end: Column, zh: Column) -> C
     return F.substring(F.when(zh, upto(TERMINATORS["zh"])).otherwise(upto(TERMINATORS["latin"])), end - start + 1, F.lit(WINDOW))
 
 
-def cues_of(content: Column, start: Column, end: Column) -> Column:
-    """The cues of the clause around start to end, asserted without any."""
+def clause_around(content: Column, start: Column, end: Column) -> Column:
+    """The clause around start to end, in lower case."""
     before = F.reverse(F.regexp_extract(F.reverse(F.substring(content, F.lit(1), start)), rf"^[^{BREAKS}]*+", 0))
     after = F.regexp_extract(F.substring(content, end + 1, F.length(content)), rf"^[^{BREAKS}]*+", 0)
-    clause = F.lower(F.concat(before, F.substring(content, start + 1, end - start), after))
-    bits = F.lit(0)
-    for bit, words in CUES.items():
-        bits = bits.bitwiseOR(F.when(clause.rlike("|".join(words)), bit).otherwise(0))
-    return F.when(bits == 0, ASSERTED).otherwise(bits)
+    return F.lower(F.concat(before, F.substring(content, start + 1, end - start), after))
+
+
+def cues_of(clause: Column) -> Column:
+    """The cues of a clause, asserted without any."""
+    bits = [F.when(clause.rlike("|".join(words)), bit).otherwise(0) for bit, words in CUES.items()]
+    return F.element_at(F.transform(F.array(bits[0] + bits[1] + bits[2]), lambda b: F.when(b == 0, ASSERTED).otherwise(b)), 1)
 
 
 def _to_suffix(value: Column, suffixes: list[str]) -> Column:
@@ -109,18 +111,21 @@ def _to_suffix(value: Column, suffixes: list[str]) -> Column:
     return F.when(end.isNotNull(), F.substring(value, F.lit(1), end)).otherwise(value)
 
 
-def normal_value(value: Column, slot: Column) -> Column:
-    """A value without marks and noise at its ends, of a place or group what follows the last 的 up to its suffix; null if nothing is left or a determiner begins a place."""
-    plain = F.regexp_replace(F.trim(F.btrim(value, F.lit(STOP))), rf"^(?:(?:{'|'.join(LEADING)})\s*)+(?=.)", "")
-    words = F.split(plain, r"\s+")
-    bare = lambda w: F.btrim(w, F.lit("'\"-"))
-    kept = F.array_max(F.transform(words, lambda w, k: F.when(bare(w).rlike(r"\p{Lu}") & ~F.lower(bare(w)).isin(CONNECTORS), k + 1)))
-    latin = F.array_join(F.slice(words, F.lit(1), F.coalesce(kept, F.lit(0))), " ")
-    plain = F.when(plain.rlike(r"[\x{3400}-\x{9FFF}]"), plain).otherwise(latin)
-    tail = F.trim(F.substring_index(plain, "的", -1))
-    place = F.regexp_replace(_to_suffix(tail, PLACES), "[里中处内外上下]+$", "")
-    done = F.when(slot == "location", F.when(~place.rlike(DETERMINER), place)).when(slot == "affiliation", _to_suffix(tail, GROUPS)).otherwise(plain)
-    return F.nullif(F.trim(done), F.lit(""))
+def with_normal_value(rows: DataFrame) -> DataFrame:
+    """rows (slot, raw) with normal: the value without marks and noise at its ends, of a place or group what follows the last 的 up to its suffix; null if nothing is left or a determiner begins a place.
+
+    Each step is a column of its own, so that none is worked out twice.
+    """
+    noise = rf"^(?:(?:{'|'.join(LEADING)})\s*)+(?=.)"
+    rows = rows.withColumn("plain", F.regexp_replace(F.trim(F.btrim("raw", F.lit(STOP))), noise, ""))
+    rows = rows.withColumn("words", F.split("plain", r"\s+"))
+    names = F.transform(F.transform("words", lambda w: F.btrim(w, F.lit("'\"-"))), lambda w, k: F.when(w.rlike(r"\p{Lu}") & ~F.lower(w).isin(CONNECTORS), k + 1))
+    latin = F.array_join(F.slice("words", F.lit(1), F.coalesce(F.array_max(names), F.lit(0))), " ")
+    rows = rows.withColumn("plain", F.when(F.col("plain").rlike(r"[\x{3400}-\x{9FFF}]"), F.col("plain")).otherwise(latin))
+    rows = rows.withColumn("tail", F.trim(F.substring_index("plain", "的", -1)))
+    rows = rows.withColumn("tail", F.when(F.col("slot") == "location", F.regexp_replace(_to_suffix(F.col("tail"), PLACES), "[里中处内外上下]+$", "")).when(F.col("slot") == "affiliation", _to_suffix(F.col("tail"), GROUPS)).otherwise(F.col("plain")))
+    done = F.when((F.col("slot") != "location") | ~F.col("tail").rlike(DETERMINER), F.trim("tail"))
+    return rows.withColumn("normal", F.nullif(done, F.lit(""))).drop("plain", "words", "tail")
 
 
 def claims(found: DataFrame, segments: DataFrame, names: DataFrame) -> DataFrame:
@@ -146,10 +151,10 @@ def claims(found: DataFrame, segments: DataFrame, names: DataFrame) -> DataFrame
 
     groups = {r.first for r in RULES if r.first}
     hits = [hit(r) for r in RULES if not r.first] + [F.coalesce(*[hit(r) for r in RULES if r.first == g and r.script == s]) for g in sorted(groups) for s in TERMINATORS]
-    each = rows.select("segment", "chapter", "target_id", "content", "start", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("*", "h.*")
-    spoken = F.when(F.col("slot") == "role", F.lower("raw")).when(F.col("given").isNotNull(), F.col("given")).otherwise(normal_value(F.col("raw"), F.col("slot")))
-    cues = F.coalesce("fixed", cues_of(text, start, F.col("upto")))
-    made = each.select("segment", "chapter", "target_id", "slot", spoken.alias("surface"), "anchor", "confidence", "salience", cues.alias("cues")).filter("surface is not null")
+    each = rows.select("segment", "chapter", "target_id", "content", "start", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("*", "h.*").drop("h")
+    each = with_normal_value(each).withColumn("clause", clause_around(text, start, F.col("upto")))
+    spoken = F.when(F.col("slot") == "role", F.lower("raw")).when(F.col("given").isNotNull(), F.col("given")).otherwise(F.col("normal"))
+    made = each.select("segment", "chapter", "target_id", "slot", spoken.alias("surface"), "anchor", "confidence", "salience", F.coalesce("fixed", cues_of(F.col("clause"))).alias("cues")).filter("surface is not null")
     known = made.join(names.select("surface", "canonical"), "surface", "left")
     value = F.when(F.col("slot").isin("role", "life_state"), F.col("surface")).otherwise(F.coalesce("canonical", "surface"))
     best = F.max_by("anchor", F.struct("confidence", -F.col("anchor")))

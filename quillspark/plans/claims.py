@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claims as C
 from ..session import table
-from .cjk import _FROM, _TO, han
+from .cjk import HAN as LETTERS
 from .registry import query
 
 LATIN = [
@@ -23,7 +23,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda words, at: F.element_at(F.array(*[F.lit(w) for w in words]), (at % len(words) + 1).cast("int"))
     zh = F.floor(k / 4) % 2 == 1
     rows = table(spark, d, "orders").join(table(spark, d, "nation"), k % 25 == F.col("n_nationkey"))
-    rows = rows.withColumns({"zh": zh, "name": F.when(zh, pick(NAMES["zh"], who)).otherwise(pick(NAMES["latin"], who)), "v": F.when(zh, F.substring(han(F.col("n_name")), 1, 3)).otherwise(F.col("n_name"))})
+    rows = rows.withColumns({"zh": zh, "name": F.when(zh, pick(NAMES["zh"], who)).otherwise(pick(NAMES["latin"], who)), "v": F.when(zh, F.substring(F.lit(LETTERS), F.col("n_nationkey") + 1, F.lit(2))).otherwise(F.concat(F.lit("N"), "n_nationkey"))})
     text = lambda at: F.when(zh, pick(HAN, at)).otherwise(F.concat(pick(LATIN, at), F.lit(" ")))
     content: Column = F.replace(F.replace(F.concat(text(F.floor(k / 3)), text(F.floor(k / 7))), F.lit("{n}"), F.col("name")), F.lit("{v}"), F.col("v"))
     return rows.select(k.alias("segment"), who.alias("chapter"), (who % 3).alias("target_id"), (k % 5 == 0).alias("artifact"), "name", content.alias("content"))
@@ -59,7 +59,7 @@ def _after(script: str) -> str:
 _LIFE = [f"coalesce({', '.join(_hit(r) for r in C.RULES if r.first and r.script == s)})" for s in ("zh", "latin")]
 _CLAIMS = (
     f"""with seg as (select o_orderkey as segment, o_custkey as chapter, o_custkey % 3 as target_id, o_orderkey % 5 = 0 as artifact, (o_orderkey // 4) % 2 = 1 as zh, case when (o_orderkey // 4) % 2 = 1 then {_one_of(NAMES["zh"], "o_custkey")} else {_one_of(NAMES["latin"], "o_custkey")} end as name,
-  case when (o_orderkey // 4) % 2 = 1 then substr(translate(n_name, '{_FROM}', '{_TO}'), 1, 3) else n_name end as v, case when (o_orderkey // 4) % 2 = 1 then {_one_of(HAN, "(o_orderkey // 3)")} || {_one_of(HAN, "(o_orderkey // 7)")} else {_one_of(LATIN, "(o_orderkey // 3)")} || ' ' || {_one_of(LATIN, "(o_orderkey // 7)")} || ' ' end as form
+  case when (o_orderkey // 4) % 2 = 1 then substr('{LETTERS}', cast(n_nationkey + 1 as bigint), 2) else 'N' || n_nationkey end as v, case when (o_orderkey // 4) % 2 = 1 then {_one_of(HAN, "(o_orderkey // 3)")} || {_one_of(HAN, "(o_orderkey // 7)")} else {_one_of(LATIN, "(o_orderkey // 3)")} || ' ' || {_one_of(LATIN, "(o_orderkey // 7)")} || ' ' end as form
   from orders join nation on o_orderkey % 25 = n_nationkey),
  txt as (select *, replace(replace(form, '{{n}}', name), '{{v}}', v) as content from seg),
  pl as (select *, generate_subscripts(parts, 1) as nth, unnest(parts) as part from (select *, string_split(content, name) as parts from txt)),
@@ -76,7 +76,7 @@ _CLAIMS = (
  p6 as (select *, """
     + " + ".join(f"case when regexp_matches(clause, {_text('|'.join(words))}) then {bit} else 0 end" for bit, words in C.CUES.items())
     + """ as bits from p5 where surface is not null),
- p7 as (select *, coalesce(fixed, case when bits = 0 then 1 else bits end) as cue, case when slot in ('role', 'life_state') or n_nationkey is null then surface else 'N' || n_nationkey end as value from p6 left join (select * from nation where n_nationkey % 2 = 0) on n_name = surface),
+ p7 as (select *, coalesce(fixed, case when bits = 0 then 1 else bits end) as cue, case when slot in ('role', 'life_state') or n_nationkey is null then surface else n_name end as value from p6 left join (select * from nation where n_nationkey % 2 = 0) on 'N' || n_nationkey = surface),
  cl as (select chapter, segment, target_id, slot, value, arg_max(anchor, (confidence, -anchor)) as anchor, max(confidence) as confidence, max(salience) as salience, bit_or(cast(cue as integer)) as cues from p7 group by all) """
 )
 
@@ -86,5 +86,5 @@ def segment_claims(spark: SparkSession, d: str) -> DataFrame:
     segments = _segments(spark, d)
     at = F.explode(F.filter(F.expr("array(instr(content, name), locate(name, content, instr(content, name) + 1), locate(name, content, locate(name, content, instr(content, name) + 1) + 1))"), lambda p: p > 0))
     found = segments.select("segment", "target_id", "artifact", "name", at.alias("p")).select("segment", (F.col("p") - 1).alias("start"), (F.col("p") - 1 + F.length("name")).alias("end"), "target_id", "artifact")
-    names = table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("surface"), F.concat(F.lit("N"), "n_nationkey").alias("canonical"))
+    names = table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("N"), "n_nationkey").alias("surface"), F.col("n_name").alias("canonical"))
     return C.claims(found, segments.select("segment", "chapter", "content"), names).withColumn("anchor", F.col("anchor").cast("long"))
