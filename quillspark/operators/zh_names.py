@@ -194,17 +194,28 @@ def _symbol(c: Column) -> Column:
     return F.when(c.rlike(r"^\s$"), " ").when(c.rlike(r"^[\p{L}\p{N}]$") | c.rlike(CJK), c).when(c.isNotNull(), ".")
 
 
-def grown_occurrences(blocks: DataFrame, seeds: DataFrame, rules: NameRules) -> DataFrame:
-    """(id, start, end, surface, left, right) once for each place: seeds (name) in blocks (id, text), and seeds grown by up to two characters of the same Han run, as the seed's kind allows."""
-    s = F.col("alias")
+def seed_kinds(s: Column, rules: NameRules) -> dict[str, Column]:
+    """What a seed's kind allows: by how many characters, to which side, and what it needs there."""
     person_like, compound = rules.is_person_like(s), s.isin(*rules.compounds)
     foreign = (F.length(s) <= FRAGMENT_CHARS) & rules.is_translit(s)
     generic = (F.length(s) == 2) & ~person_like & ~compound & ~foreign
-    kinds = {
+    return {
         "budget": F.when(foreign | compound | generic, 2).otherwise(1), "generic": generic, "person_like": person_like, "free": foreign | compound, "both_ways": foreign | rules.is_title(s),
         "leftward": foreign | rules.is_title(s) | (~person_like & ~compound & (F.length(s) <= 3)), "rightward": person_like | compound | foreign | generic,
         "weak_seed": _has(MODIFIER_PREFIXES + LOW_PREFIXES + FUNCTION_CHARS, F.substring(s, 1, 1)),
     }
+
+
+def not_counted(surface: Column, rules: NameRules) -> Column:
+    """Whether a grown surface is of little worth or a common word; as a seed it still counts."""
+    bad = _low_value(surface, rules)
+    return bad | surface.isin(*rules.common) if rules.common else bad
+
+
+def grown_occurrences(blocks: DataFrame, seeds: DataFrame, rules: NameRules) -> DataFrame:
+    """(id, start, end, surface, left, right) once for each place: seeds (name) in blocks (id, text), and seeds grown by up to two characters of the same Han run, as the seed's kind allows."""
+    s = F.col("alias")
+    kinds = seed_kinds(s, rules)
     names = seeds.filter(F.col("name").rlike(f"^{CJK}{{2,}}$")).select(F.col("name").alias("alias")).distinct().withColumns(kinds)
     before, after, following = F.col("before"), F.col("after"), F.substring("after", 1, 1)
     hits = overlap_matches(blocks, names.withColumn("target_id", F.struct(*kinds)), "id", "text", F.lit(True), around=3)
@@ -226,26 +237,33 @@ def grown_occurrences(blocks: DataFrame, seeds: DataFrame, rules: NameRules) ->
     right = F.when(F.length(after) > q, F.substring(after, q + 1, F.lit(1)))
     rows = grown.select("id", (F.col("start") - p).alias("start"), (F.col("end") + q).alias("end"), surface.alias("surface"), left.alias("left"), right.alias("right"), (p + q == 0).alias("seed"))
     once = rows.groupBy("id", "start", "end", "surface", "left", "right").agg(F.max("seed").alias("seed"))  # strings as keys, so that rows are hashed and not sorted
-    bad = _low_value(F.col("surface"), rules)
-    if rules.common:
-        bad |= F.col("surface").isin(*rules.common)
+    bad = not_counted(F.col("surface"), rules)
     signs = {"left": F.coalesce(_symbol(F.col("left")), F.lit("^")), "right": F.coalesce(_symbol(F.col("right")), F.lit("$"))}
     return once.filter(F.col("seed") | ~bad).select("id", "start", "end", "surface", *[v.alias(k) for k, v in signs.items()])
 
 
+def surface_sides(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(surface, side, c, n): how often c stands on that side; and (surface, blocks)."""
+    per = occurrences.groupBy("surface", "id", "left", "right").agg(F.count("*").alias("n"))
+    sides = per.select("surface", "n", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("c")), F.struct(F.lit("right").alias("side"), F.col("right").alias("c")))).alias("s"))
+    each = sides.groupBy("surface", "s.side", "s.c").agg(F.sum("n").alias("n"))
+    return each, per.select("surface", "id").distinct().groupBy("surface").agg(F.count("*").alias("blocks"))
+
+
 def grown_surfaces(occurrences: DataFrame, seeds: DataFrame, rules: NameRules, least: int = LEAST_OCCURRENCES, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+    """(surface, n, blocks, left, right, score, kept) of each surface of occurrences, see scored_surfaces()."""
+    return scored_surfaces(*surface_sides(occurrences), seeds, rules, least, least_blocks)
+
+
+def scored_surfaces(each: DataFrame, blocks: DataFrame, seeds: DataFrame, rules: NameRules, least: int = LEAST_OCCURRENCES, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
     """(surface, n, blocks, left, right, score, kept) of each surface: occurrences, blocks, entropy in bits of what stands on either side, discovery score.
 
     kept ones occur often enough and have open ends, or are seeds, or carry a trailing character, or extend a seed of two characters by a
     fragment that can be trusted.
     """
-    per = occurrences.groupBy("surface", "id", "left", "right").agg(F.count("*").alias("n"))
-    sides = per.select("surface", "n", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("c")), F.struct(F.lit("right").alias("side"), F.col("right").alias("c")))).alias("s"))
-    each = sides.groupBy("surface", "s.side", "s.c").agg(F.sum("n").alias("n"))
     bits = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
     side = each.groupBy("surface", "side").agg(bits.alias("bits"), F.sum("n").alias("n"))
     entropy = side.groupBy("surface").agg(*[F.max(F.when(F.col("side") == k, F.col("bits"))).alias(k) for k in ("left", "right")], F.max("n").alias("n"))
-    blocks = per.select("surface", "id").distinct().groupBy("surface").agg(F.count("*").alias("blocks"))
     names = seeds.select(F.col("name").alias("surface")).distinct()
     s = F.col("surface")
     stats = entropy.join(blocks, "surface").join(names.withColumn("is_seed", F.lit(True)), "surface", "left")
@@ -266,8 +284,20 @@ def grown_surfaces(occurrences: DataFrame, seeds: DataFrame, rules: NameRules, l
     return stats.select("surface", "n", "blocks", "left", "right", score.alias("score"), kept.alias("kept"))
 
 
-def _overlaps(pairs: DataFrame, present: DataFrame) -> DataFrame:
-    """pairs (short, long) with the number of blocks that hold both."""
+class Counted:
+    """Blocks that hold both of some pairs, counted before."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+
+    def both(self, pairs: DataFrame) -> DataFrame:
+        return self.counts.join(pairs.select("short", "long").distinct(), ["short", "long"])
+
+
+def _overlaps(pairs: DataFrame, present) -> DataFrame:
+    """pairs (short, long) with the number of blocks that hold both; present is (surface, id), or what counts blocks itself: a Growth, Counted."""
+    if not isinstance(present, DataFrame):
+        return present.both(pairs)
     held = pairs.join(present.select(F.col("surface").alias("short"), "id"), "short").join(present.select(F.col("surface").alias("long"), "id"), ["long", "id"])
     return held.groupBy("short", "long").agg(F.count("*").alias("both"))
 
@@ -278,8 +308,8 @@ def _best_two(options: DataFrame, by: list[Column], value: Column, *more: Column
     return options.withColumns({"r": F.row_number().over(order), "second": F.lead(value).over(order)}).filter("r = 1").select("short", "long", value.alias("best"), "second", *more)
 
 
-def dominant_extensions(surfaces: DataFrame, present: DataFrame, rules: NameRules) -> DataFrame:
-    """(surface, target): people's names with a trailing character stand for the name without it; a short person-like surface for the one longer name that nearly always goes with it."""
+def _dominant_pairs(surfaces: DataFrame, rules: NameRules) -> tuple[DataFrame, DataFrame]:
+    """People's names without their trailing character (surface, target), and pairs (short, long, its, blocks) of person-like surfaces and longer names."""
     kept, names = surfaces.filter("kept"), surfaces.select(F.col("surface").alias("target"))
     noisy = kept.select("surface", rules.without_noise(F.col("surface")).alias("target")).join(names, "target", "left_semi").select("surface", "target")
     long = kept.filter(rules.is_person(F.col("surface")) & (F.least("left", "right") >= LEAST_ENTROPY))
@@ -287,7 +317,12 @@ def dominant_extensions(surfaces: DataFrame, present: DataFrame, rules: NameRule
     pieces = F.array_distinct(F.filter(F.array(*[x for cut in (1, 2) for x in (F.substring("surface", F.lit(1), n - cut), F.substring(F.col("surface"), F.lit(cut + 1), n - cut))]), lambda x: x != ""))
     pairs = long.select(F.col("surface").alias("long"), F.col("score").alias("its"), F.explode(pieces).alias("short")).filter(F.coalesce(rules.without_noise(F.col("long")) != F.col("short"), F.lit(True)))
     short = kept.filter((F.col("blocks") > 1) & rules.is_person_like(F.col("surface"))).join(noisy.select("surface"), "surface", "left_anti").select(F.col("surface").alias("short"), "blocks")
-    pairs = pairs.join(short, "short")
+    return noisy, pairs.join(short, "short")
+
+
+def dominant_extensions(surfaces: DataFrame, present: DataFrame, rules: NameRules) -> DataFrame:
+    """(surface, target): people's names with a trailing character stand for the name without it; a short person-like surface for the one longer name that nearly always goes with it."""
+    noisy, pairs = _dominant_pairs(surfaces, rules)
     options = pairs.join(_overlaps(pairs.select("short", "long"), present), ["short", "long"]).withColumn("containment", F.col("both") / F.col("blocks")).filter(F.col("containment") >= PERSON_CONTAINMENT)
     options = options.withColumn("specific", F.col("its") + (F.length("long") - F.length("short")) * 0.5)
     best = _best_two(options, [F.desc("specific"), F.desc("containment"), F.desc(F.length("long")), F.col("long")], F.col("specific"))
@@ -295,6 +330,14 @@ def dominant_extensions(surfaces: DataFrame, present: DataFrame, rules: NameRule
     return noisy.unionByName(sure.select(F.col("short").alias("surface"), F.col("long").alias("target")))
 
 
+def _family_pairs(surfaces: DataFrame, rules: NameRules) -> list[tuple[str, DataFrame]]:
+    """For each side, pairs (short, long, rank, blocks, left, right) of surfaces that are no people's names and those one character longer on that side, where it is nearly fixed."""
+    ranked = surfaces.filter("kept").withColumn("rank", F.struct((-F.col("score")).alias("a"), (-F.col("blocks")).alias("b"), (-F.col("n")).alias("c"), (-F.length("surface")).alias("d"), F.col("surface").alias("e")))
+    own = ranked.filter((F.length("surface") >= 2) & ~rules.is_person(F.col("surface"))).select(F.col("surface").alias("short"), "rank", "blocks", "left", "right")
+    parts = (("left", F.substring(F.col("surface"), F.lit(2), F.length("surface") - 1)), ("right", F.substring("surface", F.lit(1), F.length("surface") - 1)))
+    return [(side, surfaces.select(F.col("surface").alias("long"), part.alias("short")).join(own.filter(F.col(side) <= FAMILY_ENTROPY), "short")) for side, part in parts]
+
+
 def family_edges(surfaces: DataFrame, present: DataFrame, rules: NameRules) -> DataFrame:
     """(surface, target) between surfaces that are no people's names and those one character longer, where the neighbour on that side is nearly fixed.
 
@@ -302,13 +345,9 @@ def family_edges(surfaces: DataFrame, present: DataFrame, rules: NameRules) -> D
     that has become another's source by a weak extension makes no edge of its own; of two edges from
     one surface the later counts.
     """
-    kept = surfaces.filter("kept")
-    ranked = kept.withColumn("rank", F.struct((-F.col("score")).alias("a"), (-F.col("blocks")).alias("b"), (-F.col("n")).alias("c"), (-F.length("surface")).alias("d"), F.col("surface").alias("e")))
-    own = ranked.filter((F.length("surface") >= 2) & ~rules.is_person(F.col("surface"))).select(F.col("surface").alias("short"), "rank", "blocks", "left", "right")
+    lengths = surfaces.filter("kept").select(F.col("surface").alias("long"), F.length("surface").alias("size"))
     found = []
-    for side, part in (("left", F.substring(F.col("surface"), F.lit(2), F.length("surface") - 1)), ("right", F.substring("surface", F.lit(1), F.length("surface") - 1))):
-        lengths = kept.select(F.col("surface").alias("long"), F.length("surface").alias("size"))
-        pairs = surfaces.select(F.col("surface").alias("long"), part.alias("short")).join(own.filter(F.col(side) <= FAMILY_ENTROPY), "short")
+    for side, pairs in _family_pairs(surfaces, rules):
         options = pairs.join(_overlaps(pairs.select("short", "long"), present), ["short", "long"]).withColumn("containment", F.col("both") / F.col("blocks")).filter(F.col("containment") >= FAMILY_CONTAINMENT).join(lengths, "long", "left")
         best = _best_two(options, [F.desc("containment"), F.desc("both"), F.desc(F.coalesce("size", F.lit(0))), F.col("long")], F.col("both"), F.col("rank"))
         sure = best.filter(F.col("second").isNull() | (F.col("second") / F.col("best") < FAMILY_SECOND))
@@ -352,8 +391,13 @@ select surface, at as canonical, size(path) as steps from walk
 def canonical_surfaces(surfaces: DataFrame, present: DataFrame, rules: NameRules) -> DataFrame:
     """(surface, canonical): kept surfaces and what they stand for, followed to the end; a ring is left where it would close.
 
-    Weak affixes come before families, these before dominant extensions.
+    Weak affixes come before families, these before dominant extensions. A present that counts
+    blocks itself looks at them once for all pairs.
     """
+    if not isinstance(present, DataFrame):
+        pairs = [p for _, p in _family_pairs(surfaces, rules)] + [_dominant_pairs(surfaces, rules)[1]]
+        named = [p.select("short", "long") for p in pairs]
+        present = Counted(settled(present.both(named[0].unionByName(named[1]).unionByName(named[2]))))
     maps = [weak_affixes(surfaces, rules), family_edges(surfaces, present, rules), dominant_extensions(surfaces, present, rules)]
     ranked = [m.select("surface", "target", F.lit(k).alias("k")) for k, m in enumerate(maps)]
     edges = settled(ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("surface").agg(F.min_by("target", "k").alias("target")))
@@ -363,7 +407,10 @@ def canonical_surfaces(surfaces: DataFrame, present: DataFrame, rules: NameRules
 
 def canonical_candidates(surfaces: DataFrame, present: DataFrame, canonical: DataFrame, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
     """(canonical, importance, blocks, n, score, surfaces): surfaces (as an array, the canonical one first, then by score) under one name, with importance blocks + min(n / 2, blocks)."""
-    held = present.join(canonical, "surface").select("canonical", "id").distinct().groupBy("canonical").agg(F.count("*").alias("blocks"))
+    if isinstance(present, DataFrame):
+        held = present.join(canonical, "surface").select("canonical", "id").distinct().groupBy("canonical").agg(F.count("*").alias("blocks"))
+    else:
+        held = present.held(canonical)
     s = F.struct((F.col("surface") != F.col("canonical")).alias("other"), (-F.col("score")).alias("score"), (-F.length("surface")).alias("size"), "surface")
     grouped = surfaces.join(canonical, "surface").groupBy("canonical").agg(F.sum("n").alias("n"), (F.max("score") + (F.count("*") - 1) * 0.1).alias("score"), F.transform(F.array_sort(F.collect_list(s)), lambda x: x["surface"]).alias("surfaces"))
     return grouped.join(held, "canonical").filter(F.col("blocks") >= least_blocks).select("canonical", (F.col("blocks") + F.least(F.floor(F.col("n") / 2), F.col("blocks"))).alias("importance"), "blocks", "n", "score", "surfaces")

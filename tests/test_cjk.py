@@ -144,3 +144,28 @@ def test_rules_from_files(spark, tmp_path):
         (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
     rules = Z.NameRules.read(spark, str(tmp_path))
     assert (set(rules.singles), rules.compounds, set(rules.noise), rules.titles, rules.common) == (set("王李张"), ("欧阳",), set("说的"), ("王子",), ("天地",))
+
+
+def test_counted_growth_equals_its_rows(spark):
+    """Counts made where blocks lie equal those of the rows, also of blocks that share an id; none of the texts' places is a row."""
+    from quillspark.operators import zh_growth as W
+
+    texts = ["王小明说王小明来了，欧阳锋在大城。", "王小明 王小", "尔克斯特王子走了王小明的", "", None, "克斯特尔王子王子", "欧阳锋欧阳"]
+    blocks = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, "小明王小明"), (None, "王小明了"), (None, "王小明了")], "id long, text string")
+    seeds = spark.createDataFrame([(n,) for n in ("王小", "小明", "王小明", "欧阳", "克斯", "王子", "大城")], "name string")
+    occurrences = Z.grown_occurrences(blocks, seeds, RULES)
+    growth = W.Growth(blocks, seeds, RULES)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    for mine, its in zip(growth.sides(), Z.surface_sides(occurrences), strict=True):
+        assert rows(mine) == rows(its)
+    present = occurrences.select("surface", "id").distinct().filter("id is not null")
+    names = [r.surface for r in present.select("surface").distinct().collect()]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a != b and a in b], "short string, long string")
+    alone = W.Growth(blocks.filter("id is not null"), seeds, RULES)
+    assert rows(alone.both(pairs)) == rows(Z._overlaps(pairs, present))
+    canonical = spark.createDataFrame([(n, n[:2]) for n in names], "surface string, canonical string")
+    assert rows(alone.held(canonical)) == rows(present.join(canonical, "surface").select("canonical", "id").distinct().groupBy("canonical").count().withColumnRenamed("count", "blocks"))
+    plan = growth.sides()[0]._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
+    pairs_of = {r.name: r["count"] for r in W.pair_counts(spark.createDataFrame([("王小明，小明",), (None,), ("明",), ("王小a小明",)], "text string"), "text").collect()}
+    assert pairs_of == {"王小": 2, "小明": 3}
