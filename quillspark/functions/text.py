@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 HAN, KANA, HANGUL = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]", r"[\x{3040}-\x{30FF}]", r"[\x{1100}-\x{11FF}\x{AC00}-\x{D7AF}]"
 #: Sentence ends and what may close after them.
 ENDS, CLOSERS = r"[.!?。！？…]", r"[\"'”’」』）)\]]"
+#: The marks around tokens.
+MARKS = "\"'.,;:!?()[]{}<>*#-_ "
 #: Digits and units of Chinese numerals (fixed values).
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000}
@@ -62,7 +64,7 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
-def normal_token(token: Column, trim: str = "\"'.,;:!?()[]{}<>*#-_ ") -> Column:
+def normal_token(token: Column, trim: str = MARKS) -> Column:
     """A token without the marks around it."""
     return F.btrim(token, F.lit(trim))
 

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import match_key
+from ..functions.text import MARKS
+
+#: Bits of the map of names that is sent to all, as a power of two; words whose answer a task remembers; a cell of a text in which matches meet segments.
+MAP_BITS, REMEMBERED, CELL = 24, 1 << 20, 1024
+_BLANK = re.compile(r"[ \t\n\r]")
 
 
 def alias_table(targets: DataFrame) -> DataFrame:
@@ -43,6 +54,62 @@ def matches(toks: DataFrame, aliases: DataFrame, most_words: int = 3, fold_case:
     return grams.withColumn("alias", key).join(aliases, "alias").select("id", "start", "end", "alias", "target_id")
 
 
+class _Known(dict):
+    """Whether a run of words may be a name, by the map; a key that is new is looked up once."""
+
+    def __init__(self, bit_map: bytes):
+        self.map = bit_map
+
+    def __missing__(self, gram: str) -> bool:
+        spot = zlib.crc32(gram.encode("utf-8", "surrogatepass")) & ((1 << MAP_BITS) - 1)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[gram] = found = bool(self.map[spot >> 3] >> (spot & 7) & 1)
+        return found
+
+
+def _runs(most: int, bit_map):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(bit_map.value)
+        for batch in batches:
+            row, starts, ends, grams = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                words, places, at = [], [], 0
+                for raw in _BLANK.split(text or ""):
+                    word = raw.strip(MARKS)
+                    if word:
+                        words.append(word)
+                        places.append(at + (len(raw) - len(raw.lstrip(MARKS)) if raw[0] != word[0] else 0))
+                    at += len(raw) + 1
+                for k in range(most):
+                    runs = words if k == 0 else [" ".join(words[j : j + k + 1]) for j in range(len(words) - k)]
+                    for j, gram in enumerate(runs):
+                        if known[gram]:
+                            row.append(i)
+                            starts.append(places[j])
+                            ends.append(places[j + k] + len(words[j + k]))
+                            grams.append(gram)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(grams, pa.string())], ["id", "start", "end", "alias"])
+
+    return run
+
+
+def matches_in(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, most_words: int = 3) -> DataFrame:
+    """What matches() finds among the tokens of texts: each text is cut where it lies, and only runs of words that a map of fixed size has meet the names.
+
+    The map lets some others through and the equi-join on the run itself decides, so the result is exact for any number of names.
+    """
+    spark = texts.sparkSession
+    spot = F.crc32(F.col("alias").cast("binary")).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")))
+    words = aliases.filter("alias is not null").groupBy(F.shiftright(spot, 6).alias("at")).agg(bits.alias("bits")).toArrow()  # 2 ** 18 rows at most
+    bit_map = np.zeros(1 << (MAP_BITS - 6), "<i8")
+    bit_map[words["at"].to_numpy()] = words["bits"].to_numpy()
+    rows = texts.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = rows.mapInArrow(_runs(most_words, spark.sparkContext.broadcast(bit_map.tobytes())), f"id {rows.schema['id'].dataType.simpleString()}, start long, end long, alias string")
+    return found.join(aliases, "alias").select("id", "start", "end", "alias", "target_id")
+
+
 def longest(found: DataFrame) -> DataFrame:
     """Matches that end beyond all that sort before them by (start, longest, target); overlaps that reach further stay."""
     order = Window.partitionBy("id").orderBy("start", F.desc("end"), "target_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,8 +123,11 @@ def relevant(found: DataFrame) -> DataFrame:
 
 def mention_postings(found: DataFrame, segments: DataFrame) -> DataFrame:
     """(segment_id, target_id, n, density, score, offset) from matches that lie in segments (id, segment_id, start_pos, end_pos)."""
-    seg = segments.select("id", "segment_id", "start_pos", "end_pos")
-    inside = found.join(seg, "id").filter("start >= start_pos and end <= end_pos")
+    seg = segments.select("id", "segment_id", "start_pos", "end_pos").filter("start_pos < end_pos")
+    # A match meets the segments of its cell of the text, not all of a long text's.
+    cells = F.sequence(F.floor(F.col("start_pos") / CELL), F.floor((F.col("end_pos") - 1) / CELL))
+    seg = seg.withColumn("cell", F.explode(cells))
+    inside = found.withColumn("cell", F.floor(F.col("start") / CELL)).join(seg, ["id", "cell"]).filter("start >= start_pos and end <= end_pos")
     n = F.count("*")
     density = n / F.max(F.col("end_pos") - F.col("start_pos"))
     return inside.groupBy("segment_id", "target_id").agg(n.alias("n"), F.round(density, 6).alias("density"), F.round(n + F.least(F.lit(2.0), 120 * density), 4).alias("score"), F.min(F.col("start") - F.col("start_pos")).alias("offset"))

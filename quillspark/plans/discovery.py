@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates as C
 from ..operators import match as M
 from ..operators import state as S
-from ..session import table
+from ..session import settled, table
 from .registry import query
 
 COMMON = ["the", "of", "and", "la", "de", "le", "que", "der", "die", "und", "el", "en"]
@@ -110,7 +110,7 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    return M.matches(C.tokens(docs(spark, d), "doc_id", "text"), M.alias_table(_targets(spark, d)), 2)
+    return M.matches_in(docs(spark, d), settled(M.alias_table(_targets(spark, d))), "doc_id", "text", 2)
 
 
 @query(_ALIAS + "select alias, target_id from al")
@@ -135,10 +135,12 @@ _SEG = _ALIAS + """, seg as (select doc_id as id, doc_id * 10000000 + k as segme
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     """Plain segments of 500 characters, with their place in the source."""
-    k = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 500).cast("int"))
-    rows = docs(spark, d).filter("length(text) > 0").select("source", F.col("doc_id").alias("id"), F.length("text").alias("len"), F.explode(k).alias("k"))
-    order = Window.partitionBy("source")
-    return rows.select("id", (F.col("id") * 10_000_000 + F.col("k")).alias("segment_id"), (F.col("k") * 500).alias("start_pos"), F.least((F.col("k") + 1) * 500, F.col("len")).alias("end_pos"), M.progress_bucket(F.row_number().over(order.orderBy("id", "k")) - 1, F.count("*").over(order)).alias("bucket"))
+    rows = docs(spark, d).filter("length(text) > 0").select("source", F.col("doc_id").alias("id"), F.length("text").alias("len"), F.ceil(F.length("text") / 500).alias("n"))
+    # A text's number of segments stands for them in the window; they are made after it.
+    book = Window.partitionBy("source")
+    before = F.sum("n").over(book.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"before": F.coalesce(before, F.lit(0)), "total": F.sum("n").over(book)}).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    return rows.select("id", (F.col("id") * 10_000_000 + F.col("k")).alias("segment_id"), (F.col("k") * 500).alias("start_pos"), F.least((F.col("k") + 1) * 500, F.col("len")).alias("end_pos"), M.progress_bucket(F.col("before") + F.col("k"), F.col("total")).alias("bucket"))
 
 
 @query(_SEG + 'select segment_id, target_id, n, density, score, cast("offset" as bigint) as "offset" from post')
@@ -166,7 +168,7 @@ def entity_passages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_REFS + "select name, window_id, entity_count from refs where name = (select min(name) from refs) and window_id in (select window_id from refs where name = (select max(name) from refs)) order by entity_count desc, window_id limit 20")
 def entity_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    refs = _refs(spark, d)
+    refs = settled(_refs(spark, d))
     ends = refs.agg(F.min("name").alias("a"), F.max("name").alias("b"))
     return M.cooccurring(refs, ends.select("a").scalar(), ends.select("b").scalar())
 

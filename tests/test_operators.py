@@ -134,3 +134,22 @@ def test_long_runs_of_words_take_no_stack(spark):
     df = spark.createDataFrame(list(enumerate(runs)), "id int, text string")
     assert {r.version: r.words for r in checks.long_paragraphs(df, "id", "text").collect()} == {3: 500_000}
     assert checks.long_sentences(df, "id", "text").count() == 1
+
+
+def test_matches_in_texts_equal_those_of_tokens(spark):
+    """Runs of words are found where the texts lie: the same rows, and only what may be a name is shuffled."""
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import candidates as C
+    from quillspark.operators import match as M
+
+    texts = spark.createDataFrame([(1, "\"Ann Lee\" met Ann,\n\n(Bo) -- Lee\tAnn Lee's"), (2, ""), (3, None), (4, "*** Bo  Lee. é Ö ß 北京 Ann"), (5, "--Ann--Lee-- Ann")], "id long, text string")
+    aliases = spark.createDataFrame([("Ann", 1), ("Ann Lee", 2), ("Bo", 3), ("Bo Lee", 4), ("Lee é Ö", 5), ("北京 Ann", 6), (None, 7), ("Ann", 8)], "alias string, target_id long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    mine = M.matches_in(texts, aliases, "id", "text", 3)
+    assert rows(mine) == rows(M.matches(C.tokens(texts, "id", "text"), aliases, 3)) and mine.filter("alias = 'Bo Lee'").count() == 2
+    assert "Window" not in mine._jdf.queryExecution().executedPlan().toString()
+    # Segments of a long text meet matches by their cell, also where one covers several.
+    found = spark.range(0, 9000, 300).select(F.lit(1).alias("id"), F.col("id").alias("start"), (F.col("id") + 5).alias("end"), F.lit(7).alias("target_id"))
+    segments = spark.createDataFrame([(1, 10, 0, 5000), (1, 11, 4000, 9000), (1, 12, 600, 600), (1, 13, 1023, 1025), (2, 14, 0, 9000)], "id long, segment_id long, start_pos long, end_pos long")
+    assert {(r.segment_id, r.n) for r in M.mention_postings(found, segments).collect()} == {(10, 17), (11, 16)}
