@@ -60,9 +60,12 @@ def importance(present: DataFrame) -> DataFrame:
 def cooccurrence(present: DataFrame, ranked: DataFrame, least: int) -> DataFrame:
     """(left, right, count): windows that hold both names, for names of at least that importance."""
     kept = present.join(ranked.filter(F.col("importance") >= least).select("name"), "name")
-    other = kept.select(F.col("name").alias("right"), "id", "window")
-    pairs = kept.withColumnRenamed("name", "left").join(other, ["id", "window"]).filter("left < right")
-    return pairs.groupBy("left", "right").agg(F.count("*").alias("count"))
+    # A window has few names, as it has few characters; its pairs are made in one row and counted before the shuffle.
+    names = F.array_sort(F.collect_set("name"))
+    held = kept.groupBy("id", "window").agg(names.alias("names")).filter(F.size("names") > 1)
+    names = F.col("names")
+    pairs = F.flatten(F.transform(names, lambda x, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda y: F.struct(x.alias("left"), y.alias("right")))))
+    return held.select(F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("count"))
 
 
 def scores(ranked: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,35 @@ def _runs(most: int, bit_map):
     return run
 
 
+def _words(text: str | None) -> list[str]:
+    return [w for w in (raw.strip(MARKS) for raw in _BLANK.split(text or "")) if w]
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbours, given out when so many different ones are held."""
+    held: Counter = Counter()
+
+    def counted() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in held], pa.string()), pa.array([b for _, b in held], pa.string()), pa.array(held.values(), pa.int64())], ["a", "b", "count"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            words = _words(text)
+            held.update(zip(words, words[1:], strict=False))
+            if len(held) >= REMEMBERED // 4:
+                yield counted()
+    if held:
+        yield counted()
+
+
+def neighbour_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(a, b, count): how often token b stands next after token a; counted where the texts lie, so no token is shuffled."""
+    rows = texts.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_beside, "a string, b string, count long")
+    return rows.groupBy("a", "b").agg(F.sum("count").alias("count"))
+
+
 def matches_in(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, most_words: int = 3) -> DataFrame:
     """What matches() finds among the tokens of texts: each text is cut where it lies, and only runs of words that a map of fixed size has meet the names.
 

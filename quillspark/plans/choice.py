@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators import evidence as V
+from ..operators import match as M
 from ..operators import refine as R
 from ..session import settled
 from .cjk import _HAN_SQL, _T, RULES, _person, han
@@ -18,18 +19,20 @@ _SUFFIXES, _BACKDROP = ("王子", "城主"), ("马罗", "克尔")
 _H = _HAN_SQL.replace("text", "{}", 1)
 
 
-def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Names in Han characters with their counts, and how often two stand side by side."""
-    texts = docs(spark, d)
-    importance = C.counts(texts, "text", common(spark)).groupBy(han(F.col("name")).alias("name")).agg(F.sum("count").alias("importance")).filter("name <> '' and importance >= 3")
-    order = Window.partitionBy("id").orderBy("n")
-    beside = C.tokens(texts, "doc_id", "text").withColumn("next", F.lead("token").over(order)).filter("next is not null").select(han(F.col("token")).alias("a"), han(F.col("next")).alias("b")).filter("a <> b and a <> '' and b <> ''")
-    pairs = beside.groupBy(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).agg(F.count("*").alias("count"))
-    return settled(importance), settled(pairs)
+def _importance(spark: SparkSession, d: str) -> DataFrame:
+    """Names in Han characters with their counts."""
+    counted = C.counts(docs(spark, d), "text", common(spark)).groupBy(han(F.col("name")).alias("name")).agg(F.sum("count").alias("importance"))
+    return settled(counted.filter("name <> '' and importance >= 3"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How often two names stand side by side."""
+    beside = M.neighbour_counts(docs(spark, d), "text").select(han(F.col("a")).alias("a"), han(F.col("b")).alias("b"), "count").filter("a <> b and a <> '' and b <> ''")
+    return settled(beside.groupBy(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).agg(F.sum("count").alias("count")))
 
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    importance, pairs = _inputs(spark, d)
+    importance, pairs = _importance(spark, d), _pairs(spark, d)
     value = R.surface_value(F.col("name"), RULES, _SUFFIXES, _BACKDROP)
     return settled(R.candidate_scores(importance, pairs, value, R.prefix_shadows(importance, RULES))), pairs
 
@@ -51,7 +54,7 @@ _BASE = _TOK + f""", imp as (select * from (select {_H.format('name')} as name,
 
 @query(_BASE + "select name, long from shd")
 def prefix_shadows(spark: SparkSession, d: str) -> DataFrame:
-    return R.prefix_shadows(_inputs(spark, d)[0], RULES)
+    return R.prefix_shadows(_importance(spark, d), RULES)
 
 
 @query(_BASE + "select name, importance, degree, round(association, 6) as association, round(score, 6) as score, shadowed from scr")

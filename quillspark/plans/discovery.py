@@ -55,8 +55,10 @@ _PRES = _TOK + """, lens as (select doc_id as id, greatest(0, length(text) - 500
 
 
 def _present(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs(spark, d)
-    return C.presence(C.tokens(rows, "doc_id", "text"), rows, _short(spark, d), "doc_id", "text")
+    """Windows of the shortlist's names, which are found where the texts lie."""
+    rows, names = docs(spark, d), settled(_short(spark, d))
+    found = M.matches_in(rows, names.select(F.col("name").alias("alias"), F.lit(0).alias("target_id")), "doc_id", "text", 1)
+    return settled(C.presence(found.select("id", "start", F.col("alias").alias("token")), rows, names, "doc_id", "text"))
 
 
 @query(_PRES + "select name, importance from imp")

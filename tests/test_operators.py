@@ -153,3 +153,18 @@ def test_matches_in_texts_equal_those_of_tokens(spark):
     found = spark.range(0, 9000, 300).select(F.lit(1).alias("id"), F.col("id").alias("start"), (F.col("id") + 5).alias("end"), F.lit(7).alias("target_id"))
     segments = spark.createDataFrame([(1, 10, 0, 5000), (1, 11, 4000, 9000), (1, 12, 600, 600), (1, 13, 1023, 1025), (2, 14, 0, 9000)], "id long, segment_id long, start_pos long, end_pos long")
     assert {(r.segment_id, r.n) for r in M.mention_postings(found, segments).collect()} == {(10, 17), (11, 16)}
+
+
+def test_neighbours_and_windows_without_a_row_a_token(spark):
+    """Neighbours are counted in their text; a window's pairs come from one row; prefix shadows need no pairs."""
+    from quillspark.operators import candidates as C
+    from quillspark.operators import match as M
+
+    texts = spark.createDataFrame([(1, "a, b a\nb -- (a) c"), (2, "b"), (3, None), (4, "a b")], "id long, text string")
+    counted = M.neighbour_counts(texts, "text")
+    assert {(r.a, r.b, r["count"]) for r in counted.collect()} == {("a", "b", 3), ("b", "a", 2), ("a", "c", 1)}
+    assert "Window" not in counted._jdf.queryExecution().executedPlan().toString()
+    present = spark.createDataFrame([("a", 1, 0), ("b", 1, 0), ("c", 1, 0), ("a", 1, 1), ("b", 1, 1), ("b", None, 0), ("a", 2, 0), ("d", 2, 0)], "name string, id long, window long")
+    pairs = C.cooccurrence(present, C.importance(present), 2)
+    assert {(r["left"], r["right"], r["count"]) for r in pairs.collect()} == {("a", "b", 2)}
+    assert "SortMergeJoin [id" not in pairs._jdf.queryExecution().executedPlan().toString()
