@@ -112,6 +112,53 @@ def _candidates(lengths: list[int], bit_map, around: int):
     return run
 
 
+def _map_of(names: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The lengths of names (alias) and their bit map."""
+    slots = names.select("alias").distinct().mapInArrow(_slots, "word long, bits long, length int")
+    bit_map = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    for word, bits in slots.groupBy("word").agg(F.bit_or("bits")).collect():  # 2 ** 18 rows at most
+        bit_map[word] = bits
+    return sorted(r[0] for r in slots.select("length").distinct().collect()), bit_map
+
+
+def _inner(lengths: list[int], bit_map):
+    """(alias, most) of the substrings of names that the map has, without the names themselves, each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, counts = batch.column("name").to_pylist(), batch.column("count").to_numpy(zero_copy_only=False)
+            text, sizes = "".join(names), np.array([len(n) for n in names], np.int64)
+            roll, owner = Rolling(text), np.repeat(np.arange(len(names)), sizes)
+            upto = np.cumsum(sizes)[owner]
+            for length in lengths:
+                at = np.arange(max(0, len(text) - length + 1))
+                at = at[(at + length <= upto[at]) & (sizes[owner[at]] > length)]
+                slot = roll.slots(at, length)
+                at = at[(bit_map.value[slot >> 6] >> (slot & 63)) & 1 == 1]
+                if not len(at):
+                    continue
+                most: dict[str, int] = {}
+                for a, n in zip(at.tolist(), counts[owner[at]].tolist(), strict=True):
+                    piece = text[a : a + length]
+                    if n > most.get(piece, -1):
+                        most[piece] = n
+                yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.string()), pa.array(list(most.values()), pa.int64())], ["alias", "most"])
+
+    return run
+
+
+def most_inside(names: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(alias, most): for each piece (alias) that lies in a longer one of names (name, count), the highest count of those.
+
+    A batch of names is looked through at once, and of each piece only the highest count leaves it.
+    """
+    pieces = pieces.select("alias").filter("alias <> ''").distinct()
+    lengths, bit_map = _map_of(pieces)
+    rows = names.filter("name is not null").select("name", F.col("count").cast("long").alias("count"))
+    found = rows.mapInArrow(_inner(lengths, names.sparkSession.sparkContext.broadcast(bit_map)), "alias string, most long")
+    return found.groupBy("alias").agg(F.max("most").alias("most")).join(pieces, "alias")
+
+
 def overlap_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, cjk: Column, folded: bool = False, variants: dict[str, str] | None = None, around: int = 0) -> DataFrame:
     """(id, start, end, alias, target_id): every place of a text where an alias (alias, target_id) stands, overlaps included.
 
@@ -128,11 +175,7 @@ def overlap_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col:
         base = F.when(F.col("cjk"), "zh").otherwise("")
         names = names.withColumn("alias", match_key(F.col("alias"), F.lit("zh"), variants)).filter("alias <> ''").distinct()
         rows = rows.withColumn("text", match_key(F.col("text"), base, variants))
-    slots = names.select("alias").distinct().mapInArrow(_slots, "word long, bits long, length int")
-    bit_map = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for word, bits in slots.groupBy("word").agg(F.bit_or("bits")).collect():  # 2 ** 18 rows at most
-        bit_map[word] = bits
-    lengths = sorted(r[0] for r in slots.select("length").distinct().collect())
+    lengths, bit_map = _map_of(names)
     kind = rows.schema["id"].dataType.simpleString()
     sides = ["before", "after"] if around else []
     ddl = f"id {kind}, start long, end long, alias string" + "".join(f", {c} string" for c in sides)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import recursive, settled
-from .overlaps import overlap_matches
+from .overlaps import most_inside, overlap_matches
 
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 #: Characters that make surfaces of little worth, and limits.
@@ -171,8 +171,8 @@ def without_fragments(counted: DataFrame, rules: NameRules) -> DataFrame:
     name = F.col("name")
     whole = counted.filter((F.length(name) >= 3) & name.rlike(f"^{_any(rules.translit)}+$|^{_any(rules.translit)}{{3,}}{_either(rules.titles)}$"))
     pieces = counted.filter(rules.is_translit(name) | rules.is_title(name))
-    held = overlap_matches(whole, pieces.select(name.alias("alias"), F.col("count").alias("target_id")), "name", "name", F.lit(True)).filter("alias <> id")
-    lost = held.join(whole.select(name.alias("id"), F.col("count").alias("most")), "id").filter("target_id <= most").select(F.col("alias").alias("name")).distinct()
+    most = most_inside(whole, pieces.select(name.alias("alias")))
+    lost = pieces.join(most.withColumnRenamed("alias", "name"), "name").filter("count <= most").select("name")
     return counted.join(lost, "name", "left_anti")
 
 

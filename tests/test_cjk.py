@@ -186,3 +186,10 @@ def test_overlap_query_counts_names_as_its_sql(spark, folder, tmp_path):
     texts = [("4397110767823743", "en"), ("ÄÖ 4397110767823743 Ö", "de"), ("+#~ + x", "de"), ("a+#~b +#~ c+b", "en"), ("#Ö und", "de"), ("x#Ö #Öz #Ö", "en"), ("##Ö", "fr"), (None, "de"), ("", "en"), ("Ada Bo", None), ("Ada Bo Ada", "es")]
     pq.write_table(pa.table({"doc_id": [6 * k for k in range(len(texts))], "text": [t for t, _ in texts], "lang": [c for _, c in texts], "source": ["s"] * len(texts), "n_chars": [len(t or "") for t, _ in texts]}), tmp_path / "documents.parquet")
     assert compare(spark, str(tmp_path), "overlap_matches", plans.QUERIES["overlap_matches"], plans.SQL["overlap_matches"]) == ""
+
+
+def test_pieces_inside_names(spark):
+    """Each piece's highest count among longer names that hold it, from one row a piece and batch."""
+    names = spark.createDataFrame([("克斯尔", 3), ("斯尔特", 5), ("克斯", 9), ("斯", 2)], "name string, count long")
+    pieces = spark.createDataFrame([("克斯",), ("斯尔",), ("斯",), ("克斯尔",), ("拉",), ("",), (None,)], "alias string")
+    assert {(r.alias, r.most) for r in O.most_inside(names, pieces).collect()} == {("克斯", 3), ("斯尔", 5), ("斯", 9)}
