@@ -11,7 +11,6 @@ differ in few bits of the other are near, and the edit similarity of the lines d
 from __future__ import annotations
 
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -264,17 +263,6 @@ def distances(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray
     return np.where(n == 0, m, out)
 
 
-def far(a: str, b: str, most: float) -> bool:
-    """Whether more runs of four characters differ than most edits can change, which is eight each."""
-    counts = []
-    size = 1 << max(len(a), len(b)).bit_length() + 1
-    for t in (a, b):
-        x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        x = ((x[:-3] * np.uint32(31) + x[1:-2]) * np.uint32(31) + x[2:-1]) * np.uint32(31) + x[3:]
-        counts.append(np.bincount((x * np.uint32(0x9E3779B1) >> np.uint32(8)) & np.uint32(size - 1), minlength=size))
-    return int(np.abs(counts[0] - counts[1]).sum()) > 8 * most
-
-
 def at_most(a: str, b: str, most: float) -> float:
     """A bound on the distance of two texts from above: words that are not equal are passed over up to the next equal ones. It may stop beyond most."""
     x, y = a.split(" "), b.split(" ")
@@ -292,18 +280,33 @@ def at_most(a: str, b: str, most: float) -> float:
 _STEPS = ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (2, 0), (0, 2))
 
 
+def _common(a: str, b: str) -> int:
+    """The number of characters that a and b begin with alike."""
+    low, high = 0, min(len(a), len(b)) + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 def alike(left: list[str], right: list[str], similarity: float) -> np.ndarray:
     """Whether each pair's edit similarity is high enough: by cheap bounds, then by the distance of what lies between the common ends."""
     keep, open_ = np.zeros(len(left), bool), []
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
         most = (1 - similarity) * max(len(a), len(b)) + 1e-9
-        if at_most(a, b, most) <= most:
+        if abs(len(a) - len(b)) > most:
+            continue
+        head = _common(a, b)
+        a, b = a[head:], b[head:]
+        tail = _common(a[::-1], b[::-1])
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+        if max(len(a), len(b)) <= most or at_most(a, b, most) <= most:
             keep[k] = True
-        elif abs(len(a) - len(b)) <= most and not far(a, b, most):
-            head = len(commonprefix((a, b)))
-            a, b = a[head:], b[head:]
-            tail = len(commonprefix((a[::-1], b[::-1])))
-            open_.append((k, a[: len(a) - tail], b[: len(b) - tail], most))
+        else:
+            open_.append((k, a, b, most))
     open_.sort(key=lambda r: max(len(r[1]), len(r[2])))
     kinds = len(set().union(*[a + b for _, a, b, _ in open_]))
     while open_:
@@ -338,6 +341,19 @@ def signature(sim: Column, chars: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(sim, 8), 8).bitwiseOR(length)
 
 
+def letter_counts(text: str) -> np.ndarray:
+    """How many characters of each of 32 kinds a text has."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(points & 31, minlength=32).astype(np.int32)
+
+
+def in_reach(x: Column, y: Column, similarity: float) -> Column:
+    """Whether lengths (size) and letter_counts() (counts) leave the edit similarity high enough: an edit changes the length by one, or the counts by two."""
+    most, apart = (1 - similarity) * F.greatest(x["size"], y["size"]) + 1e-9, F.abs(x["size"] - y["size"])
+    differ = F.aggregate(F.zip_with(x["counts"], y["counts"], lambda p, q: F.abs(p - q)), F.lit(0), lambda total, n: total + n)
+    return (apart <= most) & (differ + apart <= 2 * most)
+
+
 def block_keys(sim: Column, sim2: Column, width: int = WIDTH) -> Column:
     """The keys of a SimHash: three blocks of width bits of one half, with the key's number, which is below 64 // width for the first half."""
     n, keys = 64 // width, []
@@ -359,7 +375,7 @@ def _spot(did, th, line, bits: int = MAP_BITS):
 
 
 def _texts_of(wanted: DataFrame, placed: DataFrame) -> DataFrame:
-    """(id, text) of the wanted lines (did, th, line, id), normalised: a map of fixed size picks them out of the texts, and a join decides."""
+    """(id, text, size, counts) of the wanted lines (did, th, line, id), normalised, with length and letter_counts(): a map of fixed size picks them out of the texts, and a join decides."""
     spark = wanted.sparkSession
     spot = _spot(F.col("did"), F.col("th"), F.col("line"))
     found = wanted.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
@@ -378,12 +394,14 @@ def _texts_of(wanted: DataFrame, placed: DataFrame) -> DataFrame:
             keep = np.flatnonzero((bits[spot >> 6] >> (spot & 63)) & 1)
             ends = np.append(starts[1:], len(data))
             texts = [normal(data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace")) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(did[keep]), pa.array(th[keep]), pa.array(number[keep].astype(np.int32)), pa.array(texts, pa.string())], ["did", "th", "line", "text"])
+            counts = np.array([letter_counts(t) for t in texts], np.int32).ravel()
+            columns = (did[keep], th[keep], number[keep].astype(np.int32), pa.array(texts, pa.string()), np.array([len(t) for t in texts], np.int32), pa.ListArray.from_arrays(np.arange(0, len(counts) + 1, 32, dtype=np.int32), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["did", "th", "line", "text", "size", "counts"])
 
-    lines = placed.mapInArrow(picked, "did long, th long, line int, text string")
+    lines = placed.mapInArrow(picked, "did long, th long, line int, text string, size int, counts array<int>")
     # Rows of equal id and text have the same lines.
-    once = lines.groupBy("did", "th", "line").agg(F.first("text").alias("text"))
-    return once.join(wanted, ["did", "th", "line"]).select("id", "text")
+    once = lines.groupBy("did", "th", "line").agg(*[F.first(c).alias(c) for c in ("text", "size", "counts")])
+    return once.join(wanted, ["did", "th", "line"]).select("id", "text", "size", "counts")
 
 
 def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,11 +450,13 @@ def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int
 
         def prepare(ids: DataFrame):
             texts = written(_texts_of(lines.join(ids, "id").select("first.did", "first.th", "first.line", "id"), placed))
+            a, b = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"), F.struct("size", "counts").alias(f"sketch_{k}")) for k in "ab")
 
             def linked(pairs: DataFrame) -> DataFrame:
-                left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-                both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-                return both.select("a", "b", "text_a", "text_b").mapInArrow(_alike(similarity), "a long, b long").distinct()
+                # Pairs that lengths or letters rule out are no rows of the join.
+                left = pairs.join(a, "a")
+                both = left.join(b, (left["b"] == b["b"]) & in_reach(F.col("sketch_a"), F.col("sketch_b"), similarity))
+                return both.select("a", left["b"], "text_a", "text_b").mapInArrow(_alike(similarity), "a long, b long").distinct()
 
             return linked
 

@@ -400,3 +400,25 @@ def test_equal_lines_have_one_id():
     found = pa.Table.from_batches(fuzzy_lines._lines(20)(iter([rows])))
     same = [i for i, n in zip(found["id"].to_pylist(), found["line"].to_pylist(), strict=True) if n == 1]
     assert len(same) == 50 and len(set(same)) == 1
+
+
+def test_pairs_out_of_reach_of_the_edit_similarity_are_not_made(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefg hé漢0") for _ in range(n))
+    texts = [text(rnd.randint(20, 200)) for _ in range(12)] + ["a" * 600, "a" * 640]
+    texts += [t[: len(t) // 2] + text(k % 9) + t[len(t) // 2 + k % 5 :] for k, t in enumerate(texts)]
+    rows = [(k, t, len(t), fuzzy_lines.letter_counts(t).tolist()) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, size int, counts array<int>").select("id", F.struct("size", "counts").alias("data"))
+    x, y = F.col("x.data"), F.col("y.data")
+    got = {(r[0], r[1]) for r in df.alias("x").join(df.alias("y"), F.col("x.id") < F.col("y.id")).filter(fuzzy_lines.in_reach(x, y, 0.9)).select("x.id", "y.id").collect()}
+
+    def reach(a, b):
+        most, counts = 0.1 * max(len(a), len(b)) + 1e-9, [np.bincount([ord(c) & 31 for c in t], minlength=32) for t in (a, b)]
+        return abs(len(a) - len(b)) <= most and np.abs(counts[0] - counts[1]).sum() + abs(len(a) - len(b)) <= 2 * most
+
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    assert got == {(i, j) for i, j in pairs if reach(texts[i], texts[j])}
+    similar = {(i, j) for i, j in pairs if fuzzy_lines.distance(texts[i], texts[j]) <= 0.1 * max(len(texts[i]), len(texts[j])) + 1e-9}
+    assert similar and similar <= got and len(got) < len(pairs)
