@@ -108,7 +108,7 @@ def cues_of(clause: Column) -> Column:
 def _to_suffix(value: Column, suffixes: list[str]) -> Column:
     """A value cut after the suffix that ends last, each looked for once from the left."""
     end = F.array_max(F.transform(F.array(*[F.lit(s) for s in suffixes]), lambda s: F.when(F.call_function("instr", value, s) > 0, F.call_function("instr", value, s) + F.length(s) - 1)))
-    return F.when(end.isNotNull(), F.substring(value, F.lit(1), end)).otherwise(value)
+    return F.substring(value, F.lit(1), F.coalesce(end, F.length(value)))
 
 
 def with_normal_value(rows: DataFrame) -> DataFrame:
@@ -154,7 +154,9 @@ def claims(found: DataFrame, segments: DataFrame, names: DataFrame) -> DataFrame
     each = rows.select("segment", "chapter", "target_id", "content", "start", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("*", "h.*").drop("h")
     each = with_normal_value(each).withColumn("clause", clause_around(text, start, F.col("upto")))
     spoken = F.when(F.col("slot") == "role", F.lower("raw")).when(F.col("given").isNotNull(), F.col("given")).otherwise(F.col("normal"))
-    made = each.select("segment", "chapter", "target_id", "slot", spoken.alias("surface"), "anchor", "confidence", "salience", F.coalesce("fixed", cues_of(F.col("clause"))).alias("cues")).filter("surface is not null")
+    # Claims without a value are left out in a list of one: as a filter, the condition would be written out with all steps of the value below them.
+    one = F.filter(F.array(F.struct(spoken.alias("surface"), F.coalesce("fixed", cues_of(F.col("clause"))).alias("cues"))), lambda c: c["surface"].isNotNull())
+    made = each.select("segment", "chapter", "target_id", "slot", "anchor", "confidence", "salience", F.inline(one))
     known = made.join(names.select("surface", "canonical"), "surface", "left")
     value = F.when(F.col("slot").isin("role", "life_state"), F.col("surface")).otherwise(F.coalesce("canonical", "surface"))
     best = F.max_by("anchor", F.struct("confidence", -F.col("anchor")))

@@ -59,3 +59,8 @@ def test_claims_of_each_rule(made):
 def test_no_matches(made):
     found, segments, names = made
     assert C.claims(found.filter("false"), segments, names).count() == 0
+
+
+def test_each_step_of_a_value_is_worked_out_once(made):
+    plan = C.claims(*made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|".join(C.LEADING)) == 1 and plan.count(C.DETERMINER) == 1
