@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import match_key
+from ..session import settled
 
 #: The bit map's size as a power of two: 2 MB.
 MAP_BITS = 24
@@ -45,16 +46,21 @@ class Rolling:
         self.sums = np.zeros(n + 1, _U)
         np.cumsum(_mixed(self.points.astype(_U) + _U(1)) * np.cumprod(up, dtype=_U)[:-1], out=self.sums[1:], dtype=_U)
 
-    def slots(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """The map's slot for the substring of that length at each start."""
+    def slots(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        """The map's slot for the substring of that length, one for all or one each, at each start."""
         return (_mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts] + _U(length)) >> _U(64 - MAP_BITS)).astype(np.int64)
 
 
+#: Of each code point whether it is part of a word, -1 where that was not looked up yet.
+_WORDS = np.full(0x110000, -1, np.int8)
+
+
 def in_word(points: np.ndarray) -> np.ndarray:
     """Which code points are letters, digits, _ or -."""
-    kinds, at = np.unique(points, return_inverse=True)
-    known = np.array([chr(c) in "_-" or unicodedata.category(chr(c))[0] in "LN" for c in kinds.tolist()], bool)
-    return known[at] if len(kinds) else np.empty(0, bool)
+    new = points[_WORDS[points] < 0]
+    for c in np.unique(new).tolist():
+        _WORDS[c] = chr(c) in "_-" or unicodedata.category(chr(c))[0] in "LN"
+    return _WORDS[points] == 1
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,47 +72,79 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(bits), pa.array([len(n) for n in names], pa.int32())], ["word", "bits", "length"])
 
 
-def _hits(text: str, cjk: bool, lengths: list[int], bit_map: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) of the substrings that the map has and that stand alone where words have borders."""
-    roll, n = Rolling(text), len(text)
-    starts = np.arange(n)
-    left = right = None
-    if not cjk:
-        word = in_word(roll.points)
-        left = np.concatenate([[True], ~word])  # a name may begin at the text's start or after a border
-        right = np.concatenate([~word, [True]])
-        starts = starts[left[:n]]
-    found = []
+def _hits(texts: list[str], cjk: np.ndarray, lengths: list[int], bit_map: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length) of the substrings that the map has and that stand alone where words have borders; start counts from the first text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    roll, owner = Rolling("".join(texts)), np.repeat(np.arange(len(texts)), sizes)
+    n, first = len(owner), np.concatenate([[0], np.cumsum(sizes)])
+    upto, found = first[owner + 1], []
+
+    def look(at: np.ndarray, size: int | np.ndarray) -> None:
+        slot = roll.slots(at, size)
+        hit = (bit_map[slot >> 6] >> (slot & 63)) & 1 == 1
+        found.append((at[hit], np.broadcast_to(size, len(at))[hit]))
+
+    at = np.flatnonzero(cjk[owner])
     for length in lengths:
-        if length > n:
-            break
-        at = starts[: np.searchsorted(starts, n - length, "right")]
-        if right is not None:
-            at = at[right[at + length]]
-        slot = roll.slots(at, length)
-        at = at[(bit_map[slot >> 6] >> (slot & 63)) & 1 == 1]
-        found.append((at, np.full(len(at), length)))
-    if not found:
-        return starts[:0], starts[:0]
-    at, size = (np.concatenate(x) for x in zip(*found, strict=True))
-    return at, size
+        at = at[at + length <= upto[at]]  # lengths rise
+        look(at, length)
+    # Elsewhere a name may begin after a border and end before one, so the borders behind a start are gone through.
+    word, longest = in_word(roll.points), max(lengths, default=0)
+    open_ = np.ones(n + 1, bool)
+    open_[:n] = ~word
+    open_[first] = True
+    begins = np.ones(n, bool)
+    begins[1:] = ~word[:-1]
+    begins[first[:-1][sizes > 0]] = True
+    borders, at = np.append(np.flatnonzero(open_), n + 1), np.flatnonzero(begins & ~cjk[owner])
+    wanted = np.zeros(longest + 1, bool)
+    wanted[lengths] = True
+    k = np.cumsum(open_)[at]
+    while len(at):
+        size = borders[k] - at
+        keep = (size <= longest) & (borders[k] <= upto[at])
+        at, k, size = at[keep], k[keep] + 1, size[keep]
+        fits = wanted[size]
+        look(at[fits], size[fits])
+    at, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    return owner[at], at, size
+
+
+#: Characters of texts that are looked through at once; a longer text comes alone.
+BLOCK = 1 << 18
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring texts of about BLOCK characters."""
+    begin = total = 0
+    for k, text in enumerate(texts):
+        if k > begin and total + len(text) > BLOCK:
+            yield begin, k
+            begin, total = k, 0
+        total += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def _candidates(lengths: list[int], bit_map, around: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cjk = batch.column("cjk").to_pylist()
-            for i, text in enumerate(pc.fill_null(batch.column("text"), "").to_pylist()):
-                at, size = _hits(text, bool(cjk[i]), lengths, bit_map.value)
+            cjk = batch.column("cjk").to_numpy(zero_copy_only=False).astype(bool)
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            for begin, stop in _blocks(texts):
+                part = texts[begin:stop]
+                row, at, size = _hits(part, cjk[begin:stop], lengths, bit_map.value)
                 if not len(at):
                     continue
-                take = pa.array(np.full(len(at), i))
-                keys = [batch.column(c).take(take) for c in batch.schema.names if c not in ("text", "cjk")]
-                names = pa.array([text[a : a + s] for a, s in zip(at.tolist(), size.tolist(), strict=True)], pa.string())
-                columns = [*keys, pa.array(at.astype(np.int64)), pa.array((at + size).astype(np.int64)), names]
+                at = at - np.concatenate([[0], np.cumsum([len(t) for t in part])])[row]
+                end = at + size
+                keys = [batch.column(c).take(pa.array(row + begin)) for c in batch.schema.names if c not in ("text", "cjk")]
+                places = list(zip(row.tolist(), at.tolist(), end.tolist(), strict=True))
+                names = pa.array([part[r][a:e] for r, a, e in places], pa.string())
+                columns = [*keys, pa.array(at), pa.array(end), names]
                 if around:
-                    columns.append(pa.array([text[max(0, a - around) : a] for a in at.tolist()], pa.string()))
-                    columns.append(pa.array([text[e : e + around] for e in (at + size).tolist()], pa.string()))
+                    columns.append(pa.array([part[r][max(0, a - around) : a] for r, a, _ in places], pa.string()))
+                    columns.append(pa.array([part[r][e : e + around] for r, _, e in places], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*[c for c in batch.schema.names if c not in ("text", "cjk")], "start", "end", "alias", *["before", "after"] * bool(around)])
 
     return run
@@ -175,6 +213,7 @@ def overlap_matches(texts: DataFrame, aliases: DataFrame, id_col: str, text_col:
         base = F.when(F.col("cjk"), "zh").otherwise("")
         names = names.withColumn("alias", match_key(F.col("alias"), F.lit("zh"), variants)).filter("alias <> ''").distinct()
         rows = rows.withColumn("text", match_key(F.col("text"), base, variants))
+    names = settled(names)  # read for the map's bits, for its lengths and for the join
     lengths, bit_map = _map_of(names)
     kind = rows.schema["id"].dataType.simpleString()
     sides = ["before", "after"] if around else []

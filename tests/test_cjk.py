@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,33 @@ def test_pieces_inside_names(spark):
     names = spark.createDataFrame([("克斯尔", 3), ("斯尔特", 5), ("克斯", 9), ("斯", 2)], "name string, count long")
     pieces = spark.createDataFrame([("克斯",), ("斯尔",), ("斯",), ("克斯尔",), ("拉",), ("",), (None,)], "alias string")
     assert {(r.alias, r.most) for r in O.most_inside(names, pieces).collect()} == {("克斯", 3), ("斯尔", 5), ("斯", 9)}
+
+
+def test_names_are_worked_out_once_and_texts_side_by_side(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        seen.add(1)
+        return name
+
+    rows = [(k, t, c) for k, (t, c) in enumerate([("Ada of Rome, ada", False), (None, False), ("", True), ("ada", False), ("xadax", True), ("xadax ", False), (" ada rome", False), ("da of Rome", False)])]
+    texts = spark.createDataFrame(rows, "id long, text string, cjk boolean").coalesce(1)
+    names = spark.createDataFrame([("Ada", 1), ("ada of", 2), ("dax", 3)], "alias string, target_id long").withColumn("alias", F.udf(counted).asNondeterministic()("alias"))
+    for block in (1, 1 << 18):
+        seen.value = 0
+        monkeypatch.setattr(O, "BLOCK", block)
+        found = {(r.id, r.start, r.end, r.target_id) for r in O.overlap_matches(texts, names, "id", "text", F.col("cjk"), folded=True).collect()}
+        assert found == {(0, 0, 3, 1), (0, 13, 16, 1), (0, 0, 6, 2), (3, 0, 3, 1), (4, 1, 4, 1), (4, 2, 5, 3), (6, 1, 4, 1)} and seen.value == 3
+    bits = np.full(1 << (O.MAP_BITS - 6), -1, np.int64)  # every substring may be a name
+    where = [O._hits(part, np.array(cjk), [1, 2, 3, 7], bits) for part, cjk in (([t or "" for _, t, _ in rows], [c for *_, c in rows]), (["", ""], [False, True]))]
+    assert not len(where[1][0])
+    got = {(r, a, s) for r, a, s in zip(*map(np.ndarray.tolist, where[0]))}
+    assert len(got) == len(where[0][0])
+    at, want = 0, set()
+    for k, text, cjk in rows:
+        text = text or ""
+        free = [True, *[not c.isalnum() for c in text], True]
+        for a in range(len(text)):
+            want |= {(k, at + a, s) for s in (1, 2, 3, 7) if a + s <= len(text) and (cjk or (a == 0 or free[a]) and (a + s == len(text) or free[a + s + 1]))}
+        at += len(text)
+    assert got == want
