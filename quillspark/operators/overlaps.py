@@ -1,7 +1,7 @@
 """All dictionary names inside texts, overlapping ones too, without token borders where a language has none.
 
 A text's substrings of every length that a name has are told by rolling hashes; those whose hash is
-not among the dictionary's, in a bit map of fixed size, are passed over where the text lies. What is
+not among the dictionary's, in a bit map of bounded size, are passed over where the text lies. What is
 left meets the dictionary in an equi-join on the string itself, so the map only saves work: the
 result is exact for a dictionary of any size, and no text is shuffled.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.policy import match_key
 from ..session import settled
 
-#: The bit map's size as a power of two: 2 MB.
-MAP_BITS = 24
+#: The bit map's least and largest size as powers of two, 2 and 16 MB, and its bits a name in between: with two bits set a name, about one in 1,000 other strings is in it.
+MAP_BITS, MOST_MAP_BITS, PER_NAME = 24, 27, 64
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -46,9 +46,17 @@ class Rolling:
         self.sums = np.zeros(n + 1, _U)
         np.cumsum(_mixed(self.points.astype(_U) + _U(1)) * np.cumprod(up, dtype=_U)[:-1], out=self.sums[1:], dtype=_U)
 
-    def slots(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        """The map's slot for the substring of that length, one for all or one each, at each start."""
-        return (_mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts] + _U(length)) >> _U(64 - MAP_BITS)).astype(np.int64)
+    def hashes(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        """The hash of the substring of that length, one for all or one each, at each start."""
+        return _mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts] + _U(length))
+
+
+def _listed(hashes: np.ndarray, bit_map: np.ndarray) -> np.ndarray:
+    """The places of the hashes whose two bits, by their upper and lower bits, the map has."""
+    bits = (64 * len(bit_map)).bit_length() - 1
+    has = lambda slot: (bit_map[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63)).astype(np.int64)) & 1 == 1
+    found = np.flatnonzero(has(hashes >> _U(64 - bits)))
+    return found[has(hashes[found] & _U((1 << bits) - 1))]
 
 
 #: Of each code point whether it is part of a word, -1 where that was not looked up yet.
@@ -63,13 +71,12 @@ def in_word(points: np.ndarray) -> np.ndarray:
     return _WORDS[points] == 1
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, bits, length) of the map for names."""
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, length) of names."""
     for batch in batches:
         names = batch.column("alias").to_pylist()
-        slot = np.array([int(Rolling(n).slots(np.zeros(1, np.int64), len(n))[0]) for n in names], np.int64)
-        bits = np.left_shift(np.int64(1), slot & 63)
-        yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(bits), pa.array([len(n) for n in names], pa.int32())], ["word", "bits", "length"])
+        hashes = np.array([int(Rolling(n).hashes(np.zeros(1, np.int64), len(n))[0]) for n in names], _U)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array([len(n) for n in names], pa.int32())], ["hash", "length"])
 
 
 def _hits(texts: list[str], cjk: np.ndarray, lengths: list[int], bit_map: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,8 +87,7 @@ def _hits(texts: list[str], cjk: np.ndarray, lengths: list[int], bit_map: np.nda
     upto, found = first[owner + 1], []
 
     def look(at: np.ndarray, size: int | np.ndarray) -> None:
-        slot = roll.slots(at, size)
-        hit = (bit_map[slot >> 6] >> (slot & 63)) & 1 == 1
+        hit = _listed(roll.hashes(at, size), bit_map)
         found.append((at[hit], np.broadcast_to(size, len(at))[hit]))
 
     at = np.flatnonzero(cjk[owner])
@@ -152,11 +158,13 @@ def _candidates(lengths: list[int], bit_map, around: int):
 
 def _map_of(names: DataFrame) -> tuple[list[int], np.ndarray]:
     """The lengths of names (alias) and their bit map."""
-    slots = names.select("alias").distinct().mapInArrow(_slots, "word long, bits long, length int")
-    bit_map = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for word, bits in slots.groupBy("word").agg(F.bit_or("bits")).collect():  # 2 ** 18 rows at most
-        bit_map[word] = bits
-    return sorted(r[0] for r in slots.select("length").distinct().collect()), bit_map
+    hashes = settled(names.select("alias").distinct().mapInArrow(_hashes, "hash long, length int"))
+    bits = min(MOST_MAP_BITS, max(MAP_BITS, (PER_NAME * hashes.count()).bit_length()))
+    slots = hashes.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()  # 2 ** 21 rows at most
+    bit_map = np.zeros(1 << (bits - 6), np.int64)
+    bit_map[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return sorted(r[0] for r in hashes.select("length").distinct().collect()), bit_map
 
 
 def _inner(lengths: list[int], bit_map):
@@ -171,8 +179,7 @@ def _inner(lengths: list[int], bit_map):
             for length in lengths:
                 at = np.arange(max(0, len(text) - length + 1))
                 at = at[(at + length <= upto[at]) & (sizes[owner[at]] > length)]
-                slot = roll.slots(at, length)
-                at = at[(bit_map.value[slot >> 6] >> (slot & 63)) & 1 == 1]
+                at = at[_listed(roll.hashes(at, length), bit_map.value)]
                 if not len(at):
                     continue
                 most: dict[str, int] = {}

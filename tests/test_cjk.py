@@ -224,3 +224,13 @@ def test_names_are_worked_out_once_and_texts_side_by_side(spark, monkeypatch):
             want |= {(k, at + a, s) for s in (1, 2, 3, 7) if a + s <= len(text) and (cjk or (a == 0 or free[a]) and (a + s == len(text) or free[a + s + 1]))}
         at += len(text)
     assert got == want
+
+
+def test_few_other_strings_are_in_the_map_of_many_names(spark):
+    lengths, bits = O._map_of(spark.range(400_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("alias")).repartition(4))
+    text = "".join(f"m{k:06}" for k in range(200_000))
+    batch = next(O._candidates([7], type("Map", (), {"value": bits}), 0)(iter([O.pa.RecordBatch.from_arrays([O.pa.array([1]), O.pa.array([text]), O.pa.array([True])], ["id", "text", "cjk"])])), None)
+    assert lengths == [2, 3, 4, 5, 6, 7] and (batch is None or batch.num_rows < len(text) / 500)
+    names = "".join(f"n{k}" for k in range(100_000, 110_000))
+    batch = next(O._candidates([7], type("Map", (), {"value": bits}), 0)(iter([O.pa.RecordBatch.from_arrays([O.pa.array([1]), O.pa.array([names]), O.pa.array([True])], ["id", "text", "cjk"])])))
+    assert set(range(0, len(names), 7)) <= set(batch.column("start").to_pylist())
