@@ -62,6 +62,41 @@ def _pairs_left(rows: DataFrame) -> tuple[int, int]:
     return int(pairs or 0), int(members or 0)
 
 
+#: Most members of a block, on average.
+BLOCK = 1024
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(bucket, m, o, main, copies): into how many blocks a bucket's largest component (main) and its other members are dealt, and how many rows meetings() makes of them."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    few = F.col("n") <= BLOCK
+    m, o = (F.when(few, k).otherwise(F.ceil(n / BLOCK)) for k, n in ((0, F.col("most")), (1, F.col("n") - F.col("most"))))
+    copies = F.when(few, F.col("n")).otherwise(F.col("most").cast("double") * F.col("o") + (F.col("n") - F.col("most")).cast("double") * (F.col("m") + F.col("o")))
+    return sizes.withColumns({"m": m.cast("int"), "o": o.cast("int")}).select("bucket", "m", "o", "main", "n", copies.alias("copies"))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """rows with meeting and first, once for each meeting of two blocks of their bucket: all members of different components meet, those of block first in a meeting of two the others, or all of a block one another.
+
+    A bucket of at most BLOCK members is one block. Else its largest component and its other members
+    are dealt into blocks apart, and blocks of the largest component do not meet one another. So a row
+    is copied as often as there are blocks for it to meet, and no meeting holds more than two blocks.
+    """
+    dealt = rows.join(_blocks(rows).drop("n", "copies"), "bucket")
+    inside = (F.col("component") == F.col("main")) & (F.col("m") > 0)
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    block = F.when(inside, deal(F.greatest(F.lit(1), F.col("m")))).otherwise(F.col("m") + deal(F.col("o")))
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.when(inside, F.col("m")).otherwise(0), F.col("m") + F.col("o") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return dealt.select(*rows.columns, (low * (F.col("m") + F.col("o")).cast("long") + high).alias("meeting"), F.when(low == high, None).otherwise(F.col("block") == low).alias("first"))
+
+
+def _copies(rows: DataFrame) -> tuple[int, int]:
+    """How many rows meetings() makes of rows, and how many rows there are."""
+    made, members = _blocks(rows).agg(F.sum("copies"), F.sum("n")).first()
+    return int(made or 0), int(members or 0)
+
+
 def _hub_pairs(rows: DataFrame, turn: int, near: Callable[[Column, Column], Column]) -> DataFrame:
     """Pairs (a, b), a < b, of members outside their bucket's largest component with a few members of it, others each turn."""
     main = rows.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
@@ -73,7 +108,7 @@ def _hub_pairs(rows: DataFrame, turn: int, near: Callable[[Column, Column], Colu
     return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
-def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], known: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut, met_links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) over known links (a, b) and those between members (bucket, id, data) of one bucket.
 
     near(x, y) tells from two members' data whether they can be linked at all; members without a
@@ -84,6 +119,9 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
     component meet a few others of it. At last all near members of different components of a bucket
     meet, so all links count, while pairs inside a component are never made. A bucket is no task's:
     it is summed with partial aggregates and joined back, and a join's large side may be split.
+    With met_links() the last pairs are no rows: members come in the meetings() of blocks, and it
+    returns links (a, b) that connect what is linked. Rows then grow with the square of a bucket's
+    blocks, comparisons still with that of its members.
     keep() cuts the lineage between the turns: checkpoints, or tables of scratch(), whose shuffle
     files go at once; then the result must be cut before they do.
     """
@@ -101,18 +139,22 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
     rows = _apart(rows, labels, keep)
     if rows.isEmpty():
         return labels
-    turn, (left, count) = 0, _pairs_left(rows)
+    measure = _pairs_left if met_links is None else _copies
+    turn, (left, count) = 0, measure(rows)
     while left > FEW * count:
         turn, before = turn + 1, left
         found = keep(linked(_hub_pairs(rows, turn, near)).select("a", "b"))
         # The labels found so far are stars, so few rounds are left.
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), keep)
         rows = _apart(rows.drop("component"), labels, keep)
-        left, count = _pairs_left(rows)
+        left, count = measure(rows)
         if 4 * left > 3 * before:
             break
     if not count:
         return labels
+    if met_links is not None:
+        found = keep(met_links(meetings(rows)).select("a", "b"))
+        return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), keep)
     other = rows.select("bucket", F.col("id").alias("id2"), F.col("data").alias("data2"), F.col("component").alias("component2"))
     met = rows.join(other, "bucket").filter((F.col("component") < F.col("component2")) & near(F.col("data"), F.col("data2")))
     found = keep(linked(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()).select("a", "b"))

@@ -292,12 +292,102 @@ def _common(a: str, b: str) -> int:
     return low
 
 
+def _matrix(texts: list[str]) -> np.ndarray:
+    """(text, place): the texts' code points side by side, filled up with 0."""
+    return np.array(texts, f"U{max(1, max(map(len, texts)))}").view(np.uint32).reshape(len(texts), -1)
+
+
+def within(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the Levenshtein distance of each pair of texts, the left one no shorter, is at most most, which is below 64 and at least the difference of their lengths.
+
+    Myers's bit vectors along a band (Hyyro), for all pairs side by side: a path of cost most that ends
+    n - m rows off the diagonal leaves no more than most + 1 diagonals, so one word of 64 bits has them
+    for texts of any length. Rows below the last match nothing; what they add is taken off at the end.
+    """
+    p, one, top = len(left), _U(1), _U(63)
+    n, m = (np.fromiter(map(len, texts), np.int64, p) for texts in (left, right))
+    x, y = _matrix(left), _matrix(right)
+    seen = np.zeros(int(max(x.max(), y.max())) + 1, bool)
+    seen[x], seen[y] = True, True
+    code = np.cumsum(seen) - 1
+    # Row r's bit lies where column r - ahead has its last one, so all pairs look at the same places.
+    ahead = (n - m) + (most - (n - m)) // 2
+    where = np.zeros((int((n + 63 - ahead).max()) // 64 + max(int(m.max()) // 64 + 2, 2), int(code[-1] + 1) * p), _U)
+    row = np.repeat(np.arange(p), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    spot = at + (63 - ahead)[row]
+    np.add.at(where.reshape(-1), (spot >> 6) * where.shape[1] + code[x[row, at]] * p + row, one << (spot & 63).astype(_U))
+    base = np.ascontiguousarray(code[y].T) * p + np.arange(p)
+    live, last, out = np.arange(p), m, np.zeros(p, bool)
+    more, less, saved, slack = ~_U(0) << (63 - ahead).astype(_U), np.zeros(p, _U), np.zeros(p, _U), most + ahead - (n - m) - ahead
+    for j in range(int(m.max()) + 1):
+        done = last == j
+        if done.any():
+            now = live[done]
+            below = (one << top) - (one << (63 - (ahead - n + m)[now]).astype(_U))
+            rest = np.bitwise_count(more[done] & below).astype(np.int64) - np.bitwise_count(less[done] & below)
+            out[now] = ahead[now] + j - saved[done].astype(np.int64) - rest <= most[now]
+        if j % 32 == 0 or done.all():  # pairs that are through, or too far apart already
+            keep = (last > j) & (j - saved.astype(np.int64) <= slack)
+            if 4 * np.count_nonzero(keep) < 3 * len(keep):
+                live, last, base, more, less, saved, slack = live[keep], last[keep], base[:, keep], more[keep], less[keep], saved[keep], slack[keep]
+        if not len(live):
+            break
+        if j == len(base):
+            break
+        low, slot = _U(j & 63), base[j]
+        eq = where[j >> 6][slot] >> low
+        if low:
+            eq |= where[(j >> 6) + 1][slot] << (_U(64) - low)
+        down = (((eq & more) + more) ^ more) | eq | less
+        plus, minus = less | ~(down | more), down & more
+        saved += down >> top
+        down >>= one
+        more, less = minus | ~(down | plus), down & plus
+    return out
+
+
+def _in_band(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """alike() for pairs whose bound is below 64: what lies between the common ends, for many pairs side by side."""
+    n, m = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (left, right))
+    most = np.floor((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    keep, open_ = np.zeros(len(n), bool), []
+    order = np.flatnonzero(np.abs(n - m) <= most)
+    order = order[np.argsort(np.maximum(n, m)[order], kind="stable")]
+    while len(order):
+        size = 4 * int(max(n[order[-1]], m[order[-1]]) + 1)
+        part, order = order[-max(1, MANY // size) :], order[: -max(1, MANY // size)]
+        a, b = [left[k] for k in part], [right[k] for k in part]
+        least, ends = np.minimum(n[part], m[part]), []
+        for x, y in ((a, b), ([t[::-1] for t in a], [t[::-1] for t in b])):
+            x, y = _matrix(x), _matrix(y)
+            width = min(x.shape[1], y.shape[1])
+            ends.append(np.minimum(least, np.argmax(np.pad(x[:, :width] != y[:, :width], ((0, 0), (0, 1)), constant_values=True), axis=1)))
+        head, tail = ends[0], np.minimum(least - ends[0], ends[1])
+        near = np.maximum(n[part], m[part]) - head - tail <= most[part]
+        keep[part[near]] = True
+        for k in np.flatnonzero(~near).tolist():
+            x, y = a[k][head[k] : len(a[k]) - tail[k]], b[k][head[k] : len(b[k]) - tail[k]]
+            open_.append((part[k], x, y) if len(x) >= len(y) else (part[k], y, x))
+    open_.sort(key=lambda r: len(r[2]))
+    kinds = len(set().union(*[x + y for _, x, y in open_]))
+    while open_:
+        size = 8 * (kinds + 64) * (len(open_[-1][1]) // 64 + len(open_[-1][2]) // 64 + 4)
+        part, open_ = open_[-max(1, 4 * MANY // size) :], open_[: -max(1, 4 * MANY // size)]
+        ids, x, y = zip(*part, strict=True)
+        keep[list(ids)] = within(x, y, most[list(ids)])
+    return keep
+
+
 def alike(left: list[str], right: list[str], similarity: float) -> np.ndarray:
-    """Whether each pair's edit similarity is high enough: by cheap bounds, then by the distance of what lies between the common ends."""
+    """Whether each pair's edit similarity is high enough: along a band for many pairs at once; pairs of longer texts by cheap bounds, then by the distance of what lies between the common ends."""
     keep, open_ = np.zeros(len(left), bool), []
-    for k, (a, b) in enumerate(zip(left, right, strict=True)):
-        most = (1 - similarity) * max(len(a), len(b)) + 1e-9
-        if abs(len(a) - len(b)) > most:
+    bounds = [(1 - similarity) * max(len(a), len(b)) + 1e-9 for a, b in zip(left, right, strict=True)]
+    if band := [k for k, most in enumerate(bounds) if most < 64]:
+        keep[band] = _in_band([left[k] for k in band], [right[k] for k in band], similarity)
+    for k, most in enumerate(bounds):
+        a, b = left[k], right[k]
+        if most < 64 or abs(len(a) - len(b)) > most:
             continue
         head = _common(a, b)
         a, b = a[head:], b[head:]
@@ -335,6 +425,118 @@ def _alike(similarity: float):
     return run
 
 
+def block_keys_of(sims: np.ndarray, width: int) -> np.ndarray:
+    """(line, key): block_keys() of SimHashes (line, half)."""
+    n = 64 // width
+    parts = (sims.view(_U)[:, :, None] >> (np.arange(n, dtype=_U) * _U(width))) & _U((1 << width) - 1)
+    keys = np.zeros((len(sims), 2, n), _U)
+    keys |= np.arange(2 * n, dtype=_U).reshape(2, n)
+    for step in (0, 1, 3):
+        keys = keys << _U(width) | parts[:, :, (np.arange(n) + step) % n]
+    return keys.reshape(-1, 2 * n)
+
+
+class _Groups:
+    """Which of some components have become one."""
+
+    def __init__(self, components: np.ndarray):
+        kinds, self.own = np.unique(components, return_inverse=True)
+        self.parent = list(range(len(kinds)))
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = k = self.parent[self.parent[k]]
+        return k
+
+    def roots(self) -> np.ndarray:
+        """Each member's component by now."""
+        return np.array([self.root(k) for k in range(len(self.parent))])[self.own]
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether members i and j were apart until now."""
+        a, b = self.root(int(self.own[i])), self.root(int(self.own[j]))
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _met(most_bits: int, apart: int, similarity: float, width: int):
+    """Links that connect what is linked in meetings, which come in order and are no rows each of another task's."""
+
+    def near_pairs(t: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, chars, first = t["data"].view(_U) >> _U(8), t["data"] & 255, t["first"]
+        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        left = np.arange(len(group))
+        for d in range(1, len(group)):
+            left = left[: np.searchsorted(left, len(group) - d)]
+            left = left[group[left + d] == group[left]]
+            if not len(left):
+                break
+            to = left + d
+            ok = (t["component"][left] != t["component"][to]) & ((first[left] < 0) | (first[left] != first[to]))
+            ok &= (np.bitwise_count(data[left] ^ data[to]) <= most_bits) & (np.abs(chars[left] - chars[to]) <= apart)
+            x.append(left[ok])
+            y.append(to[ok])
+        return np.concatenate(x), np.concatenate(y)
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        t = {c: rows.column(c).to_numpy() for c in ("bucket", "meeting", "id", "component", "data", "sim", "sim2", "size")}
+        t["first"] = rows.column("first").cast(pa.int8()).fill_null(-1).to_numpy()
+        group = np.cumsum(np.concatenate(([0], (t["bucket"][1:] != t["bucket"][:-1]) | (t["meeting"][1:] != t["meeting"][:-1]))))
+        x, y = near_pairs(t, group)
+        sims = np.stack([t["sim"], t["sim2"]], axis=1)
+        keys, n = block_keys_of(sims, width), 64 // width
+        counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, 32)
+        chosen = []
+        for at in range(0, len(x), 1 << 16):
+            i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+            # A pair that is near in an earlier bucket, too, is that one's.
+            bits = np.bitwise_count((sims[i] ^ sims[j]).view(_U) >> _U(8))
+            shared = (keys[i] == keys[j]) & np.repeat((bits[:, ::-1] <= most_bits) & (bits[:, ::-1] > 0), n, axis=1)
+            first = np.where(shared.any(axis=1), keys[i, np.argmax(shared, axis=1)].view(np.int64), t["bucket"][i])
+            most, differ = (1 - similarity) * np.maximum(t["size"][i], t["size"][j]) + 1e-9, np.abs(t["size"][i] - t["size"][j])
+            ok = (first == t["bucket"][i]) & (differ <= most) & (np.abs(counts[i] - counts[j]).sum(axis=1) + differ <= 2 * most)
+            chosen.append((i[ok], j[ok], bits[ok].sum(axis=1)))
+        i, j, bits = (np.concatenate(c) for c in zip(*chosen, strict=True)) if chosen else (x, y, x)
+        order = np.argsort(bits, kind="stable")
+        i, j = i[order], j[order]
+        groups, texts, found = _Groups(t["component"]), rows.column("text"), []
+        while len(i):
+            # Pairs that other links have joined by now need no look.
+            roots = groups.roots()
+            apart_ = roots[i] != roots[j]
+            i, j = i[apart_], j[apart_]
+            a, b, i, j = i[:MEET], j[:MEET], i[MEET:], j[MEET:]
+            if len(a):
+                linked = alike(texts.take(a).to_pylist(), texts.take(b).to_pylist(), similarity)
+                found += [(p, q) for p, q in zip(a[linked].tolist(), b[linked].tolist(), strict=True) if groups.join(p, q)]
+        p, q = (t["id"][[f[k] for f in found]] if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < MEET:
+                continue
+            rows = pa.Table.from_batches(held)
+            # The last meeting may go on in the next batch.
+            bucket, meeting = rows.column("bucket").to_numpy(), rows.column("meeting").to_numpy()
+            whole = int(np.argmax((bucket == bucket[-1]) & (meeting == meeting[-1])))
+            if whole:
+                yield settle(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    return run
+
+
+#: Pairs of meetings that are compared at once, and rows that are gathered for that.
+MEET = 4096
+
+
 def signature(sim: Column, chars: Column) -> Column:
     """56 bits of a half of a SimHash, and the class of the line's length in place of the last byte."""
     length = F.least(F.lit(255), F.floor(F.log(chars) / float(np.log(CLASS)))).cast("long")
@@ -375,7 +577,7 @@ def _spot(did, th, line, bits: int = MAP_BITS):
 
 
 def _texts_of(wanted: DataFrame, placed: DataFrame) -> DataFrame:
-    """(id, text, size, counts) of the wanted lines (did, th, line, id), normalised, with length and letter_counts(): a map of fixed size picks them out of the texts, and a join decides."""
+    """(id, sim, sim2, text, size, counts) of the wanted lines (did, th, line, id, sim, sim2), normalised, with length and letter_counts(): a map of fixed size picks them out of the texts, and a join decides."""
     spark = wanted.sparkSession
     spot = _spot(F.col("did"), F.col("th"), F.col("line"))
     found = wanted.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
@@ -401,7 +603,7 @@ def _texts_of(wanted: DataFrame, placed: DataFrame) -> DataFrame:
     lines = placed.mapInArrow(picked, "did long, th long, line int, text string, size int, counts array<int>")
     # Rows of equal id and text have the same lines.
     once = lines.groupBy("did", "th", "line").agg(*[F.first(c).alias(c) for c in ("text", "size", "counts")])
-    return once.join(wanted, ["did", "th", "line"]).select("id", "text", "size", "counts")
+    return once.join(wanted, ["did", "th", "line"]).select("id", "sim", "sim2", "text", "size", "counts")
 
 
 def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int = MOST_BITS, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -448,8 +650,11 @@ def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int
         owners = long.select("id", F.explode(F.array("sig", "sig2")).alias("sig"))
         members = written(shared.join(owners, "sig").select("bucket", "id", F.col("sig").alias("data")))
 
+        texts = None
+
         def prepare(ids: DataFrame):
-            texts = written(_texts_of(lines.join(ids, "id").select("first.did", "first.th", "first.line", "id"), placed))
+            nonlocal texts
+            texts = written(_texts_of(lines.join(ids, "id").select("first.did", "first.th", "first.line", "id", "sim", "sim2"), placed))
             a, b = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"), F.struct("size", "counts").alias(f"sketch_{k}")) for k in "ab")
 
             def linked(pairs: DataFrame) -> DataFrame:
@@ -460,7 +665,13 @@ def drop_fuzzy_lines(docs: DataFrame, min_chars: int = MIN_CHARS, most_bits: int
 
             return linked
 
-        labels = linked_components(members, near, prepare, spark.createDataFrame([], "a long, b long"), written)
+        def met_links(rows: DataFrame) -> DataFrame:
+            # A meeting is one task's, and of bounded size.
+            met = rows.join(texts, "id").repartition("bucket", "meeting").sortWithinPartitions("bucket", "meeting")
+            return met.mapInArrow(_met(most_bits, apart, similarity, width), "a long, b long").distinct()
+
+        none = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+        labels = linked_components(members, near, prepare, none, written, met_links)
         # Only lines that occur again or are linked have a winner to lose to.
         group = lines.select("id", "first", "n").join(labels, "id", "left").filter("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
         winners = group.groupBy("component").agg(F.min("first").alias("best"))

@@ -422,3 +422,84 @@ def test_pairs_out_of_reach_of_the_edit_similarity_are_not_made(spark):
     assert got == {(i, j) for i, j in pairs if reach(texts[i], texts[j])}
     similar = {(i, j) for i, j in pairs if fuzzy_lines.distance(texts[i], texts[j]) <= 0.1 * max(len(texts[i]), len(texts[j])) + 1e-9}
     assert similar and similar <= got and len(got) < len(pairs)
+
+
+def test_members_of_a_bucket_meet_in_blocks_not_in_pairs(spark, monkeypatch):
+    """One bucket of 300 lines of which few are linked: every two components meet once, and the pairs are no rows."""
+    from quillspark.llm import components
+
+    monkeypatch.setattr(components, "BLOCK", 40)
+    component = lambda k: 0 if k < 90 else k - k % 2
+    rows = spark.createDataFrame([(7, k, k, component(k)) for k in range(300)] + [(8, k, k, k) for k in range(5)], "bucket long, id long, data long, component long")
+    met = {}
+    for r in components.meetings(rows).collect():
+        met.setdefault((r.bucket, r.meeting), []).append(r)
+    made = sum(map(len, met.values()))
+    assert made == components._copies(rows)[0] and made <= 300 * 10 + 5
+    times = Counter()
+    for (bucket, _), group in met.items():
+        assert len(group) <= 4 * 40
+        for x in group:
+            for y in group:
+                if x.id < y.id and x.component != y.component and (x.first is None or x.first != y.first):
+                    times[bucket, x.id, y.id] += 1
+    apart = [(7, x, y) for y in range(300) for x in range(y) if component(x) != component(y)] + [(8, x, y) for y in range(5) for x in range(y)]
+    assert times == Counter(apart)
+
+    asked = []
+
+    def prepare(_):
+        def linked(pairs):
+            asked.append(pairs.count())
+            return pairs.filter("(b - a) % 100 = 0")
+
+        return linked
+
+    def met_links(meetings):
+        ids = meetings.select("bucket", "meeting", F.col("id").alias("a")).join(meetings.select("bucket", "meeting", F.col("id").alias("b")), ["bucket", "meeting"])
+        return ids.filter("a < b and (b - a) % 100 = 0").select("a", "b").distinct()
+
+    none = spark.range(0).selectExpr("id as a", "id as b")
+    got = components.linked_components(rows.filter("bucket = 7").drop("component"), lambda x, y: F.lit(True), prepare, none, met_links=met_links)
+    assert {r.id: r.component for r in got.collect()} == {k: k % 100 for k in range(300)}
+    assert sum(asked) <= 5 * 300  # 44,550 pairs
+
+
+def test_lines_of_one_passage_with_other_heads_are_linked_as_by_brute_force(spark, monkeypatch):
+    """A passage under many heads: near lines, most of them not similar, that meet in several small blocks."""
+    from quillspark.llm import components
+
+    monkeypatch.setattr(components, "BLOCK", 6)
+    monkeypatch.setattr(fuzzy_lines, "MEET", 16)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9)))
+    passage = [word() for _ in range(45)]
+    heads = [[word() for _ in range(6)] for _ in range(30)]
+    lines = [" ".join([*rnd.choice(heads)[: rnd.randint(3, 6)], *passage[: rnd.randint(43, 45)]]) for _ in range(120)]
+    rows = [(k, line) for k, line in enumerate(lines)]
+    got = Counter((r.doc_id, r.text, r.n_lines) for r in fuzzy_lines.drop_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == groups_of_lines(rows)
+
+
+def test_distances_along_a_band():
+    rnd = random.Random(3)
+    for similarity in (0.0, 0.5, 0.9, 1.0):
+        left, right = [], []
+        for _ in range(400):
+            letters = rnd.choice(("ab", "abcdefgh ", "a漢é😀\0b"))
+            a = [rnd.choice(letters) for _ in range(rnd.choice((0, 1, 10, 63, 64, 65, 128, 300)))]
+            b = list(a)
+            for _ in range(rnd.randint(0, int(2.2 * (1 - similarity) * len(a)) + 2)):
+                at = rnd.randint(0, len(b))
+                b[at : at + rnd.randint(0, 1)] = rnd.choice(letters) * rnd.randint(0, 1)
+            left.append("".join(a))
+            right.append("".join(b))
+        want = [fuzzy_lines.distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9 for a, b in zip(left, right, strict=True)]
+        assert fuzzy_lines.alike(left, right, similarity).tolist() == want
+
+
+def test_block_keys_in_numpy_are_those_of_spark(spark):
+    sims = np.random.default_rng(1).integers(-(2**63), 2**63, (50, 2))
+    df = spark.createDataFrame([tuple(map(int, s)) for s in sims], "sim long, sim2 long").select("sim", "sim2", fuzzy_lines.block_keys(F.col("sim"), F.col("sim2")).alias("keys"))
+    for r in df.collect():
+        assert fuzzy_lines.block_keys_of(np.array([[r.sim, r.sim2]]), 7).tolist() == [r["keys"]]
