@@ -36,8 +36,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of all substrings of a text, from its code points."""
 
-    def __init__(self, text: str):
-        self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def __init__(self, text: str | np.ndarray):
+        self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(text, str) else text
         n = len(self.points)
         up = np.full(n + 1, _BASE)
         down = np.full(n + 1, _INVERSE)

@@ -410,7 +410,10 @@ def canonical_candidates(surfaces: DataFrame, present: DataFrame, canonical: Dat
     if isinstance(present, DataFrame):
         held = present.join(canonical, "surface").select("canonical", "id").distinct().groupBy("canonical").agg(F.count("*").alias("blocks"))
     else:
-        held = present.held(canonical)
+        # A surface that stands for itself alone is held by the blocks that were counted; the texts are looked at for the others.
+        sized = settled(canonical.join(canonical.groupBy("canonical").agg(F.count("*").alias("members")), "canonical"))
+        lone = surfaces.join(sized.filter("members = 1"), "surface").select("canonical", "blocks")
+        held = lone.unionByName(present.held(sized.filter("members > 1").select("surface", "canonical")))
     s = F.struct((F.col("surface") != F.col("canonical")).alias("other"), (-F.col("score")).alias("score"), (-F.length("surface")).alias("size"), "surface")
     grouped = surfaces.join(canonical, "surface").groupBy("canonical").agg(F.sum("n").alias("n"), (F.max("score") + (F.count("*") - 1) * 0.1).alias("score"), F.transform(F.array_sort(F.collect_list(s)), lambda x: x["surface"]).alias("surfaces"))
     return grouped.join(held, "canonical").filter(F.col("blocks") >= least_blocks).select("canonical", (F.col("blocks") + F.least(F.floor(F.col("n") / 2), F.col("blocks"))).alias("importance"), "blocks", "n", "score", "surfaces")

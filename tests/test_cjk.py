@@ -234,3 +234,91 @@ def test_few_other_strings_are_in_the_map_of_many_names(spark):
     names = "".join(f"n{k}" for k in range(100_000, 110_000))
     batch = next(O._candidates([7], type("Map", (), {"value": bits}), 0)(iter([O.pa.RecordBatch.from_arrays([O.pa.array([1]), O.pa.array([names]), O.pa.array([True])], ["id", "text", "cjk"])])))
     assert set(range(0, len(names), 7)) <= set(batch.column("start").to_pylist())
+
+
+def test_pairs_and_split_names_in_one_look(spark):
+    """What the expression of split_names() finds, and pairs, from one look at the texts; letters are written as others or left out there."""
+    import random
+
+    from quillspark.operators import zh_growth as W
+
+    draw = random.Random(4)
+    rules = Z.NameRules(singles="王李司", compounds=("司马", "大城", "欧阳锋"), common=("王大", "李大城", "司马王李", "马大"))
+    rows = ["".join(draw.choice("aebfdc x.") for _ in range(draw.randrange(60))) for _ in range(300)] + [None, ""]
+    letters = {"a": "王", "b": "李", "c": "司", "d": "马", "e": "大", "f": "城", " ": "", ".": "。"}
+    texts = spark.createDataFrame([(t,) for t in rows], "text string")
+    plain = texts.select(W.written(F.col("text"), letters).alias("text"))
+    got = [(r.name, r.split, r["count"]) for r in W.name_counts(texts, "text", rules, letters).collect()]
+    assert {(n, c) for n, split, c in got if split and c >= 2} == {(r.name, r["count"]) for r in Z.split_names(plain, "text", rules).collect()}
+    pairs = Z.zh_tokens(plain.withColumn("id", F.lit(1)), "id", "text").filter("length(token) = 2").groupBy("token").agg(F.count("*").alias("count"))
+    assert {(n, c) for n, split, c in got if not split} == {(r.token, r["count"]) for r in pairs.collect()} and len({n for n, *_ in got}) > 30
+
+
+def test_growth_cuts_and_writes_texts_where_they_lie(spark, monkeypatch):
+    """Texts go to the tasks as they are; their blocks' counts equal those of the rows, also of texts that share an id, of more parts than one and of counts given out early."""
+    import random
+
+    from quillspark.operators import zh_growth as W
+
+    draw = random.Random(5)
+    letters = {"a": "王", "b": "小", "c": "明", "d": "的", "e": "克", "f": "斯", " ": "", ".": "。"}
+    rows = [(k % 40, "".join(draw.choice("aabbccdef .x") for _ in range(draw.randrange(90)))) for k in range(45)] + [(90, None), (91, "abc" * 30)]
+    texts = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    seeds = spark.createDataFrame([(n,) for n in ("王小", "小明", "王小明", "克斯", "明的", "小")], "name string")
+    occurrences = Z.grown_occurrences(W.cut(texts.withColumn("text", W.written(F.col("text"), letters)), 7), seeds, RULES)
+    growth = W.Growth(texts, seeds, RULES, 7, letters)
+    rows_of = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    for mine, its in zip(growth.sides(), Z.surface_sides(occurrences), strict=True):
+        assert rows_of(mine) == rows_of(its)
+    present = occurrences.select("surface", "id").distinct()
+    names = [r.surface for r in present.select("surface").distinct().collect()]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a != b and a in b], "short string, long string")
+    assert rows_of(growth.both(pairs)) == rows_of(Z._overlaps(pairs, present))
+    assert "translate" not in growth.alone.mapInArrow(W._counted(growth.seeds, growth.form), "surface string, side string, c string, seed boolean, n long, any long, own long")._jdf.queryExecution().executedPlan().toString()
+
+    def counted():
+        batch = W.pa.record_batch([W.pa.array([t for _, t in rows], W.pa.string())], ["text"])
+        found = W.pa.Table.from_batches(list(W._counted(growth.seeds, growth.form)(iter([batch]))))
+        return sorted(map(tuple, (r.values() for r in found.group_by(["surface", "side", "c", "seed"]).aggregate([(k, "sum") for k in ("n", "any", "own")]).to_pylist())), key=repr), found.num_rows
+
+    whole, n = counted()
+    monkeypatch.setattr(W, "PART", 20)
+    parts, m = counted()
+    assert whole == parts and n == m  # a task's parts are put together
+    monkeypatch.setattr(W, "HELD", 64)
+    early, k = counted()
+    assert whole == early and k > n
+
+
+def test_seeds_that_share_a_slot_are_told_apart(spark, monkeypatch):
+    """Many seeds with the same upper bits of their hashes."""
+    from quillspark.operators import zh_growth as W
+
+    names = [a + b for a in "王小明克斯" for b in "王小明克斯尔"]
+    seeds = spark.createDataFrame([(n,) for n in names], "name string")
+    blocks = spark.createDataFrame([(1, "王小明克斯尔王王小斯明"), (2, "克小斯王尔明")], "id long, text string")
+    its = Z.surface_sides(Z.grown_occurrences(blocks, seeds, RULES))[1]
+    monkeypatch.setattr(W, "SEED_BITS", 2)
+    growth = W.Growth(blocks, seeds, RULES)
+    assert growth.seeds.value.depth > 3
+    batch = W.pa.record_batch([W.pa.array(["王小明克斯尔王王小斯明", "克小斯王尔明"])], ["text"])
+    found = next(W._counted(growth.seeds, growth.form)(iter([batch]))).to_pylist()
+    got = {r["surface"] for r in found if r["side"] is None and (r["own"] or r["any"])}
+    assert {r.surface for r in its.collect()} <= got and set(names) & got == {n for n in names if any(n in t for t in ("王小明克斯尔王王小斯明", "克小斯王尔明"))}
+
+
+def test_surfaces_alone_are_not_looked_for_again(spark):
+    """A name with one surface has that surface's blocks; the texts are looked at for the others only."""
+    rows = [("李星", 12, 10, 8.0), ("李星河", 11, 9, 12.0), ("风铃", 5, 4, 4.0)]
+    surfaces = spark.createDataFrame(rows, "surface string, n long, blocks long, score double")
+    canonical = spark.createDataFrame([("李星", "李星河"), ("李星河", "李星河"), ("风铃", "风铃")], "surface string, canonical string")
+    asked = []
+
+    class Present:
+        def held(self, names):
+            asked.extend(map(tuple, names.collect()))
+            return names.groupBy("canonical").agg(F.lit(11).cast("long").alias("blocks"))
+
+    best = {r.canonical: r for r in Z.canonical_candidates(surfaces, Present(), canonical).collect()}
+    assert sorted(asked) == [("李星", "李星河"), ("李星河", "李星河")]
+    assert (best["李星河"].blocks, best["风铃"].blocks, best["风铃"].importance) == (11, 4, 6)
