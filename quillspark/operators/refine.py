@@ -56,12 +56,22 @@ def prefix_shadows(importance: DataFrame, rules: NameRules) -> DataFrame:
     return best.filter((F.col("its") / F.col("importance") >= SHADOW_RATIO) & (F.col("second") / F.col("its") < SHADOW_SECOND)).select("name", "long")
 
 
-def candidate_scores(importance: DataFrame, pairs: DataFrame, value: Column, shadows: DataFrame) -> DataFrame:
-    """(name, importance, degree, association, score, shadowed): 18 ln(1 + importance) + 14 times the strongest association, the surface's value, less for shadowed names."""
+def strongest(importance: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(name, degree, association): how many names stand beside each of importance, and the most that one of them is associated with it."""
     live = importance.filter("importance > 0")
     sides = [pairs.filter("count > 0").select(F.col(a).alias("name"), F.col(b).alias("other"), "count") for a, b in (("left", "right"), ("right", "left"))]
     ends = sides[0].unionByName(sides[1]).join(live.select("name", F.col("importance").alias("i")), "name").join(live.select(F.col("name").alias("other"), F.col("importance").alias("j")), "other")
-    strongest = ends.groupBy("name").agg(F.count("*").alias("degree"), F.max(F.col("count") / F.sqrt(F.col("i") * F.col("j"))).alias("association"))
+    return ends.groupBy("name").agg(F.count("*").alias("degree"), F.max(F.col("count") / F.sqrt(F.col("i") * F.col("j"))).alias("association"))
+
+
+def candidate_scores(importance: DataFrame, pairs: DataFrame, value: Column, shadows: DataFrame) -> DataFrame:
+    """The scores() of names with pairs (left, right, count) of them."""
+    return scores(importance, strongest(importance, pairs), value, shadows)
+
+
+def scores(importance: DataFrame, strongest: DataFrame, value: Column, shadows: DataFrame) -> DataFrame:
+    """(name, importance, degree, association, score, shadowed): 18 ln(1 + importance) + 14 times the strongest association, the surface's value, less for shadowed names."""
+    live = importance.filter("importance > 0")
     rows = live.join(strongest, "name", "left").join(shadows.select("name", F.lit(True).alias("shadowed")), "name", "left")
     rows = rows.withColumns({"degree": F.coalesce("degree", F.lit(0)), "association": F.coalesce("association", F.lit(0.0)), "shadowed": F.coalesce("shadowed", F.lit(False))})
     score = F.log1p("importance") * IMPORTANCE_WEIGHT + F.col("association") * ASSOCIATION_WEIGHT + value - F.when(F.col("shadowed"), SHADOW_PENALTY).otherwise(0.0)

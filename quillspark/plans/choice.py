@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import beside as B
 from ..operators import candidates as C
 from ..operators import evidence as V
 from ..operators import match as M
 from ..operators import refine as R
 from ..session import settled
-from .cjk import _HAN_SQL, _T, RULES, _person, han
+from .cjk import _HAN_SQL, _T, _WRITTEN, RULES, _person, han
 from .discovery import _TOK, common, docs
 from .registry import query
 
@@ -31,10 +32,10 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return settled(beside.groupBy(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).agg(F.sum("count").alias("count")))
 
 
-def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    importance, pairs = _importance(spark, d), _pairs(spark, d)
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    importance = _importance(spark, d)
     value = R.surface_value(F.col("name"), RULES, _SUFFIXES, _BACKDROP)
-    return settled(R.candidate_scores(importance, pairs, value, R.prefix_shadows(importance, RULES))), pairs
+    return settled(R.scores(importance, B.strongest(docs(spark, d), "text", importance, _WRITTEN), value, R.prefix_shadows(importance, RULES)))
 
 
 _BASE = _TOK + f""", imp as (select * from (select {_H.format('name')} as name, cast(sum(count) as bigint) as importance from cnt group by 1) where name <> '' and importance >= 3),
@@ -59,19 +60,18 @@ def prefix_shadows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_BASE + "select name, importance, degree, round(association, 6) as association, round(score, 6) as score, shadowed from scr")
 def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)[0].withColumns({"association": F.round("association", 6), "score": F.round("score", 6)})
+    return _scored(spark, d).withColumns({"association": F.round("association", 6), "score": F.round("score", 6)})
 
 
 @query(_BASE + "select name, importance, round(score, 6) as score, place from sel")
 def refinement_shortlist(spark: SparkSession, d: str) -> DataFrame:
     """512 names: three quarters by score, a quarter by importance, then the rest."""
-    return R.tiered(_scored(spark, d)[0], NAMES).withColumns({"score": F.round("score", 6), "place": F.col("place").cast("long")})
+    return R.tiered(_scored(spark, d), NAMES).withColumns({"score": F.round("score", 6), "place": F.col("place").cast("long")})
 
 
 @query(_BASE + f"""select "left", "right", count, round(count * (1 + count / sqrt(a.importance * b.importance)) + least(a.score, b.score) * 0.35::double, 6) as score from prs join sel a on a.name = "left" join sel b on b.name = "right" order by score desc, count desc, "left", "right" limit {PAIRS}""")
 def refinement_pairs(spark: SparkSession, d: str) -> DataFrame:
-    scored, pairs = _scored(spark, d)
-    return R.ranked_pairs(pairs, R.tiered(scored, NAMES), PAIRS).withColumn("score", F.round("score", 6))
+    return R.ranked_pairs(_pairs(spark, d), R.tiered(_scored(spark, d), NAMES), PAIRS).withColumn("score", F.round("score", 6))
 
 
 _SEGS = """with sg as (select doc_id as chapter_id, doc_id * 10000000 + k as segment_id, k as ordinal, k * 500 as s, least((k + 1) * 500, length(text)) as e from documents, unnest(range(0, (length(text) + 499) // 500)) t(k)),

@@ -79,3 +79,51 @@ def test_handles_open_each_character_once(spark):
     assert got == {("r", 1, 18, 44): (text[18:44], ["range::1::38::41", "segment::12", "segment::13"]), ("r", 1, 68, 78): (text[68:78], ["range::1::70::75"]), ("r", 2, 0, 5): ("short", ["range::2::0::99"]), ("s", 2, 0, 5): ("short", ["segment::20"])}
     near = {r.handle: (r.start, r.end) for r in V.resolved(asked.filter("handle = 'segment::12' or handle = 'segment::20'"), segments, 1).collect()}
     assert near == {"segment::12": (10, 40), "segment::20": (0, 5)}
+
+
+def test_strengths_by_numbers_equal_the_joins(spark, monkeypatch):
+    """Names side by side in texts, as numbers: degrees and associations are those of the joins on strings, which lists beyond MOST still take; no string is shuffled."""
+    import random
+
+    from quillspark.operators import beside as B
+    from quillspark.operators import match as M
+    from quillspark.operators.zh_growth import written
+
+    draw = random.Random(3)
+    words = ["ab", "Ab", "abc", "cd", "xyz", "(cd)", "--", "a.b", "the", "q"]
+    letters = {"a": "王", "A": "王", "b": "李", "c": "张", "d": "马", "x": "", "y": "", "z": "", ".": "。"}
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(30))) for _ in range(60)] + [None, "", "ab", "ab Ab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    importance = spark.createDataFrame([("王李", 40), ("王李张", 9), ("张马", 31), ("王。李", 7), ("q", 0), ("马", 5), ("", 4)], "name string, importance long")
+    beside = M.neighbour_counts(rows, "text").select(written(F.col("a"), letters).alias("a"), written(F.col("b"), letters).alias("b"), "count").filter("a <> b and a <> '' and b <> ''")
+    pairs = beside.groupBy(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).agg(F.sum("count").alias("count"))
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    want = rows_of(R.strongest(importance, pairs))
+    got = B.strongest(rows, "text", importance, letters)
+    assert rows_of(got) == want and len(want) == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and "left" not in plan and rows_of(B.strongest(rows, "text", importance.filter("name = '马'"), letters)) == []
+    monkeypatch.setattr(B, "MOST", 1)
+    assert rows_of(B.strongest(rows, "text", importance, letters)) == want
+
+
+def test_pairs_are_put_together_in_parts(monkeypatch):
+    """However few pairs a task holds at once, the counts are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.operators import beside as B
+
+    words = ["ab", "cd", "ef", "gh"]
+    h = np.sort(np.array([B._hash(w) for w in words]))
+    names = type("Names", (), {"value": (h, np.array([4, 9, 16, 25]))})
+    batches = [pa.record_batch([pa.array(["ab cd ef ab cd", "gh x ab cd", None])], ["text"])] * 3
+
+    def all_of():
+        pairs = pa.Table.from_batches(list(B._numbered(names, None)(iter(batches)))).group_by("key").aggregate([("n", "sum")])
+        ends = pa.Table.from_batches(list(B._strengths(names)(pairs.select(["key", "n_sum"]).rename_columns(["key", "n"]).to_batches(max_chunksize=1))))
+        return sorted(map(tuple, (r.values() for r in ends.group_by("h").aggregate([("degree", "sum"), ("association", "max")]).to_pylist())))
+
+    whole = all_of()
+    monkeypatch.setattr(B, "HELD", 1)
+    assert all_of() == whole and [d for _, d, _ in sorted(whole)] == [2, 2, 2]
